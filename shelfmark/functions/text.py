@@ -31,7 +31,7 @@ def _compat_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if len(plain) == 1:
             src.append(ch)
             dst.append(plain)
-        elif plain.isalpha() and cp < 0x2E80 or 0xFB00 <= cp <= 0xFB06:
+        elif cp <= 0x24F and plain.isalpha() or 0xFB00 <= cp <= 0xFB06:
             longer.append((ch, plain))
     return "".join(src), "".join(dst), tuple(longer)
 
@@ -41,9 +41,9 @@ def fold(c: Column) -> Column:
     src, dst, longer = _compat_tables()
     wide = F.regexp_replace(F.translate(c, src, dst), MARKS, "")
     expanded = wide
-    for ch, plain in longer[:40]:
+    for ch, plain in longer:
         expanded = F.replace(expanded, F.lit(ch), F.lit(plain))
-    ligatures = "[" + "".join(ch for ch, _ in longer[:40]) + "]"
+    ligatures = "[" + "".join(ch for ch, _ in longer) + "]"
     return (
         F.when(~c.rlike(r"[^\x00-\x7f]"), c)
         .when(c.rlike(ligatures), expanded)
