@@ -98,49 +98,58 @@ def listing_positions(listing: DataFrame, existing: DataFrame, partial: bool) ->
     return joined.withColumn("position", F.coalesce("_known", base + F.col("_seen"))).select(listing.columns)
 
 
+EXT_OF_PATH = r"(\.[^./]*)\z"
+NUMBERED_PATH = r"^(.*) \(([2-9]|[1-9]\d+)\)((?:\.[^./]*)?)\z"
+
+
 def resolve_path_collisions(plan: DataFrame, existing: DataFrame, max_rounds: int = 20) -> DataFrame:
     """Give every changed row a free path: the first taker keeps the name, later ones get " (2)", " (3)".
 
-    ``plan``: id, from_path, to_path, changed. ``existing``: path of files on disk. Takers of one name are
-    numbered without gathering them; a name that is taken or was generated twice moves its rows on to
-    the next free number in the following round. Only the rows still without a name go round again.
+    ``plan``: id, from_path, to_path, changed. ``existing``: path of files on disk. The k-th taker of a
+    name gets its k-th free number: takers and the numbers already in use are merged in one numbered
+    list per name, and the place in that list is the number. A generated name that another row also
+    claims stays with the smallest id; only the losers go round again, against the names settled so far.
     """
-    ext = F.regexp_extract("to_path", r"(\.[^./]*)\z", 1)
-    stem = F.expr("substring(to_path, 1, length(to_path) - length(_ext))")
-    movers = plan.where("changed").withColumn("_ext", ext).withColumn("_stem", stem)
-    movers = movers.select("id", "from_path", "to_path", "_ext", "_stem").withColumn("_skip", F.lit(0).cast("bigint"))
-    taken = existing.select("path").unionByName(plan.where("not changed").select(F.col("to_path").alias("path"))).distinct()
-    settled = None
+    taken = existing.select("path").unionByName(plan.where("not changed").select(F.col("to_path").alias("path")))
+    movers = plan.where("changed").select("id", "from_path", "to_path")
+    settled = plan.where("not changed").select("id", "from_path", "to_path", F.lit(False).alias("changed"))
     for _ in range(max_rounds):
-        numbered = number_rows(movers, ["to_path"], ["id"], "_nth")
-        n = F.col("_nth") + F.col("_skip")
-        named = numbered.withColumn("_n", n).withColumn(
-            "path", F.when(n == 1, F.col("to_path")).otherwise(F.concat("_stem", F.lit(" ("), n.cast("string"), F.lit(")"), "_ext"))
-        )
-        # a generated name may equal another row's wish: the smallest id keeps it
-        claim = named.groupBy("path").agg(F.min("id").alias("_owner"))
-        busy = taken.withColumn("_busy", F.lit(True))
-        checked = keep(
-            named.join(claim, "path").join(busy, "path", "left").withColumn(
-                "_free", F.col("_busy").isNull() & (F.col("_owner") == F.col("id"))
-            ),
-            "paths",
-        )
-        good = checked.where("_free").select("id", "from_path", F.col("path").alias("to_path"))
-        settled = good if settled is None else settled.unionByName(good)
-        rest = checked.where("not _free")
-        if rest.isEmpty():
-            break
-        taken = taken.unionByName(good.select(F.col("to_path").alias("path")))
-        # numbers already tried for this name are behind us
-        tried = checked.groupBy("to_path").agg(F.max("_n").alias("_high"), F.count_if(~F.col("_free")).alias("_left"))
-        movers = spread_join(rest.drop("_high"), tried, ["to_path"]).select(
-            "id", "from_path", "to_path", "_ext", "_stem", F.col("_high").alias("_skip")
+        checked = keep(_claim_names(movers, taken.distinct()), "paths")
+        good = checked.where("_mine")
+        settled = settled.unionByName(good.select("id", "from_path", F.col("path").alias("to_path"), F.lit(True).alias("changed")))
+        movers = checked.where("not _mine").select("id", "from_path", "to_path")
+        if movers.isEmpty():
+            return settled
+        taken = taken.unionByName(good.select("path"))
+    raise RuntimeError("path collisions did not settle")
+
+
+def _claim_names(movers: DataFrame, taken: DataFrame) -> DataFrame:
+    """One round: number the takers of each name past the numbers in use, then check for double claims."""
+    numbered = F.regexp_extract("path", NUMBERED_PATH, 2)
+    used = taken.select(F.col("path").alias("to_path"), F.lit(1).cast("bigint").alias("_n")).unionByName(
+        taken.where(F.col("path").rlike(NUMBERED_PATH)).select(
+            F.concat(F.regexp_extract("path", NUMBERED_PATH, 1), F.regexp_extract("path", NUMBERED_PATH, 3)).alias("to_path"),
+            numbered.cast("bigint").alias("_n"),
         )
-    else:
-        raise RuntimeError("path collisions did not settle")
-    stay = plan.where("not changed").select("id", "from_path", "to_path", F.lit(False).alias("changed"))
-    return settled.withColumn("changed", F.lit(True)).unionByName(stay) if settled is not None else stay
+    )
+    used = used.join(movers.select("to_path").distinct(), "to_path", "left_semi")
+    used = number_rows(used, ["to_path"], ["_n"], "_j").select(
+        "to_path", (F.col("_n") - F.col("_j") + 1).alias("_spot"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("id"),
+        F.lit(None).cast("string").alias("from_path"),
+    )
+    takers = number_rows(movers, ["to_path"], ["id"], "_spot").select(
+        "to_path", "_spot", F.lit(1).alias("_kind"), "id", "from_path"
+    )
+    merged = number_rows(takers.unionByName(used), ["to_path"], ["_spot", "_kind", "id"], "_n").where("_kind = 1")
+    ext = F.regexp_extract("to_path", EXT_OF_PATH, 1)
+    stem = F.substr("to_path", F.lit(1), F.length("to_path") - F.length(ext))
+    path = F.when(F.col("_n") == 1, F.col("to_path")).otherwise(
+        F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext)
+    )
+    named = merged.select("id", "from_path", "to_path", path.alias("path"))
+    owner = named.groupBy("path").agg(F.min("id").alias("_owner"))
+    return named.join(owner, "path").select("id", "from_path", "to_path", "path", (F.col("_owner") == F.col("id")).alias("_mine"))
 
 
 def auto_number(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -164,7 +173,7 @@ def reorder_midpoint(queue: DataFrame, moves: DataFrame) -> DataFrame:
     last = lined.agg(F.max_by(F.struct("id", "position"), "_at").alias("_last"), F.max("_at").alias("_end"))
     before_last = spot.join(last, F.col("_at") == F.col("_end") - 1).select(F.col("_pos").alias("_last2"))
     anchored = (
-        moves.where("before_id is not null")
+        moves.where("before_id is not null and before_id <> id")
         .join(spot.select(F.col("_id").alias("before_id"), F.col("_at").alias("_anchor"), F.col("_pos").alias("_after")), "before_id")
         .join(spot.select((F.col("_at") + 1).alias("_anchor"), F.col("_id").alias("_p1"), F.col("_pos").alias("_v1")), "_anchor", "left")
         .join(spot.select((F.col("_at") + 2).alias("_anchor"), F.col("_pos").alias("_v2")), "_anchor", "left")
