@@ -35,7 +35,7 @@ FINISHED_STATUSES = ("done", "failed", "skipped", "cancelled")
 STATUSES = ("queued",) + ACTIVE_STATUSES + FINISHED_STATUSES
 STATE_RANK = {"done": 6, "queued": 4, "skipped": 3, "failed": 2, "cancelled": 1}
 ACTIVE_RANK = 5
-LEGACY_PRESETS = {"mp3": "mp3-320", "flac": "flac", "m4a": "m4a-256", "opus": "opus"}
+LEGACY_PRESETS = {"mp3": "mp3-320", "opus": "opus", "flac": "flac"}
 DEFAULT_PRESET = "mp3-320"
 
 # --- fixed values: quality and confidence -------------------------------------------------------

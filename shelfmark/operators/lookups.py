@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as T
 from ..functions.numbers import truthy
-from ..plans.skew import spread_join, top_n
+from ..plans.skew import carry_last, spread_join, top_n
 
 
 def lookup_existing(items: DataFrame, lib: DataFrame) -> DataFrame:
@@ -207,38 +207,18 @@ def nearest_within_tolerance(
 def last_success_preference(attempts: DataFrame, deliveries: DataFrame, span: str = "day") -> DataFrame:
     """As-of lookup: for each attempt the source that last delivered its album key strictly before it.
 
-    ``attempts``: attempt_id, album_key, ts. ``deliveries``: delivery_id, album_key, ts, source. The
-    timeline of a key is cut into ``span`` slices so that no key becomes one task: within a slice the
-    last delivery is found by a window; for attempts before the first delivery of their slice, the last
-    delivery of the previous non-empty slice is carried over (one row per key and slice).
+    ``attempts``: attempt_id, album_key, ts. ``deliveries``: delivery_id, album_key, ts, source. Attempts
+    sort before deliveries of the same instant, so only strictly earlier ones count.
     """
-    slice_of = F.date_trunc(span, F.col("ts"))
     both = attempts.select(
         "album_key", "ts", F.lit(0).alias("_kind"), F.col("attempt_id").alias("_id"), F.lit(None).cast("string").alias("_src")
     ).unionByName(
         deliveries.select(
             "album_key", "ts", F.lit(1).alias("_kind"), F.col("delivery_id").alias("_id"), F.col("source").cast("string").alias("_src")
         )
-    ).withColumn("_slice", slice_of)
-    last = F.max_by("_src", F.struct("ts", "_id"))
-    ends = deliveries.withColumn("_slice", slice_of).withColumnsRenamed({"delivery_id": "_id"}).withColumn(
-        "_src", F.col("source").cast("string")
-    ).groupBy("album_key", "_slice").agg(last.alias("_end"))
-    slots = both.select("album_key", "_slice").distinct().join(ends, ["album_key", "_slice"], "left")
-    past = Window.partitionBy("album_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slots.withColumn("_carry", F.last("_end", ignorenulls=True).over(past)).drop("_end")
-    # attempts sort before deliveries of the same instant: only strictly earlier ones count
-    within = (
-        Window.partitionBy("album_key", "_slice")
-        .orderBy("ts", "_kind", "_id")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        both.withColumn("_seen", F.last("_src", ignorenulls=True).over(within))
-        .where("_kind = 0")
-        .join(carried, ["album_key", "_slice"], "left")
-        .select(F.col("_id").alias("attempt_id"), "album_key", "ts", F.coalesce("_seen", "_carry").alias("preferred"))
     )
+    seen = carry_last(both, ["album_key"], ["ts", "_kind", "_id"], F.col("_src"), "preferred", F.date_trunc(span, F.col("ts")))
+    return seen.where("_kind = 0").select(F.col("_id").alias("attempt_id"), "album_key", "ts", "preferred")
 
 
 def exclude_dismissed(groups: DataFrame, members: DataFrame, dismissals: DataFrame) -> DataFrame:

@@ -127,3 +127,39 @@ def number_rows(
     return joined.withColumn(position, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop(
         "_at", "_task", "_first", "_n", "_before"
     )
+
+
+def carry_last(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    slice_of: Column,
+    inclusive: bool = False,
+) -> DataFrame:
+    """Adds the last non-null ``value`` before each row (or up to it) within its key.
+
+    The timeline of a key is cut into slices so that no key becomes one task. Inside a slice a window
+    finds the value; rows before the first value of their slice take the last one of earlier slices,
+    found over a table with one row per key and slice. ``slice_of`` must not decrease along ``order``.
+    """
+    keys = list(keys)
+    marked = df.withColumns({"_slice": slice_of, "_value": value})
+    spot = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ends = marked.groupBy(*keys, "_slice").agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), spot)).alias("_end")
+    )
+    past = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(past)).drop("_end")
+    here = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+    return (
+        marked.withColumn("_here", F.last("_value", ignorenulls=True).over(here))
+        .join(earlier, [*keys, "_slice"], "left")
+        .withColumn(name, F.coalesce("_here", "_carry"))
+        .drop("_slice", "_value", "_here", "_carry")
+    )
