@@ -72,10 +72,12 @@ def acoustic_similarity(
     """(a, b, offset, similarity) of candidate pairs, linked ones only unless ``threshold`` is None.
 
     Shared keys vote for the shift of b against a; the shift with most votes (the smallest on ties, 0
-    without votes) is scored by bit errors, and its two neighbours too when it is close at all.
+    without votes) is scored by bit errors, and its two neighbours too when it is close at all. Pairs,
+    prints and key runs are each met several times, so they are written once.
     """
-    runs = _runs(prints)
-    ab = pairs.select("a", "b")
+    prints = keep(prints.select("id", "frames", "length"), "prints")
+    runs = keep(_runs(prints), "runs")
+    ab = keep(pairs.select("a", "b"), "pairs")
     left = spread_join(ab, runs.select(F.col("id").alias("a"), "key", F.col("at").alias("pa")), ["a"])
     both = left.join(runs.select(F.col("id").alias("b"), "key", F.col("at").alias("pb")), ["b", "key"]).where(
         F.size("pa") * F.size("pb") <= fv.MAX_RUN
@@ -128,7 +130,7 @@ def acoustic_edges(
     lib: DataFrame, frames: DataFrame, window_ms: int = fv.DURATION_WINDOW_MS, threshold: float = fv.ACOUSTIC_THRESHOLD
 ) -> DataFrame:
     """(src, dst, similarity) between rows that sound alike: within the window, or of one key beyond it."""
-    prints = prints_of(frames)
+    prints = keep(prints_of(frames), "prints")
     reps, copies = distinct_recordings(lib, prints)
     pairs = duration_window_pairs(reps, window_ms).unionByName(same_key_far_pairs(reps, window_ms))
     found = acoustic_similarity(pairs, prints, threshold)
@@ -166,7 +168,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _only_stars(work):
             break
-        nxt = keep(_small_star(_large_star(work)), "components")
+        rows = work.count()  # read from the written files' footers
+        nxt = keep(_small_star(_large_star(work, rows), rows), "components")
         discard(work)
         work = nxt
     else:
@@ -176,7 +179,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     """Link each node's larger neighbours to the smallest node around it."""
     sides = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
         e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
@@ -184,18 +187,18 @@ def _large_star(e: DataFrame) -> DataFrame:
     least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     least = least.select("u", F.least("u", "m").alias("m"), "n")
     return (
-        spread_join(sides, least.drop("n"), ["u"], counts=least.select("u", "n"))
+        spread_join(sides, least.drop("n"), ["u"], counts=least.select("u", "n"), rows=2 * rows)
         .where("v > u")
         .select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         .distinct()
     )
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     least = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
     moved = (
-        spread_join(e, least.drop("n"), ["hi"], counts=least.select("hi", "n"))
+        spread_join(e, least.drop("n"), ["hi"], counts=least.select("hi", "n"), rows=2 * rows)
         .where("lo <> m")
         .select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
     )

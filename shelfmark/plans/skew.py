@@ -49,6 +49,7 @@ def spread_join(
     counts: DataFrame | None = None,
     n: str = "n",
     part_by: Sequence[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi join whose hot keys are spread over several tasks.
 
@@ -56,9 +57,12 @@ def spread_join(
     combines on the map side. Rows of a hot key in ``big`` get a part number from ``part_by``
     (default: the whole row); the matching rows of ``small`` are repeated once per part. Every other
     key keeps a single part, so nothing else grows. ``how`` may be inner, left, left_semi or left_anti.
-    The list of hot keys is at most ``MAX_HOT_KEYS`` rows, hence the broadcast.
+    The list of hot keys is at most ``MAX_HOT_KEYS`` rows, hence the broadcast. When ``big`` is known to
+    have no more than ``rows`` rows and they fit one task, no key can be hot and a plain join is made.
     """
     keys = list(keys)
+    if rows is not None and rows <= rows_per_task(big):
+        return big.join(small, keys, how)
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     hot = F.broadcast(hot_keys(counts, keys, n, rows_per_task(big)))
@@ -102,7 +106,7 @@ def number_rows(
     per (key, task) supplies the offsets. ``order`` must be total.
     """
     keys = list(keys)
-    marks = [f"_o{i}" for i in range(len(order))]
+    marks = [f"_num_o{i}" for i in range(len(order))]
     lined = df
     sort_cols = [F.col(k) for k in keys]
     for mark, o in zip(marks, order):
@@ -112,20 +116,20 @@ def number_rows(
     lined = (
         lined.repartitionByRange(*sort_cols)
         .sortWithinPartitions(*sort_cols)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_num_at", F.monotonically_increasing_id())
         .drop(*marks)
     )
-    lined = keep(lined, "numbered").withColumn("_task", F.shiftright("_at", 33))
-    runs = lined.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    lined = keep(lined, "numbered").withColumn("_num_task", F.shiftright("_num_at", 33))
+    runs = lined.groupBy(*keys, "_num_task").agg(F.min("_num_at").alias("_num_first"), F.count(F.lit(1)).alias("_num_n"))
     by_key = Window.partitionBy(*keys)  # one row per task and key, never per input row
-    before = by_key.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    before = by_key.orderBy("_num_task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_num_before", F.coalesce(F.sum("_num_n").over(before), F.lit(0)))
     if total:
-        runs = runs.withColumn(total, F.sum("_n").over(by_key))
-    on = [lined[c].eqNullSafe(runs[c]) for c in [*keys, "_task"]]
-    joined = lined.join(runs, on, "inner").drop(*[runs[c] for c in [*keys, "_task"]])
-    return joined.withColumn(position, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop(
-        "_at", "_task", "_first", "_n", "_before"
+        runs = runs.withColumn(total, F.sum("_num_n").over(by_key))
+    on = [lined[c].eqNullSafe(runs[c]) for c in [*keys, "_num_task"]]
+    joined = lined.join(runs, on, "inner").drop(*[runs[c] for c in [*keys, "_num_task"]])
+    return joined.withColumn(position, F.col("_num_at") - F.col("_num_first") + F.col("_num_before") + 1).drop(
+        "_num_at", "_num_task", "_num_first", "_num_n", "_num_before"
     )
 
 
