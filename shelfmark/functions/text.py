@@ -18,7 +18,8 @@ def _compat_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """One-to-one folds for ``translate`` and the short list of expansions, from the Unicode rule.
 
     A character is folded to its compatibility decomposition without combining marks. Hangul and
-    ideographs are left alone: folding them is one-to-one, so equality does not change.
+    ideographs are left alone: folding them is one-to-one, so equality does not change. Of the
+    characters that expand to several, the typographic ligatures are covered.
     """
     src, dst, longer = [], [], []
     for cp in list(range(0xA0, 0x1100)) + list(range(0x1D00, 0x2E80)) + list(range(0xFB00, 0x10000)):
@@ -31,7 +32,7 @@ def _compat_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if len(plain) == 1:
             src.append(ch)
             dst.append(plain)
-        elif cp <= 0x24F and plain.isalpha() or 0xFB00 <= cp <= 0xFB06:
+        elif 0xFB00 <= cp <= 0xFB06:
             longer.append((ch, plain))
     return "".join(src), "".join(dst), tuple(longer)
 

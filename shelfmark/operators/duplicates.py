@@ -75,7 +75,11 @@ def acoustic_similarity(
     without votes) is scored by bit errors, and its two neighbours too when it is close at all. Pairs,
     prints and key runs are each met several times, so they are written once.
     """
-    prints = keep(prints.select("id", "frames", "length"), "prints")
+    return _align_and_score(pairs, keep(prints.select("id", "frames", "length"), "prints"), threshold)
+
+
+def _align_and_score(pairs: DataFrame, prints: DataFrame, threshold: float | None) -> DataFrame:
+    """``acoustic_similarity`` over prints that are already written."""
     runs = keep(_runs(prints), "runs")
     ab = keep(pairs.select("a", "b"), "pairs")
     left = spread_join(ab, runs.select(F.col("id").alias("a"), "key", F.col("at").alias("pa")), ["a"])
@@ -133,7 +137,7 @@ def acoustic_edges(
     prints = keep(prints_of(frames), "prints")
     reps, copies = distinct_recordings(lib, prints)
     pairs = duration_window_pairs(reps, window_ms).unionByName(same_key_far_pairs(reps, window_ms))
-    found = acoustic_similarity(pairs, prints, threshold)
+    found = _align_and_score(pairs, prints, threshold)
     return found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").unionByName(copies)
 
 
