@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,16 @@ from . import fixed_values as fv
 MARKS = r"[̀-ͯ]"
 
 
+def let(fn: Callable[..., Column], *cols: Column) -> Column:
+    """``fn`` of columns that are evaluated once each, however often ``fn`` refers to them.
+
+    A column used several times in an expression is repeated in the plan; filters evaluate every copy.
+    Binding it as the element of a one-element array keeps the plan small and the work single.
+    """
+    bound = F.array(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]))
+    return F.transform(bound, lambda s: fn(*[s[f"c{i}"] for i in range(len(cols))]))[0]
+
+
 @lru_cache(maxsize=1)
 def _compat_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """One-to-one folds for ``translate`` and the short list of expansions, from the Unicode rule.
@@ -76,7 +87,7 @@ def normalize(c: Column) -> Column:
 
 def words_of(norm: Column) -> Column:
     """Distinct words of an already normalised column; '' gives an empty array."""
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(norm, " ")))
+    return F.array_remove(F.array_distinct(F.split(norm, " ")), "")
 
 
 def tokens(c: Column) -> Column:
@@ -85,10 +96,15 @@ def tokens(c: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of two distinct-word arrays, 0 when either side is empty."""
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        2.0 * shared / (F.size(a) + F.size(b))
-    )
+
+
+    def share(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x, y)).cast("double")
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(
+            2.0 * shared / (F.size(x) + F.size(y))
+        )
+
+    return let(share, a, b)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -97,9 +113,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 def coverage(needle: Column, hay: Column) -> Column:
     """Share of the needle's words found in the hay array."""
-    return F.when(F.size(needle) == 0, F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(needle, hay)).cast("double") / F.size(needle)
+    share = lambda n, h: F.when(F.size(n) == 0, F.lit(0.0)).otherwise(
+        F.size(F.array_intersect(n, h)).cast("double") / F.size(n)
     )
+    return let(share, needle, hay)
 
 
 def primary_artist(c: Column) -> Column:
@@ -114,29 +131,32 @@ def key_title(title: Column) -> Column:
 
 def match_key(artist: Column, title: Column) -> Column:
     """``primary artist|bare title``; null when either side is empty."""
-    a, t = primary_artist(artist), key_title(title)
-    return F.when((a != "") & (t != ""), F.concat(a, F.lit("|"), t))
+    joined = lambda a, t: F.when((a != "") & (t != ""), F.concat(a, F.lit("|"), t))
+    return let(joined, primary_artist(artist), key_title(title))
 
 
 def split_title(raw: Column, channel: Column) -> tuple[Column, Column]:
     """(artist, title) guessed from an upload title and its channel."""
-    title = clean_title(raw)
-    ch = F.coalesce(channel, F.lit(""))
-    topic = ch.rlike(r"^.* - Topic\z")
-    topic_artist = F.regexp_extract(ch, r"^(.*) - Topic\z", 1)
-    uploader = F.trim(F.regexp_replace(ch, r"(?i)VEVO\z", ""))
     dash = r"^(.+?)\s+[-–—]\s+(.+)\z"
-    left = F.trim(F.regexp_extract(title, dash, 1))
-    right = F.trim(F.regexp_extract(title, dash, 2))
-    who = normalize(uploader)
-    swap = (who != "") & (normalize(right) == who) & (normalize(left) != who)
-    song = F.regexp_replace(F.when(swap, left).otherwise(right), r"^[\"“](.*)[\"”]\z", "$1")
-    artist = (
-        F.when(topic, topic_artist)
-        .when(title.rlike(dash), F.when(swap, right).otherwise(left))
-        .otherwise(F.coalesce(blank_to_null(uploader), F.lit("Unknown Artist")))
-    )
-    return artist, F.when(topic, title).when(title.rlike(dash), song).otherwise(title)
+
+    def guess(title: Column, ch: Column) -> Column:
+        topic = ch.rlike(r"^.* - Topic\z")
+        uploader = F.trim(F.regexp_replace(ch, r"(?i)VEVO\z", ""))
+        left = F.trim(F.regexp_extract(title, dash, 1))
+        right = F.trim(F.regexp_extract(title, dash, 2))
+        own_channel = lambda who, a, b: (who != "") & (b == who) & (a != who)
+        swap = let(own_channel, normalize(uploader), normalize(left), normalize(right))
+        unquoted = lambda c: F.regexp_replace(c, r"^[\"“](.*)[\"”]\z", "$1")
+        pair = lambda a, t: F.struct(a.alias("artist"), t.alias("title"))
+        return (
+            F.when(topic, pair(F.regexp_extract(ch, r"^(.*) - Topic\z", 1), title))
+            .when(title.rlike(dash) & swap, pair(right, unquoted(left)))
+            .when(title.rlike(dash), pair(left, unquoted(right)))
+            .otherwise(pair(F.coalesce(blank_to_null(uploader), F.lit("Unknown Artist")), title))
+        )
+
+    found = let(guess, clean_title(raw), F.coalesce(channel, F.lit("")))
+    return found["artist"], found["title"]
 
 
 def plain_title(c: Column) -> Column:
@@ -159,14 +179,13 @@ def ascii_punctuation(c: Column) -> Column:
 
 def new_markers(cand_norm: Column, target_norm: Column) -> Column:
     """How many version markers the candidate carries that the target does not."""
-    cand, target = (F.concat(F.lit(" "), x, F.lit(" ")) for x in (cand_norm, target_norm))
-    hits = [
-        (cand.contains(f" {m} ") & ~target.contains(f" {m} ")).cast("int") for m in fv.VARIANT_MARKERS
-    ]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total
+    padded = [F.concat(F.lit(" "), x, F.lit(" ")) for x in (cand_norm, target_norm)]
+
+    def count(cand: Column, target: Column) -> Column:
+        hits = [(cand.contains(f" {m} ") & ~target.contains(f" {m} ")).cast("int") for m in fv.VARIANT_MARKERS]
+        return reduce(lambda a, b: a + b, hits)
+
+    return let(count, *padded)
 
 
 def capitalize_first(c: Column) -> Column:

@@ -60,8 +60,8 @@ def _artist_close(at_least: float) -> Column:
     return (T.primary_artist(q) == T.primary_artist(c)) | (T.similarity(q, c) >= at_least)
 
 
-def match_recordings(pairs: DataFrame) -> DataFrame:
-    """Best recording per query from text search.
+def match_recordings(pairs: DataFrame, first: Column | None = None) -> DataFrame:
+    """Best recording per query from text search; rows where ``first`` holds go before all others.
 
     Query columns q, q_title, q_artist, q_ms; candidate columns recording_id, title, artist,
     duration_ms, score, has_studio. Other songs, other cuts and weak hits are dropped; studio albums
@@ -78,7 +78,7 @@ def match_recordings(pairs: DataFrame) -> DataFrame:
         & _artist_close(0.6)
     )
     order = [F.col("has_studio").desc(), F.coalesce(gap, F.lit(5_000)), F.col("score").desc(), F.col("recording_id")]
-    return top_n(pairs.where(fits), ["q"], order)
+    return top_n(pairs.where(fits), ["q"], [first.desc(), *order] if first is not None else order)
 
 
 def acoustic_plausible() -> Column:
@@ -100,10 +100,10 @@ def confidence() -> Column:
     """0..1 with two decimals from q_*, title, artist, duration_ms, score, kind and verified."""
     kind = F.when(F.col("kind").isNull(), F.lit(0.3)).otherwise(kind_weight(F.col("kind")))
     heard = F.least(F.lit(1.0), 0.55 + 0.25 * F.col("score") + 0.2 * kind)
-    title = T.similarity(F.col("q_title"), F.col("title"))
-    title = F.when(
-        T.new_markers(T.normalize(F.col("title")), T.normalize(F.col("q_title"))) > 0, title * 0.5
-    ).otherwise(title)
+    title = T.let(
+        lambda q, t: T.dice(T.words_of(q), T.words_of(t)) * F.when(T.new_markers(t, q) > 0, 0.5).otherwise(1.0),
+        T.normalize(F.col("q_title")), T.normalize(F.col("title")),
+    )
     artist = F.when(
         T.primary_artist(F.col("q_artist")) == T.primary_artist(F.col("artist")), F.lit(1.0)
     ).otherwise(T.similarity(F.col("q_artist"), F.col("artist")))
@@ -195,14 +195,12 @@ def enrich_catalog(
             "has_studio", F.coalesce("has_studio", F.lit(False))
         )
 
-    every = asked(candidates)
-    picks = match_recordings(every.where("album_only")).withColumn("_step", F.lit(1)).unionByName(
-        match_recordings(every).withColumn("_step", F.lit(2))
-    ).withColumn("verified", F.lit(False))
+    # the album-only search comes first, all results second: one pass with that as the leading key
+    picks = match_recordings(asked(candidates), F.col("album_only")).withColumn("_step", F.lit(1)).withColumn("verified", F.lit(False))
     if printed is not None:
         heard = match_by_fingerprint(asked(printed)).withColumn("_step", F.lit(0)).withColumn("verified", F.lit(True))
         picks = picks.unionByName(heard, allowMissingColumns=True)
-    pick = top_n(picks, ["q"], [F.col("_step")]).drop("album_only", "has_studio", "_step")
+    pick = keep(top_n(picks, ["q"], [F.col("_step")]).drop("album_only", "has_studio", "_step"), "picks")
 
     choice = spread_join(
         typed.withColumnRenamed("title", "album_title").withColumnRenamed("track_number", "e_track_number").withColumnRenamed("disc_number", "e_disc_number")
@@ -214,15 +212,16 @@ def enrich_catalog(
     by_date = F.when(F.col("tier") == 1, F.coalesce(T.blank_to_null(F.col("date")), F.lit("9999")))
     release = top_n(choice.withColumn("tier", tier), ["q"], [F.col("tier"), by_date, F.col("rank"), F.col("release_id")])
     release = release.select("q", "release_id", "album_title", "year", "kind", "release_group", "e_album_artist", "e_track_number", "e_disc_number")
-    full = pick.join(release, "q", "left").withColumn("confidence", confidence())
+    full = keep(pick.join(release, "q", "left").withColumn("confidence", confidence()), "chosen")
 
     joined_genres = (
         genres.groupBy("entity")
         .agg(F.array_sort(F.collect_list(F.struct("place", "genre"))).alias("_g"))  # at most three
-        .select("entity", F.array_join(F.transform("_g", lambda x: x["genre"]), "; ").alias("_genre"))
+        .select(F.col("entity").cast("string").alias("entity"), F.array_join(F.transform("_g", lambda x: x["genre"]), "; ").alias("_genre"))
     )
     group_g = joined_genres.select(F.col("entity").alias("release_group"), F.col("_genre").alias("_by_group"))
     artist_g = joined_genres.select(F.col("entity").alias("artist_id"), F.col("_genre").alias("_by_artist"))
+    full = full.withColumns({c: F.col(c).cast("string") for c in ("release_group", "artist_id")})
     full = spread_join(spread_join(full, group_g, ["release_group"], "left"), artist_g, ["artist_id"], "left")
     e = full.select(
         F.col("q").alias("id"), "recording_id", "release_id", "confidence", "verified",

@@ -70,7 +70,7 @@ def path_column(template: str, fields: dict[str, Column]) -> Column:
         else:
             pieces.append(_filled(piece, fields, safe=True)[0])
     whole = F.concat(*pieces)
-    segments = F.filter(F.transform(F.split(whole, "/"), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(whole, "/"), lambda s: F.trim(s)), lambda s: s != "")
     return F.array_join(F.transform(segments, safe_segment), "/")
 
 

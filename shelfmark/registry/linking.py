@@ -212,7 +212,7 @@ JUDGED = f"""select *, case when size < 2097152 then 'unusual size' when t < 0.6
     select *, {dice('tw', 'gw')} as t, {coverage('aw', 'pw')} as a, {coverage('bw', 'dw')} as b, {markers('pn', 'tn')} as mk from (
      select *, {words('tn')} as tw, {words(norm(_GT))} as gw, {words(norm('artist'))} as aw, {words('pn')} as pw, {words(norm('album'))} as bw, {words('dn')} as dw from (
       select *, {norm('title')} as tn, {norm("regexp_replace(file, '[/_.]+', ' ', 'g')")} as pn, {norm("regexp_replace(regexp_extract(file, '^(.*)/', 1), '[/_.]+', ' ', 'g')")} as dn,
-       regexp_extract(file, '([^/]+)$', 1) as name, trim(regexp_extract(file, '/[0-9]+ - ([^/]*)\\.[a-z]+$', 1)) as g1, cast(regexp_extract(file, '/([0-9]+) - [^/]*$', 1) as int) as gno,
+       regexp_extract(file, '([^/]+)$', 1) as name, trim(regexp_extract(file, '/[0-9]+ - ([^/]*)\\.[a-z0-9]+$', 1)) as g1, cast(regexp_extract(file, '/([0-9]+) - [^/]*$', 1) as int) as gno,
        case when target_ms > 0 and seconds > 0 then abs(target_ms / 1000e0 - seconds) end as off
       from (select *, row_number() over (partition by target_id, user_name, file order by hit_id) as rn from pairs where suffix(file, '.flac')) where rn = 1))))))"""
 JUDGE_CTES = {**ctes("catalog", "hits"), "pairs": MATCH_PAIRS, "judged": JUDGED}

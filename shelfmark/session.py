@@ -14,6 +14,8 @@ def local_session(app: str = "shelfmark", cpus: int | None = None, partitions: i
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or n))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local inputs: keep CPU-heavy text work on every core instead of one merged partition
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SHELFMARK_DRIVER_MEMORY", "12g"))
