@@ -185,11 +185,12 @@ _FA, _FT = split_title("raw_title", "channel")
 def ingest_feed_xml(spark: SparkSession, sf: str) -> DataFrame:
     """Uploads land as XML feed entries, every tenth without an id."""
     u = view(spark, sf, "uploads")
-    entries = u.select(
-        F.when(F.col("id") % 10 != 0, F.col("id").cast("string")).alias("yt:videoId"), F.col("raw_title").alias("title"), F.struct(F.col("channel").alias("name")).alias("author")
-    )
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit(f"</{name}>"))
+    ident = F.when(F.col("id") % 10 != 0, tag("yt:videoId", F.col("id").cast("string"))).otherwise(F.lit(""))
+    author = F.when(F.col("channel").isNotNull(), F.concat(F.lit("<author>"), tag("name", F.col("channel")), F.lit("</author>"))).otherwise(F.lit(""))
+    entry = F.concat(F.lit("<entry>"), ident, tag("title", F.col("raw_title")), author, F.lit("</entry>"))
     path = new_folder(spark, "feed")
-    entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
+    u.select(entry.alias("value")).write.text(path)
     return listings.ingest_feed_xml(spark, path)
 
 

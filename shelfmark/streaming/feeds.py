@@ -364,7 +364,7 @@ def merge_headers(sources: DataFrame, listings: DataFrame, counts: DataFrame, no
     failed = F.coalesce(F.col("failed"), F.lit(False))
     ok = tried & ~failed
     every = F.when(F.col("interval_minutes") > 0, F.col("interval_minutes"))
-    wait = F.when(failed, F.least(every, F.lit(60))).otherwise(every)
+    wait = F.when(failed & every.isNotNull(), F.least(every, F.lit(60))).otherwise(every)
     partial = F.coalesce(F.col("partial"), F.lit(False))
     fresh, seen = F.coalesce(F.col("fresh"), F.lit(0)), F.coalesce(F.col("seen"), F.lit(0))
     return j.select(
