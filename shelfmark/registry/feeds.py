@@ -14,11 +14,13 @@ from .views import ctes, feed_schema, table, view
 
 # an append-mode window is complete once the watermark has passed its end
 CUT = "(select max(ts) from events)"
+# Spark filters before it observes event time, so a filtered stream's watermark follows its own rows
+CUT_OF = "(select max(ts) from feed where status = '{}')"
 
 
 def feed_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream, in feed columns."""
-    events = read_feed(spark, f"{sf}/events.parquet", feed_schema())
+    events = read_feed(spark, f"{sf}/events*.parquet", feed_schema())
     status = (
         F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "resolving")
         .when(F.col("event_type") == "click", "downloading").when(F.col("event_type") == "purchase", "done").otherwise("failed")
@@ -53,7 +55,7 @@ def stream_status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(with_(ctes("feed"), f"""select date_trunc('second', ts) as tick, round(sum(speed), 4) as speed, max(speed) as top from feed where status = 'downloading'
-group by 1 having date_trunc('second', ts) + interval 1 second <= {CUT} - interval 1 minute"""))
+group by 1 having date_trunc('second', ts) + interval 1 second <= {CUT_OF.format('downloading')} - interval 1 minute"""))
 def stream_speed_history(spark: SparkSession, sf: str) -> DataFrame:
     out = drain(S.stream_speed_history(feed_stream(spark, sf)), "speed")
     return out.select("tick", F.round("speed", 4).alias("speed"), "top")
@@ -67,7 +69,7 @@ def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(with_(ctes("feed"), f"""select cast(date_trunc('day', ts) as timestamp) as day, count(*) as done from feed where status = 'done' group by 1
-having cast(date_trunc('day', ts) as timestamp) + interval 1 day <= {CUT} - interval 1 hour"""))
+having cast(date_trunc('day', ts) as timestamp) + interval 1 day <= {CUT_OF.format('done')} - interval 1 hour"""))
 def stream_done_per_day(spark: SparkSession, sf: str) -> DataFrame:
     return drain(S.stream_done_per_day(feed_stream(spark, sf)), "per-day").select("day", "done")
 
@@ -87,10 +89,10 @@ def openers(seconds: int, where: str) -> dict[str, str]:
   "l": "select *, row_number() over (partition by key, opened_at order by ts, event_id) as rn from j"}, f"""
 select key, opened_at, count(*) as done, round(sum(speed), 4) as total, count(*) > 10 as collapsed,
  string_agg('Item ' || event_id, chr(10) order by rn) filter (where rn <= 25) || case when count(*) > 25 then chr(10) || '…and ' || (count(*) - 25) || ' more' else '' end as lines
-from l group by 1, 2 having opened_at + interval 6 hour <= {CUT} - interval 1 minute""", recursive=True))
+from l group by 1, 2 having opened_at + interval 6 hour <= {CUT_OF.format('done')} - interval 1 minute""", recursive=True))
 def stream_completion_digest(spark: SparkSession, sf: str) -> DataFrame:
     """Completions are sparse in the table, so the digest window is six hours here."""
-    done = feed_stream(spark, sf).withWatermark("ts", "1 minute").where("status = 'done'")
+    done = feed_stream(spark, sf).where("status = 'done'")
     lines = done.select("key", "event_id", "ts", F.concat(F.lit("Item "), "event_id").alias("line"), F.col("speed").alias("size"))
     out = drain(S.stream_completion_digest(lines, 6 * 3600), "digest")
     # windows still open at the end of the feed close on its watermark
@@ -99,7 +101,7 @@ def stream_completion_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feed_end(spark: SparkSession, sf: str):
-    return table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    return table(spark, sf, "events").where("event_type = 'purchase'").agg(F.max("ts")).first()[0]
 
 
 @registered(with_({**openers(6 * 3600, "status = 'done'"), "j": "select w.key, w.opened_at, e.* exclude (key) from w join e on e.key = w.key and e.ts >= w.opened_at and (w.next_at is null or e.ts < w.next_at)"}, """

@@ -183,14 +183,17 @@ _FA, _FT = split_title("raw_title", "channel")
 
 @registered(with_(ctes("uploads"), f"select cast(id as varchar) as external_id, {_FT} as title, {_FA} as artist, null::bigint as duration_ms, true as partial from uploads where raw_title <> '' and mod(id, 10) <> 0"))
 def ingest_feed_xml(spark: SparkSession, sf: str) -> DataFrame:
-    """Uploads land as XML feed entries, every tenth without an id."""
+    """Uploads land as XML feeds of a thousand entries, every tenth entry without an id."""
     u = view(spark, sf, "uploads")
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit(f"</{name}>"))
     ident = F.when(F.col("id") % 10 != 0, tag("yt:videoId", F.col("id").cast("string"))).otherwise(F.lit(""))
     author = F.when(F.col("channel").isNotNull(), F.concat(F.lit("<author>"), tag("name", F.col("channel")), F.lit("</author>"))).otherwise(F.lit(""))
     entry = F.concat(F.lit("<entry>"), ident, tag("title", F.col("raw_title")), author, F.lit("</entry>"))
     path = new_folder(spark, "feed")
-    u.select(entry.alias("value")).write.text(path)
+    feeds_ = u.groupBy(F.floor(F.col("id") / 1000).alias("block")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("entries"))
+    head = '<feed xmlns:yt="http://www.youtube.com/xml/schemas/2015">'
+    whole = F.concat(F.lit(head), F.col("entries"), F.lit("</feed>"))
+    feeds_.select("block", whole.alias("value")).write.partitionBy("block").text(path)
     return listings.ingest_feed_xml(spark, path)
 
 

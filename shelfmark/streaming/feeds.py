@@ -224,25 +224,31 @@ def opening_events(df: DataFrame, seconds: int) -> DataFrame:
     """Batch twin of both: adds ``opened_at``, the event that opened the window each row falls in.
 
     An event at least ``seconds`` after its predecessor always opens a window, so a key's timeline
-    falls into independent bursts; only inside a burst is the order followed step by step.
+    falls into independent bursts; only inside a burst is the order followed step by step, streaming
+    over sorted Arrow batches in constant memory.
     """
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     order = ["ts", "event_id"]
     day = F.date_trunc("day", F.col("ts"))
     prior = carry_last(df, ["key"], order, F.col("ts"), "_prior", day)
     long_gap = F.col("_prior").isNull() | (F.unix_micros("ts") - F.unix_micros("_prior") >= seconds * 1_000_000)
     burst = carry_last(prior, ["key"], order, F.when(long_gap, F.col("ts")), "_burst", day, inclusive=True).drop("_prior")
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        opened, marks = None, []
-        for ts in pdf["ts"]:
-            if opened is None or ts >= opened + pd.Timedelta(seconds=seconds):
-                opened = ts
-            marks.append(opened)
-        return pdf.assign(opened_at=marks).drop(columns="_burst")
+    gap = pd.Timedelta(seconds=seconds)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, opened = None, None  # carried across batches: rows arrive in burst order
+        for pdf in batches:
+            marks = []
+            for key, start, ts in zip(pdf["key"], pdf["_burst"], pdf["ts"]):
+                if (key, start) != place or ts >= opened + gap:
+                    place, opened = (key, start), ts
+                marks.append(opened)
+            yield pdf.drop(columns="_burst").assign(opened_at=marks)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", opened_at timestamp"
-    return burst.select(*df.columns, "_burst").groupBy("key", "_burst").applyInPandas(follow, schema)
+    lined = burst.select(*df.columns, "_burst").repartition("key", "_burst").sortWithinPartitions("key", "_burst", *order)
+    return lined.mapInPandas(follow, schema)
 
 
 def stream_completion_digest_batch(done: DataFrame, seconds: int = 15) -> DataFrame:

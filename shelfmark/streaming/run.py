@@ -18,7 +18,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def read_feed(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet change feed as a stream. ``path`` is a folder or a single growing table."""
+    """Parquet change feed as a stream. ``path`` is a folder or a pattern of files and folders."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
