@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text as T
 from ..functions.numbers import truthy
+from ..plans.durable import keep
 from ..plans.skew import carry_last, spread_join, top_n
 
 
@@ -155,26 +156,46 @@ def redirect_references(tracks: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
+NARROWING_WORDS = 3
+
+
 def all_words_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id) where the document holds every word of the query.
 
-    Each query is looked up by its rarest word only and then verified against the document's word set,
-    so frequent words cause no join rows unless a query has nothing rarer. ``queries`` carries
-    ``query_id, words``; ``docs`` carries ``doc_id, words`` (distinct words).
+    Each query is looked up by its rarest word, then narrowed by its next rarest ones, all on thin
+    (document, word) rows. Only what is left of queries with more words meets the documents' word sets.
+    ``queries`` carries ``query_id, words``; ``docs`` carries ``doc_id, words`` (distinct words).
     """
-    q = queries.where(F.size("words") > 0).select("query_id", F.col("words").alias("_need"))
-    wanted = q.select("query_id", F.explode("_need").alias("word"))
-    posted = docs.select("doc_id", F.explode("words").alias("word"))
-    posted = posted.join(wanted.select("word").distinct(), "word", "left_semi")
+    wanted = queries.select("query_id", F.explode("words").alias("word"))
+    posted = keep(
+        docs.select("doc_id", F.explode("words").alias("word")).join(
+            wanted.select("word").distinct(), "word", "left_semi"
+        ),
+        "postings",
+    )
     freq = posted.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = wanted.join(freq, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = top_n(known, ["query_id"], [F.col("n"), F.col("word")]).where("n > 0").drop("n")
-    needs = rarest.join(q, "query_id")
-    candidates = spread_join(posted, needs, ["word"], counts=freq)
-    verified = candidates.join(docs.select("doc_id", F.col("words").alias("_have")), "doc_id").where(
-        F.size(F.array_except("_need", "_have")) == 0
+    known = spread_join(wanted, freq, ["word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare_first = F.array_sort(F.collect_list(F.struct("n", "word")))  # the words of one query
+    needs = (
+        known.groupBy("query_id")
+        .agg(rare_first.alias("_r"))
+        .where(F.col("_r")[0]["n"] > 0)
+        .select("query_id", F.col("_r.word").alias("_need"), F.col("_r")[0]["word"].alias("word"))
     )
-    return verified.select("query_id", "doc_id")
+    found = spread_join(posted, needs, ["word"], counts=freq).drop("word")
+    hit = posted.withColumn("_hit", F.lit(True))
+    for i in range(2, NARROWING_WORDS + 1):
+        found = (
+            found.withColumn("word", F.try_element_at("_need", F.lit(i)))
+            .join(hit, ["doc_id", "word"], "left")
+            .where(F.col("word").isNull() | F.col("_hit"))
+            .drop("word", "_hit")
+        )
+    long = F.size("_need") > NARROWING_WORDS
+    found = found.withColumn("_doc", F.when(long, F.col("doc_id")))
+    full = docs.select(F.col("doc_id").alias("_doc"), F.col("words").alias("_have"))
+    rest = lambda w: F.array_contains("_have", w)
+    return found.join(full, "_doc", "left").where(~long | F.forall("_need", rest)).select("query_id", "doc_id")
 
 
 def nearest_within_tolerance(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,9 +69,14 @@ def spread_join(
     hot = F.broadcast(hot_keys(counts, keys, n, rows_per_task(big)))
     part_cols = [F.col(c) for c in (part_by or big.columns)]
     parts = F.coalesce(F.col("_parts"), F.lit(1))
+    row = F.xxhash64(*part_cols)
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])  # never matches: any part will do
+    part = (
+        F.when(parts > 1, F.pmod(row, parts)).when(keyless, F.pmod(row, F.lit(MAX_HOT_KEYS))).otherwise(0).cast("int")
+    )
     left = (
         big.join(hot, keys, "left")
-        .withColumn("_part", F.when(parts > 1, F.pmod(F.xxhash64(*part_cols), parts).cast("int")).otherwise(0))
+        .withColumn("_part", part)
         .drop("_parts")
     )
     right = (

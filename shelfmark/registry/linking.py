@@ -58,7 +58,8 @@ def search_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return short.unionByName(titles), docs
 
 
-@registered()
+@registered(with_({**ctes("catalog"), "d": DOC_WORDS, "q": QUERY_WORDS}, """
+select query_id, doc_id from q join d on list_has_all(d.words, q.words) where len(q.words) > 0"""))
 def all_words_search(spark: SparkSession, sf: str) -> DataFrame:
     queries, docs = search_sides(spark, sf)
     return lookups.all_words_search(queries, docs)
