@@ -46,16 +46,16 @@ def upgrade_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- search ------------------------------------------------------------------------------------
 
-# each catalog title is looked for among the passages and documents: whole texts, every word
+# every benchmark passage and every catalog title is looked for among the documents, by all its words
 DOC_WORDS = f"select doc_id, {words(norm('text'))} as words from documents"
-QUERY_WORDS = f"select item_id as query_id, list_slice({words(norm('text'))}, 1, 3) as words from benchmark union all select 100000 + id, {words(norm('title'))} from catalog"
+QUERY_WORDS = f"select item_id as query_id, {words(norm('text'))} as words from benchmark union all select 100000 + id, {words(norm('title'))} from catalog"
 
 
 def search_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
-    short = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokens(F.col("text")), 1, 3).alias("words"))
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("words"))
     titles = view(spark, sf, "catalog").select((F.col("id") + 100000).alias("query_id"), T.tokens(F.col("title")).alias("words"))
-    return short.unionByName(titles), docs
+    return passages.unionByName(titles), docs
 
 
 @registered(with_({**ctes("catalog"), "d": DOC_WORDS, "q": QUERY_WORDS}, """
