@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="shelfmark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a local session without one gets its own."""
     named = spark.conf.get(CHECKPOINT_SETTING, None)
@@ -21,9 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="shelfmark-")
-    spark.conf.set(CHECKPOINT_SETTING, own)
-    return own
+    return _local_folder()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import duplicates, lookups, ordering
+from shelfmark.plans import durable
 from shelfmark.plans.skew import SortKey, hot_keys, number_rows, spread_join, top_n
 
 
@@ -224,3 +225,19 @@ def test_all_words_search_against_brute_force(crowded):
     want = {(i, j) for i, a in enumerate(asks) for j, w in enumerate(docs) if a and set(a) <= set(w)}
     got = [(r["query_id"], r["doc_id"]) for r in lookups.all_words_search(q, d).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_shared_folder_follows_the_session():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    assert durable.shared_folder(Session(spark_checkpoint_dir="hdfs://c/x/", spark_master="yarn")) == "hdfs://c/x"
+    local = Session(spark_master="local[2]")
+    assert durable.shared_folder(local) == durable.shared_folder(local)
+    with pytest.raises(RuntimeError):
+        durable.shared_folder(Session(spark_master="yarn"))
