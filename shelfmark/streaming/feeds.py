@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from ..functions import fixed_values as fv
 from ..plans.skew import carry_last, number_rows, spread_join, top_n
 from .run import SnapshotTable, latest_by, use_rocksdb
 
+# stream processors travel to the executors by value: the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_COLUMNS = ["event_id", "ts", "key", "status", "speed", "removed"]
 
 
