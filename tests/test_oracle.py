@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-import __spark_entry__ as contract
 import check
+from shelfmark import registry
 
 SF = os.environ.get("SHELFMARK_TEST_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registry.load()  # the training-data queries have tests of their own
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
