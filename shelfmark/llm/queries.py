@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
+from .licenses import op7_license_scan
+from .warc import OP8_SQL, op8_warc
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op7_license_scan, op8_warc)}
+ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
