@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
+from .gst import op5_decontamination
 from .licenses import op7_license_scan
 from .warc import OP8_SQL, op8_warc
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op7_license_scan, op8_warc)}
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_decontamination, op7_license_scan, op8_warc)}
 ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
