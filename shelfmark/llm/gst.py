@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import per_slice, table
 
@@ -141,8 +142,11 @@ class _Block:
         return out
 
 
-def _judged(docs: DataFrame, items: list[tuple[int, list[bytes]]], min_match: int, last: bool) -> DataFrame:
-    """Adds the best item of one block to rows that may carry the best of earlier blocks; ``last`` drops the text."""
+_FOUND = ("coverage", "item_id", "n_tiles")
+
+
+def _judged(docs: DataFrame, items: list[tuple[int, list[bytes]]], min_match: int, columns: Sequence[str]) -> DataFrame:
+    """Updates the best item of rows by that of one block; returns ``columns`` and what was found."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def work():
@@ -167,35 +171,50 @@ def _judged(docs: DataFrame, items: list[tuple[int, list[bytes]]], min_match: in
 
         def one(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text")
-            before = zip(*(batch.column(c).to_pylist() for c in ("coverage", "item_id", "n_tiles")))
+            before = zip(*(batch.column(c).to_pylist() for c in _FOUND))
             tops = [best_of(t, b) for t, b in zip(texts.cast(pa.binary()).to_pylist(), before)]
-            coverage, item_id, n_tiles = zip(*tops)
-            out = {"doc_id": batch.column("doc_id"), "item_id": item_id, "coverage": coverage, "n_tiles": n_tiles}
-            return out if last else out | {"text": texts}
+            return {c: batch.column(c) for c in columns} | dict(zip(_FOUND, zip(*tops)))
 
         return one
 
-    schema = "doc_id long, item_id long, coverage double, n_tiles long" + ("" if last else ", text string")
+    schema = T.StructType([docs.schema[c] for c in (*columns, *_FOUND)])
     return per_slice(docs, work, schema)
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
+def _best_items(
+    docs: DataFrame, columns: Sequence[str], benchmark: DataFrame, min_match: int, threshold: float, block_words: int
 ) -> DataFrame:
-    """One row per document: doc_id, item_id (best covered, null: none), coverage, n_tiles, contaminated."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     most_words = F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1  # each word but the last has a separator
     blocks = max(1, math.ceil((items.agg(F.sum(most_words)).first()[0] or 0) / block_words))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_tiles"),
-    )
+    none = {"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long"), "n_tiles": F.lit(0).cast("long")}
+    rows = docs.select(*columns, *[c for c in ("text",) if c not in columns], *[v.alias(k) for k, v in none.items()])
     for k in range(blocks):  # one in practice; a larger benchmark is a query set taken in blocks
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         block = [(r.item_id, folded_words(r.text)) for r in mine.orderBy("item_id", "text").toLocalIterator()]
-        rows = _judged(rows, block, min_match, last=k == blocks - 1)
+        carried = columns if k == blocks - 1 or "text" in columns else (*columns, "text")
+        rows = _judged(rows, block, min_match, carried)
     return rows.withColumn("contaminated", F.col("coverage") >= threshold)
 
 
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """One row per document: doc_id, item_id (best covered, null: none), coverage, n_tiles, contaminated."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _best_items(read, ("doc_id",), benchmark, min_match, threshold, block_words)
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The documents that are not contaminated, as they are. Column names that start with ``_gst_`` are reserved."""
+    inner = {f"_gst_{i}": c for i, c in enumerate(docs.columns) if c != "text"}
+    read = docs.select("text", *[F.col(c).alias(k) for k, c in inner.items()])
+    found = _best_items(read, read.columns, benchmark, min_match, threshold, block_words).where(~F.col("contaminated"))
+    back = {c: k for k, c in inner.items()}
+    return found.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
