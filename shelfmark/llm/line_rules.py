@@ -6,8 +6,9 @@ exceeds both limits, ``MIN_DOCS`` and the share ``MAX_SHARE`` of the documents o
 left with less than ``MIN_LEFT`` of its words is depleted and rejected.
 
 Copies are no evidence of boilerplate: they would condemn every line of a document that was merely copied, and with it the one copy that should stay. So
-documents of a host that share their sketch (the smallest of their distinct line hashes over lines of at least ``LONG_LINE`` characters), as exact and
-most near copies do, count once for a line. A line of a template stands beside different text and keeps its count.
+documents of a host that share their sketch (the smallest line hash under two hash functions, over lines of at least ``LONG_LINE``
+characters), as exact and most near copies do, count once for a line. A line of a template stands beside different text, which
+gives other smallest hashes, and keeps its count.
 
 Null and empty texts have no words, fail the base rules (fewer than ``MIN_WORDS`` words) and are not kept. A null host is a host of its
 own. Every row is a document, repeated ones share their sketch. An empty table gives no rows. Other columns are not read.
@@ -135,9 +136,9 @@ def line_marks(docs: DataFrame) -> DataFrame:
         ),
     )
     bare = F.transform("_lines", lambda m: F.struct(m["line"].alias("line"), m["words"].alias("words")))
-    smallest = F.array_min(F.transform("_lines", lambda m: m["mark"]))
+    least = [F.array_min(F.transform("_lines", lambda m, a=a: F.substring(m["mark"], a, 16))) for a in (1, 17)]
     everything = F.xxhash64(F.array_sort(F.transform("_lines", lambda m: m["line"])))
-    sketch = F.when(smallest.isNotNull(), F.xxhash64(smallest)).otherwise(everything)
+    sketch = F.when(least[0].isNotNull(), F.xxhash64(*least)).otherwise(everything)
     return docs.select(
         row_key().alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), marks.alias("_lines")
     ).select("key", "host", sketch.alias("sketch"), bare.alias("lines"))
@@ -231,7 +232,8 @@ with read as (
   select r, host, trim(line) as line, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 as words
   from lined where trim(line) <> ''
 ), sketches as (
-  select r, coalesce(min(case when length(line) >= {LONG_LINE} then md5(line) end),
+  select r, coalesce(min(case when length(line) >= {LONG_LINE} then substr(md5(line), 1, 16) end)
+                     || min(case when length(line) >= {LONG_LINE} then substr(md5(line), 17) end),
                      string_agg(line, chr(10) order by line)) as sketch from lines group by r
 ), counts as (
   select host, line, count(distinct sketch) as n_docs from lines join sketches using (r) group by host, line
