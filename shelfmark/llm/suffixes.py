@@ -4,6 +4,8 @@ A window is ``WINDOW`` consecutive words of one document. A word goes when it li
 in a document with a smaller id. A suffix tree over all texts would show such windows as internal nodes at depth ``WINDOW`` or below; it is
 built in parts that fit a task:
 
+0. *Copies.* A text of at least a window that is equal to one with a smaller id loses every word. Such copies take no further part:
+   whatever they share, the first of them shares with a smaller id.
 1. *Suffixes in play.* Of the ``PREFIX``-word runs inside a window the one with the smallest hash is the window's anchor; equal
    windows have equal anchors. An anchor run is the prefix of the suffixes of its windows. Documents send the hashes of their anchors only; a prefix
    that stands in one document only (most do) belongs to no repeat and is dropped, before any text has moved.
@@ -39,6 +41,7 @@ WINDOW = 50
 PREFIX = 16
 GROUP = 2_000
 BATCH_WORDS = 1_000_000
+ALL_WORDS = 1 << 62
 
 
 def anchors(codes: np.ndarray, starts: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def anchors(codes: np.ndarray, starts: np.ndarray, window: int, prefix: int) ->
 
 
 def anchor_table(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """doc_id, text_hash and the distinct anchor hashes of every document that has a window."""
+    """doc_id, text_hash, check and the distinct anchor hashes of every document that has a window."""
 
     def work():
         def one(batch: pa.RecordBatch) -> dict:
@@ -69,11 +72,12 @@ def anchor_table(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             bounds = np.searchsorted(first, words.starts)
             marks = runs[at]
             found = [np.unique(marks[a:b]) for a, b in zip(bounds, bounds[1:])]
-            return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "prefixes": found}
+            return {c: batch.column(c) for c in ("doc_id", "text_hash", "check")} | {"prefixes": found}
 
         return one
 
-    return per_slice(docs, work, "doc_id long, text_hash long, prefixes array<long>").where(F.size("prefixes") > 0)
+    schema = "doc_id long, text_hash long, check long, prefixes array<long>"
+    return per_slice(docs.select("doc_id", "text_hash", "check", "text"), work, schema).where(F.size("prefixes") > 0)
 
 
 def stretches(docs: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -200,8 +204,16 @@ def subtree_repeats(groups: DataFrame, window: int, batch_words: int = BATCH_WOR
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc_id, text_hash and the stretches ``spans`` (first, last) of words to remove, of documents that have any."""
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", "text")
-    marks = keep(anchor_table(known, window, prefix), "anchors").select("doc_id", "text_hash", F.explode("prefixes").alias("prefix"))
+    known = docs.where("doc_id is not null and text is not null").withColumn("check", F.crc32(F.col("text").cast("binary")))
+    held = keep(anchor_table(known, window, prefix), "anchors")
+    same = ["text_hash", "check"]
+    twins = held.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least <> last")
+    copies = keep(
+        held.select("doc_id", *same).join(twins, same).where("doc_id > least").select("doc_id", "text_hash").distinct(), "copies"
+    )
+    marks = held.join(copies, ["doc_id", "text_hash"], "left_anti").select(
+        "doc_id", "text_hash", F.explode("prefixes").alias("prefix")
+    )
     shared = (
         marks.groupBy("prefix")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("places"))
@@ -214,7 +226,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group:
         .agg(F.collect_list(F.struct("prefix", "frequent")).alias("wanted"))
     )
     wanted = keep(wanted, "wanted")
-    texts = known.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
+    texts = known.select("doc_id", "text_hash", "text").join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
     rows = keep(stretches(texts, window, prefix), "stretches")
     found = subtree_repeats(rows.where("stretch is not null"), window)
     single = rows.where("stretch is null").select("prefix", "whole", "doc_id", "text_hash", "first")
@@ -223,8 +235,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group:
         single.join(least, ["prefix", "whole"]).where("doc_id > least")
         .select("doc_id", "text_hash", "first", (F.col("first") + window).alias("last"))
     )
+    everything = copies.select("doc_id", "text_hash", F.lit(0).cast("long").alias("first"), F.lit(ALL_WORDS).alias("last"))
     return (
-        found.unionByName(deep)
+        found.unionByName(deep).unionByName(everything)
         .groupBy("doc_id", "text_hash")  # at most the windows of one document
         .agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     )
@@ -249,7 +262,7 @@ def without_repeats(
                 if mine:
                     gone = np.zeros(n + 1, np.int64)
                     np.add.at(gone, [s["first"] for s in mine], 1)
-                    np.add.at(gone, [s["last"] for s in mine], -1)
+                    np.add.at(gone, [min(s["last"], n) for s in mine], -1)
                     held = [held[i] for i in np.flatnonzero(np.cumsum(gone)[:n] == 0)]
                 kept = b" ".join(held)
                 out["n_words"].append(n)
