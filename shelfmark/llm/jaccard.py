@@ -154,18 +154,23 @@ def _index(shared: DataFrame, percent: int, rare: int) -> DataFrame:
     return shared.mapInArrow(work, "doc_id long, n long, leader long, key long")
 
 
-def candidate_groups(reps: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
-    """(doc_id, n, leader): two linked documents have a leader in common."""
-    tokens = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
+def candidate_groups(filled: DataFrame, copies: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
+    """(doc_id, n, leader): two linked documents of different classes have a leader in common. ``copies`` are left out."""
+    tokens = filled.select("doc_id", "n", "hi", F.explode("prefix").alias("token"))
     shared = (
         tokens.groupBy("token")
-        .agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
-        .where("leader <> last").drop("last")
+        .agg(
+            F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("rows"),
+            F.min("hi").alias("least"), F.max("hi").alias("most"),  # half of the identity of a set; copies agree in it
+        )
+        .where("least <> most").drop("least", "most")
     )
     held = (
         tokens.join(shared, "token")
-        .groupBy("doc_id", "n")  # at most the prefix of one document
+        .groupBy("doc_id", "n", "hi")  # at most the prefix of one document
         .agg(F.collect_set(F.struct("rows", "token", "leader")).alias("held"))
+        .join(copies.select("doc_id", "n", "hi"), ["doc_id", "n", "hi"], "left_anti")
+        .select("doc_id", "n", "held")
     )
     index = keep(_index(held, percent, rare), "index")
     pairs = index.where("key is not null").select("doc_id", "n", "key")
@@ -233,7 +238,7 @@ def verified_links(groups: DataFrame, docs: DataFrame, size: int, percent: int,
     )
     members = keep(members, "members")
     wanted = keep(members.select("doc_id").distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
     # block pair (i, j) with i <= j holds blocks i and j; a document of block m goes to all pairs with m
     units = members.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select(
@@ -280,8 +285,7 @@ def near_duplicates(
     copies = keep(
         filled.select("doc_id", "n", "hi", "lo").join(several, ["n", "hi", "lo"]).where("doc_id <> rep").distinct(), "copies"
     )
-    reps = filled.join(copies.drop("rep"), ["doc_id", "n", "hi", "lo"], "left_anti").select("doc_id", "n", "prefix")
-    groups = candidate_groups(reps, percent, rare)
+    groups = candidate_groups(filled, copies, percent, rare)
     links = verified_links(groups, docs, size, percent, unit)
     stars = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reached = keep(components(links.unionByName(stars)), "components")
