@@ -55,7 +55,6 @@ DURATION_WINDOW_MS = 30_000
 ACOUSTIC_THRESHOLD = 0.82
 MAX_SHIFT = 200
 MAX_RUN = 64
-KEYED_FRAMES = 65_536
 KEY_SHIFT_BITS = 18
 MIN_OVERLAP = 16
 SERIES_BUCKETS = 800

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MAX_INT = 2147483647
+
+
 def half_up(c: Column) -> Column:
     """Round .5 toward +infinity."""
     return F.floor(c + 0.5)
@@ -17,14 +20,18 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 def positive_int(c: Column) -> Column:
     """Whole number above zero, else null."""
-    n = c.cast("double")
-    return F.when(n > 0, half_up(n).cast("int"))
+    n = c.try_cast("double")
+    return F.when((n > 0) & (n < MAX_INT), half_up(n).cast("int"))  # NaN and infinity are not below the limit
 
 
 def truthy(c: Column) -> Column:
-    """Present and neither '' nor 0 (null counts as absent, never as unknown)."""
-    text = c.cast("string")
-    return F.coalesce((text != "") & (text != "0") & (text != "0.0") & (text != "false"), F.lit(False))
+    """Present and, by its type, no empty text, no zero and not false. Null is absent; the text "0" is present."""
+    shown = c.cast("string")
+    number = shown.try_cast("double")
+    empty = F.when(F.typeof(c) == "string", shown == "").otherwise(
+        F.coalesce((number == 0) | F.isnan(number), F.lit(False)) | (shown == "false")
+    )
+    return F.coalesce(~empty, F.lit(False))
 
 
 def first_truthy(*cols: Column) -> Column:

@@ -28,14 +28,13 @@ def let(fn: Callable[..., Column], *cols: Column) -> Column:
 def _compat_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """One-to-one folds for ``translate`` and the short list of expansions, from the Unicode rule.
 
-    A character is folded to its compatibility decomposition without combining marks. Hangul and
-    ideographs are left alone: folding them is one-to-one, so equality does not change. Of the
-    characters that expand to several, the typographic ligatures are covered.
+    A character is folded to its compatibility decomposition without combining marks, in all planes. Hangul
+    syllables are left alone: they decompose one by one, so equality does not change.
     """
     src, dst, longer = [], [], []
-    for cp in list(range(0xA0, 0x1100)) + list(range(0x1D00, 0x2E80)) + list(range(0xFB00, 0x10000)):
+    for cp in (*range(0xA0, 0xAC00), *range(0xF900, 0x30000)):
         ch = chr(cp)
-        if 0x300 <= cp <= 0x36F or 0xD800 <= cp <= 0xF8FF:
+        if 0x300 <= cp <= 0x36F:
             continue
         plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not "̀" <= c <= "ͯ")
         if plain == ch or not plain:
@@ -43,22 +42,34 @@ def _compat_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if len(plain) == 1:
             src.append(ch)
             dst.append(plain)
-        elif 0xFB00 <= cp <= 0xFB06:
+        else:
             longer.append((ch, plain))
     return "".join(src), "".join(dst), tuple(longer)
 
 
+def _ranges(points: list[int]) -> str:
+    """Character class of few ranges that holds the points, and beyond the Latin blocks what lies closely between them."""
+    runs: list[list[int]] = []
+    for p in sorted(points):
+        if runs and p - runs[-1][1] <= (64 if p > 0x2000 else 1):
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def fold(c: Column) -> Column:
     """Accent-free text. ASCII rows skip the translation altogether."""
     src, dst, longer = _compat_tables()
     wide = F.regexp_replace(F.translate(c, src, dst), MARKS, "")
-    expanded = wide
-    for ch, plain in longer:
-        expanded = F.replace(expanded, F.lit(ch), F.lit(plain))
-    ligatures = "[" + "".join(ch for ch, _ in longer) + "]"
+    # characters that become several are looked up one by one, in the few rows that hold one
+    expanding = _ranges([ord(ch) for ch, _ in longer])
+    spelled = F.str_to_map(F.lit("\x01".join(f"{ch}\x02{plain}" for ch, plain in longer)), F.lit("\x01"), F.lit("\x02"))
+    letters = F.regexp_extract_all(wide, F.lit("(?s)."), F.lit(0))
+    expanded = F.array_join(F.transform(letters, lambda ch: F.when(ch.rlike(expanding), F.coalesce(F.try_element_at(spelled, ch), ch)).otherwise(ch)), "")
     return (
         F.when(~c.rlike(r"[^\x00-\x7f]"), c)
-        .when(c.rlike(ligatures), expanded)
+        .when(c.rlike(expanding), expanded)
         .otherwise(wide)
     )
 
@@ -233,13 +244,23 @@ def change_case(c: Column, mode: str) -> Column:
     raise ValueError(f"unknown case mode {mode!r}")
 
 
+def numbered_runs(c: Column) -> Column:
+    """Digit runs without leading zeros and behind their length, so that text order is number order."""
+
+    def number(p: Column) -> Column:
+        bare = F.regexp_replace(p, r"^0+(\d)", "$1")
+        return F.concat(F.lpad(F.length(bare).cast("string"), 9, "0"), bare)
+
+    pieces = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0))
+    coded = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
+    return F.when(c.rlike(r"\d"), coded).otherwise(c)
+
+
 def natural_key(c: Column) -> Column:
-    """Binary-sortable text: base letters, digit runs compared as numbers (up to 18 digits)."""
-    x = F.regexp_replace(F.lower(fold(c)), r"(\d+)", "000000000000000000$1")
-    return F.regexp_replace(x, r"\d*(\d{18})", "$1")
+    """Binary-sortable text: base letters, digit runs of any length compared as numbers."""
+    return numbered_runs(F.lower(fold(c)))
 
 
 def collated_key(c: Column) -> Column:
     """As ``natural_key`` but ordered by the Unicode root collation, punctuation included."""
-    x = F.regexp_replace(c, r"(\d+)", "000000000000000000$1")
-    return F.collate(F.regexp_replace(x, r"\d*(\d{18})", "$1"), "UNICODE_CI_AI")
+    return F.collate(numbered_runs(c), "UNICODE_CI_AI")

@@ -46,7 +46,7 @@ def _runs(prints: DataFrame) -> DataFrame:
     """(id, key, positions): where each stable 14-bit key occurs. Longer runs say nothing about the
     alignment and are dropped, so a position list never exceeds the run limit."""
     keyed = prints.select(
-        "id", F.posexplode(F.slice("frames", 1, fv.KEYED_FRAMES)).alias("pos", "frame")
+        "id", F.posexplode("frames").alias("pos", "frame")
     ).select("id", "pos", F.shiftright("frame", fv.KEY_SHIFT_BITS).alias("key"))
     counted = keyed.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"), F.collect_list("pos").alias("at"))
     return counted.where(F.col("n") <= fv.MAX_RUN).select("id", "key", "at")
@@ -158,7 +158,7 @@ def edge_union(exact: DataFrame, metadata: DataFrame, acoustic: DataFrame | None
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node that has an edge; the component is its smallest id.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). Minima combine before the
@@ -169,15 +169,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).where("lo <> hi").distinct(),
         "components",
     )
-    for _ in range(max_rounds):
-        if _only_stars(work):
-            break
+    while not _only_stars(work):  # a round that finds no star moves at least one link to a smaller node
         rows = work.count()  # read from the written files' footers
         nxt = keep(_small_star(_large_star(work, rows), rows), "components")
         discard(work)
         work = nxt
-    else:
-        raise RuntimeError("components did not converge")
     return work.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(
         work.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     )

@@ -9,17 +9,41 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as T
+from ..functions.numbers import MAX_INT
 from ..plans.skew import spread_join
 from ..plans.templates import compile_filename_pattern, path_column
 from .ordering import resolve_path_collisions
 
 
+def literal(text: str) -> str:
+    """Replacement text without any special meaning."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def java_replacement(text: str, groups: int) -> str:
+    """A replacement where only ``$&`` (the match), ``$n`` (an existing group) and ``$$`` (a dollar) are special."""
+
+    def piece(m: re.Match) -> str:
+        token = m[0]
+        if token == "$$":
+            return "\\$"
+        if token == "$&":
+            return "$0"
+        digits = token[1:]
+        for n in (digits[:2], digits[:1]):
+            if n and 0 < int(n) <= groups:
+                return f"${int(n)}" + digits[len(n) :]
+        return literal(token)
+
+    return "".join(piece(m) if m[0][0] == "$" and len(m[0]) > 1 else literal(m[0]) for m in re.finditer(r"\$\$|\$&|\$\d{1,2}|.", text, re.S))
+
+
 def replace_text(c: Column, find: str, replacement: str, regex: bool = False, case_sensitive: bool = True) -> Column:
     """Literal or regex replacement. A literal replacement never refers to groups."""
     if not find:
         return c
     pattern = find if regex else re.escape(find)
-    target = replacement if regex else replacement.replace("\\", "\\\\").replace("$", "\\$")
+    target = java_replacement(replacement, re.compile(pattern).groups) if regex else literal(replacement)
     return F.regexp_replace(c, pattern if case_sensitive else f"(?i){pattern}", target)
 
 
@@ -94,7 +118,7 @@ def _coerced(field: str, raw: Column, original: Column) -> Column:
     number = F.trim(raw).try_cast("double")
     return (
         F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", F.lit(None).cast("string"))
-        .when(number > 0, F.floor(number + 0.5).cast("bigint").cast("string"))
+        .when((number > 0) & (number < MAX_INT), F.floor(number + 0.5).cast("bigint").cast("string"))
         .otherwise(original.cast("string"))
     )
 
@@ -114,11 +138,17 @@ def overlay_edits(base: DataFrame, edits: DataFrame, fields: list[str]) -> DataF
     return joined.withColumns({**values, "dirty": F.array_join(F.array_compact(F.array(*dirty)), ",")}).drop("patch")
 
 
+def _no_number(raw: Column) -> Column:
+    """True for not-a-number and for numbers that no field can hold; text that is no number clears the field instead."""
+    n = F.trim(raw).try_cast("double")
+    return F.coalesce(F.isnan(n) | (F.abs(n) >= MAX_INT), F.lit(False))
+
+
 def apply_edits(lib: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """Apply patches (absent = leave, null or '' = clear, value = set) to the catalog.
 
-    Returns the new library, one retag log row per edited file, and the edits that could not be
-    applied because their file is unknown.
+    Returns the new library, one retag log row per edited file, and errors: edits whose file is unknown and
+    numbers that no field can hold (such a field keeps its value).
     """
     known = [c for c in fv.EDITABLE_COLUMNS if c in lib.columns]
     joined = lib.join(edits.select("id", "patch"), "id", "left")
@@ -127,7 +157,8 @@ def apply_edits(lib: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
         raw = F.try_element_at("patch", F.lit(c))
         if c in fv.NUMERIC_COLUMNS:
             n = F.trim(raw).try_cast("double")
-            value = F.when(n > 0, F.floor(n + 0.5)).cast(lib.schema[c].dataType)
+            bad = _no_number(raw)
+            value = F.when(bad, F.col(c)).otherwise(F.when((n > 0) & ~bad, F.floor(n + 0.5)).try_cast(lib.schema[c].dataType))
         elif c in ("artist", "genre"):
             joiner = ", " if c == "artist" else "; "
             parts = F.filter(F.split(F.trim(raw), r"\s*;\s*"), lambda x: x != "")
@@ -142,7 +173,12 @@ def apply_edits(lib: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
         F.lit("retag").alias("kind"), F.col("rel_path").alias("from_path"), F.col("rel_path").alias("to_path"),
         F.col("patch").alias("detail"), "id",
     )
-    errors = edits.join(lib.select("id"), "id", "left_anti").select("id", F.lit("file not found").alias("error"))
+    unknown = edits.join(lib.select("id"), "id", "left_anti").select("id", F.lit("file not found").alias("error"))
+    numbers = [c for c in known if c in fv.NUMERIC_COLUMNS]
+    wrong = F.array_compact(
+        F.array(*[F.when(_no_number(F.try_element_at("patch", F.lit(c))), F.lit(f"{c} is no number")) for c in numbers], F.lit(None).cast("string"))
+    )
+    errors = unknown.unionByName(edits.join(lib.select("id"), "id", "left_semi").select("id", F.explode(wrong).alias("error")))
     return {"library": library, "log": log, "errors": errors}
 
 

@@ -273,6 +273,7 @@ def token_similarity_join(df: DataFrame, threshold: float, key: str = "id", word
     sized = df.where(F.size(words) > 0).select(
         F.col(key).alias("id"), F.array_sort(words).alias("w")
     ).withColumn("_class", F.sha2(F.array_join("w", "\u0001"), 256))
+    sized = keep(sized, "words")  # texts are cut into words once
     heads = sized.groupBy("_class").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
     copies = (
         spread_join(sized.select("_class", "id"), heads.where("n > 1").drop("n"), ["_class"], counts=heads.select("_class", "n"))

@@ -102,18 +102,19 @@ EXT_OF_PATH = r"(\.[^./]*)\z"
 NUMBERED_PATH = r"^(.*) \(([2-9]|[1-9]\d+)\)((?:\.[^./]*)?)\z"
 
 
-def resolve_path_collisions(plan: DataFrame, existing: DataFrame, max_rounds: int = 20) -> DataFrame:
+def resolve_path_collisions(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """Give every changed row a free path: the first taker keeps the name, later ones get " (2)", " (3)".
 
     ``plan``: id, from_path, to_path, changed. ``existing``: path of files on disk. The k-th taker of a
     name gets its k-th free number: takers and the numbers already in use are merged in one numbered
     list per name, and the place in that list is the number. A generated name that another row also
-    claims stays with the smallest id; only the losers go round again, against the names settled so far.
+    claims stays with the smallest id; only the losers go round again, against the names settled so far. Every round settles at least one
+    row of each claimed name, so the rounds end.
     """
     taken = existing.select("path").unionByName(plan.where("not changed").select(F.col("to_path").alias("path")))
     movers = plan.where("changed").select("id", "from_path", "to_path")
     settled = plan.where("not changed").select("id", "from_path", "to_path", F.lit(False).alias("changed"))
-    for _ in range(max_rounds):
+    while True:
         checked = keep(_claim_names(movers, taken.distinct()), "paths")
         good = checked.where("_mine")
         settled = settled.unionByName(good.select("id", "from_path", F.col("path").alias("to_path"), F.lit(True).alias("changed")))
@@ -121,7 +122,6 @@ def resolve_path_collisions(plan: DataFrame, existing: DataFrame, max_rounds: in
         if movers.isEmpty():
             return settled
         taken = taken.unionByName(good.select("path"))
-    raise RuntimeError("path collisions did not settle")
 
 
 def _claim_names(movers: DataFrame, taken: DataFrame) -> DataFrame:
@@ -130,8 +130,8 @@ def _claim_names(movers: DataFrame, taken: DataFrame) -> DataFrame:
     used = taken.select(F.col("path").alias("to_path"), F.lit(1).cast("bigint").alias("_n")).unionByName(
         taken.where(F.col("path").rlike(NUMBERED_PATH)).select(
             F.concat(F.regexp_extract("path", NUMBERED_PATH, 1), F.regexp_extract("path", NUMBERED_PATH, 3)).alias("to_path"),
-            numbered.cast("bigint").alias("_n"),
-        )
+            numbered.try_cast("bigint").alias("_n"),
+        ).where("_n is not null")  # a number beyond 64 bits is no slot that a file could get
     )
     used = used.join(movers.select("to_path").distinct(), "to_path", "left_semi")
     used = number_rows(used, ["to_path"], ["_n"], "_j").select(

@@ -38,15 +38,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return the written table: short lineage, columnar, prunable."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_in = path
+    return kept
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by ``keep`` (superseded rounds of a loop)."""
     spark = df.sparkSession
-    root = shared_folder(spark)
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if root.split("://")[-1].lstrip("/") in folder:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df.kept_in)  # PySpark has no call of its own to delete on any file system
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..operators import duplicates, lookups, ordering
 from ..plans.durable import keep
 from . import registered
 from .sql import natural, truthy, with_
 from .views import ctes, table, view
 
-WINDOW_MS = 1000  # the default of 30 000 gives millions of pairs at the bench scale
+WINDOW_MS = fv.DURATION_WINDOW_MS
 
 # distinct recordings: rows with equal content, length and key are one
 REPS = """select min(id) as id, duration_ms, match_key from keyed group by audio_hash, duration_ms, match_key"""
@@ -28,7 +29,7 @@ ACOUSTIC = {
     "frames": FRAMES,
     "lens": "select id, count(*) as n from frames group by 1",
     "pairs": "select a, b from win union all select a, b from far",
-    "runs": "select id, frame >> 18 as key, count(*) as n, list(pos) as spots from frames where pos < 65536 group by 1, 2 having count(*) <= 64",
+    "runs": "select id, frame >> 18 as key, count(*) as n, list(pos) as spots from frames group by 1, 2 having count(*) <= 64",
     "votes": """select a, b, off, count(*) as v from (select p.a, p.b, unnest(list_transform(flatten(list_transform(x.spots, lambda i: list_transform(y.spots, lambda j: [i, j]))), lambda z: z[2] - z[1])) as off
        from pairs p join runs x on x.id = p.a join runs y on y.id = p.b and y.key = x.key where x.n * y.n <= 64) where abs(off) <= 200 group by 1, 2, 3""",
     "best": "select a, b, off from (select *, row_number() over (partition by a, b order by v desc, off) as rn from votes) where rn = 1",

@@ -68,13 +68,13 @@ def all_words_search(spark: SparkSession, sf: str) -> DataFrame:
 TOKEN_DICE = 0.8
 
 
-@registered(with_({**ctes("catalog"), "w": f"select id, list_sort({words(norm('title'))}) as w from catalog", "s": "select id, w, len(w) as n, array_to_string(w, ' ') as k from w where len(w) > 0",
+@registered(with_({"w": f"select doc_id as id, list_sort({words(norm('text'))}) as w from documents", "s": "select id, w, len(w) as n, array_to_string(w, ' ') as k from w where len(w) > 0",
   "h": "select k, min(id) as head, any_value(w) as w from s group by 1"}, f"""
 select h.head as a, s.id as b, 1e0 as dice from s join h using (k) where s.id > h.head
 union all select least(x.head, y.head), greatest(x.head, y.head), {dice('x.w', 'y.w')} from h x join h y on x.head < y.head where {dice('x.w', 'y.w')} >= {TOKEN_DICE}e0"""))
 def token_similarity_join(spark: SparkSession, sf: str) -> DataFrame:
-    c = view(spark, sf, "catalog").select("id", T.tokens(F.col("title")).alias("words"))
-    return lookups.token_similarity_join(c, TOKEN_DICE)
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("words"))
+    return lookups.token_similarity_join(texts, TOKEN_DICE)
 
 
 PLAN_TARGETS = """select id as target_id, concat(title, case id % 4 when 0 then ' (feat. Guest) [Official Video]' when 1 then '' else ' ft. Other' end) as title,
@@ -195,11 +195,10 @@ def rank_folders(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.rank_folders(folders).select("user_name", "dir")
 
 
-# every catalog row is wanted from the hits of its own source and language
-MATCH_PAIRS = """select c.id as target_id, c.title, c.artist, c.album, c.duration_ms as target_ms, c.track_number, c.lang_ as lang, h.* from
- (select *, regexp_extract(rel_path, '/([a-z]+)/', 1) as lang_ from catalog where title <> '') c
- join (select *, regexp_extract(file, ' - ([a-z]+) ', 1) as hit_lang, floor(hit_id / 40) as block from hits) h
- on h.user_name = c.artist and h.hit_lang = c.lang_ and h.block = floor(c.id / 40)"""
+# the results of a search for each catalog row: its own hit, and the hits that order lines point at
+MATCH_PAIRS = """select c.id as target_id, c.title, c.artist, c.album, c.duration_ms as target_ms, c.track_number, h.* from
+ (select id as target_id, id as found from catalog union select l_partkey, l_suppkey from lineitem) s
+ join catalog c on c.id = s.target_id join hits h on h.hit_id = s.found where c.title <> ''"""
 _GT = r"case when g1 <> '' then g1 else name end"
 JUDGED = f"""select *, case when size < 2097152 then 'unusual size' when t < 0.6e0 then 'another title' when off > 12 then 'wrong length'
   when not a_ok and not (len_ok and (b_ok or n_ok)) then 'artist not confirmed' when raw < 0.7e0 and mk > 0 then 'another version (live, remix…)'
@@ -222,6 +221,7 @@ JUDGE_CTES = {**ctes("catalog", "hits"), "pairs": MATCH_PAIRS, "judged": JUDGED}
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     view(spark, sf, "catalog").createOrReplaceTempView("catalog")
     view(spark, sf, "hits").createOrReplaceTempView("hits")
+    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     pairs = spark.sql(MATCH_PAIRS).withColumns(
         {
             "artists": F.lit(None).cast("array<string>"),

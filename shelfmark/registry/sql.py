@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-NOISE = (
-    r"(?i)[(\[](?:official\s*(?:music\s*)?(?:video|audio|visualizer|lyric\s*video|hd\s*video)?|music\s*video"
-    r"|lyrics?(?:\s*video)?|audio|visuali[sz]er|hd|hq|4k|explicit|clean|m/v|mv)[)\]]"
-)
-MARKERS = (
-    "live", "cover", "remix", "karaoke", "instrumental", "sped up", "slowed", "reverb", "nightcore", "8d",
-    "acoustic", "extended", "1 hour", "hour loop", "tutorial", "reaction", "mashup", "bass boosted",
-    "piano version", "demo",
-)
-LIVE = r"(?i)\b(?:live(?: at| in| from)?|unplugged|in concert|sessions?|bbc|mtv)\b"
+from ..functions import fixed_values as fv
+
+NOISE = fv.UPLOAD_NOISE
+MARKERS = fv.VARIANT_MARKERS
+LIVE = fv.LIVE_TITLE
 
 
 def clean(e: str) -> str:
@@ -86,14 +81,16 @@ def split_title(raw: str, channel: str) -> tuple[str, str]:
 
 
 def natural(e: str) -> str:
-    return (
-        f"regexp_replace(regexp_replace(lower(strip_accents({e})), '(\\d+)', '000000000000000000\\1', 'g'), "
-        f"'\\d*(\\d{{18}})', '\\1', 'g')"
-    )
+    """Digit runs become their length without leading zeros, then their digits; a null stays null."""
+    bare = r"regexp_replace(p, '^0+(\d)', '\1')"
+    number = f"lpad(cast(length({bare}) as varchar), 9, '0') || {bare}"
+    pieces = rf"regexp_extract_all(lower(strip_accents({e})), '\d+|\D+')"
+    return rf"case when {e} is not null then array_to_string([case when regexp_matches(p, '^\d') then {number} else p end for p in {pieces}], '') end"
 
 
 def truthy(e: str) -> str:
-    return f"coalesce(cast({e} as varchar) not in ('', '0', '0.0', 'false'), false)"
+    text = f"cast({e} as varchar)"
+    return f"coalesce(case typeof({e}) when 'VARCHAR' then {text} <> '' else {text} not in ('0', '0.0', 'false') end, false)"
 
 
 def with_(ctes: dict[str, str], select: str, recursive: bool = False) -> str:

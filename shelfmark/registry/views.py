@@ -59,12 +59,17 @@ select o_custkey as source_id, o_orderkey as external_id, o_orderkey as position
 from orders
 """
 
-# one row per job id: the line number of an order may repeat
-JOBS = """
-select l_orderkey * 10 + l_linenumber as track_id, l_orderkey as external_id, min(l_partkey) as id_a, min(l_suppkey) as id_b,
-       min(l_returnflag) as flag, min(l_linestatus) as line_status, min(l_quantity) as quantity, min(l_shipdate) as shipped,
-       min(l_discount) as discount
-from lineitem group by 1, 2
+# every order line with an id of its own: the line number of an order may repeat
+LINES = """
+select *, (l_orderkey * 10 + l_linenumber) * 1000 + row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey,
+       l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as line_id
+from lineitem
+"""
+
+JOBS = f"""
+select line_id as track_id, l_orderkey as external_id, l_partkey as id_a, l_suppkey as id_b, l_returnflag as flag,
+       l_linestatus as line_status, l_quantity as quantity, l_shipdate as shipped, l_discount as discount
+from ({LINES}) l
 """
 
 JOB_STATES = f"""
@@ -89,28 +94,26 @@ from orders
 """
 
 # every part is wanted; its order lines are the search results, named after the part their supplier points at
-CANDIDATES = """
+CANDIDATES = f"""
 select l.target_id, t.p_name as target_title, t.p_brand as target_artist, t.p_size * 6000 as target_ms,
        l.cand_id,
        concat(case when l.line % 4 = 0 then concat(c.p_brand, ' - ') else '' end, c.p_name,
               case l.line % 6 when 0 then ' (live)' when 1 then ' (Official Audio)' when 2 then ' remix' else '' end) as cand_title,
        concat(c.p_brand, case when l.line % 5 = 0 then ' - Topic' else '' end) as channel,
        case when l.cand_id % 9 = 0 then null else c.p_size * 6 end as cand_sec, l.line = 1 as trusted
-from (select l_partkey as target_id, l_orderkey * 10 + l_linenumber as cand_id, min(l_linenumber) as line, min(l_suppkey) as supp
-      from lineitem group by 1, 2) l
+from (select l_partkey as target_id, line_id as cand_id, l_linenumber as line, l_suppkey as supp from ({LINES}) x) l
 join part t on t.p_partkey = l.target_id join part c on c.p_partkey = l.supp
 """
 
-RELEASES = """
+RELEASES = f"""
 select l.recording_id, l.release_id, p.p_name as title, p.p_partkey % 40 as release_group,
        case when l.flag = 'R' then 'Bootleg' else 'Official' end as status,
        case when p.p_size < 30 then 'Album' when p.p_size < 40 then 'EP' else 'Single' end as primary_type,
        case when l.part % 5 = 0 then 'Compilation' when l.part % 7 = 0 then 'Live' else null end as secondary_type,
        case when l.line % 6 = 0 then null else substr(cast(l.shipped as varchar(30)), 1, 10) end as released,
        p.p_size * 6000 as duration_ms, l.discount * 10 as score, p.p_brand as artist
-from (select l_orderkey as recording_id, l_orderkey * 10 + l_linenumber as release_id, min(l_linenumber) as line, min(l_partkey) as part,
-             min(l_returnflag) as flag, min(l_shipdate) as shipped, min(l_discount) as discount
-      from lineitem group by 1, 2) l
+from (select l_orderkey as recording_id, line_id as release_id, l_linenumber as line, l_partkey as part, l_returnflag as flag,
+             l_shipdate as shipped, l_discount as discount from ({LINES}) x) l
 join part p on l.part = p.p_partkey
 """
 

@@ -35,7 +35,7 @@ def brute(a, b):
     runs = []
     for f in (a, b):
         r = {}
-        for i, v in enumerate(f[:65536]):
+        for i, v in enumerate(f):
             r.setdefault(v >> 18, []).append(i)
         runs.append(r)
     votes = {}

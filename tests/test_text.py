@@ -212,3 +212,51 @@ def test_frames_unpack(spark):
 def test_file_parts(spark):
     got = one(spark, lambda c: F.struct(*[v.alias(k) for k, v in rollups.file_parts(c).items()]), "a\\b/c.d.FLAC")
     assert (got["name"], got["ext"], got["dir"], got["folders"]) == ("c.d.FLAC", "flac", "a\\b", ["a", "b"])
+
+
+def test_fold_covers_all_planes_and_expansions(spark):
+    assert one(spark, T.normalize, "𝐁𝐨𝐥𝐝 ㎏ Ǆ ½ A™") == "bold kg dz 1 2 atm"
+    assert one(spark, T.fold, "한국 ǅ é") == "한국 Dz e"
+
+
+def test_long_numbers_sort_as_numbers(spark):
+    names = ["x 999999999999999999", "x 1000000000000000000", "x 0000000000000000000007", "x 7a", "x 123456789012345678901234567890"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    want = ["x 0000000000000000000007", "x 7a", *names[:2], names[4]]
+    for key in (T.natural_key, T.collated_key):
+        assert [r["n"] for r in df.orderBy(key(F.col("n"))).collect()] == want
+
+
+def test_presence_follows_the_type(spark):
+    row = spark.sql("select '' as e, '0' as z, 'false' as f, 0 as i, 0.0D as d, 3 as n, false as b, true as t, cast(null as string) as u, cast('NaN' as double) as nan")
+    got = row.select(*[N.truthy(F.col(c)).alias(c) for c in row.columns]).first().asDict()
+    assert got == dict(e=False, z=True, f=True, i=False, d=False, n=True, b=False, t=True, u=False, nan=False)
+
+
+@pytest.mark.parametrize("value, number", [("12", 12), ("99999999999", None), ("NaN", None), ("Infinity", None), ("x", None), ("-1", None)])
+def test_positive_int(spark, value, number):
+    assert one(spark, N.positive_int, value) == number
+
+
+@pytest.mark.parametrize(
+    "find, replacement, want",
+    [("b+", "[$&]", "a[bb]c"), ("(b)b", "$1$2$$", "ab$2$c"), ("bb", "x\\y", "ax\\yc"), ("bb", "$x$", "a$x$c"), ("(a)(b)", "$2$1", "babc")],
+)
+def test_replacement_dialect(spark, find, replacement, want):
+    assert one(spark, lambda c: edits.replace_text(c, find, replacement, regex=True), "abbc") == want
+
+
+def test_one_bad_cell_is_an_error_row_and_not_a_failed_job(spark):
+    lib = spark.createDataFrame([(1, "a", 1999), (2, "b", 2000), (3, "c", 2001), (4, "d", 2002)], "id int, rel_path string, year int")
+    patches = [(1, {"year": "99999999999"}), (2, {"year": "NaN"}), (3, {"year": "1984"}), (4, {"year": ""}), (9, {"year": "1"})]
+    out = edits.apply_edits(lib, spark.createDataFrame(patches, "id int, patch map<string,string>"))
+    assert dict(out["library"].select("id", "year").collect()) == {1: 1999, 2: 2000, 3: 1984, 4: None}
+    assert sorted(map(tuple, out["errors"].collect())) == [(1, "year is no number"), (2, "year is no number"), (9, "file not found")]
+
+
+def test_a_very_long_number_in_a_name_is_no_slot(spark):
+    from shelfmark.operators.ordering import resolve_path_collisions
+
+    plan = spark.createDataFrame([(1, "x", "n/a.mp3", True), (2, "y", "n/a.mp3", True)], "id int, from_path string, to_path string, changed boolean")
+    disk = spark.createDataFrame([("n/a.mp3",), ("n/a (99999999999999999999).mp3",)], "path string")
+    assert dict(resolve_path_collisions(plan, disk).select("id", "to_path").collect()) == {1: "n/a (2).mp3", 2: "n/a (3).mp3"}
