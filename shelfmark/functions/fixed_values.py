@@ -98,3 +98,17 @@ FILENAME_FIELDS = {
 }
 FORBIDDEN_IN_SEGMENT = r'[<>:"/\\|?*]'
 SEGMENT_LIMIT = 180
+
+# --- fixed values: judging lossless hits ---------------------------------------------------------
+NUMBER_PREFIX = r"^(?:\d{1,2}[-.])?(\d{1,3})\s*[-.)]?\s+(?=\S)"
+DASHED_PAIR = r"^(.+?)\s+[-–—]\s+(.+)\z"
+LOSSLESS_VERDICTS = {
+    "size": "unusual size", "title": "another title", "length": "wrong length", "artist": "artist not confirmed",
+    "version": "another version (live, remix…)", "score": "weak match", "busy": "busy",
+}
+ACCEPTED = "accepted"
+ARTIST_SHOWN = 0.5
+ALBUM_SHOWN = 0.8
+LEAST_FILE_BYTES = 2 * 1024 * 1024
+LOSSLESS_WEIGHTS = {"timed": (0.35, 0.25, 0.4), "untimed": (0.55, 0.45, -0.1)}
+MARKER_COST = 0.4

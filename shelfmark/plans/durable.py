@@ -45,6 +45,9 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by ``keep`` (superseded rounds of a loop)."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(df.kept_in)  # PySpark has no call of its own to delete on any file system
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(df.sparkSession, df.kept_in)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # PySpark has no call of its own to delete on any file system
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -244,15 +244,14 @@ def stream_listing_merge(spark: SparkSession, sf: str) -> DataFrame:
     old = existing.where("present").drop("present").withColumns({"partial": F.lit(False), "truncated": F.lit(False)})
     path = new_folder(spark, "landing")
     cols = ["source_id", "external_id", "title", "album", "duration_ms", "position", "partial", "truncated"]
-    old.select(cols).coalesce(1).write.parquet(f"{path}/batch=0")
+    old.select(cols).write.parquet(f"{path}/batch=0")
     # items that were gone before the second landing come back to history through the batch merge
     gone = existing.where("not present")
     table_ = S.SnapshotTable(spark, "items", lambda known, batch: S.merge_listing(known if known is not None else gone, batch))
-    stream = spark.readStream.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in old.select(cols).schema)).option("maxFilesPerTrigger", 1)
-    table_.follow(stream.parquet(f"{path}/batch=0"), "append")
-    first = table_.table()
+    stream = spark.readStream.schema(old.select(cols).schema)  # all files of a landing are one batch
+    first = table_.follow(stream.parquet(f"{path}/batch=0"), "append")
     second = S.SnapshotTable(spark, "items", lambda known, batch: S.merge_listing(known if known is not None else first, batch))
-    arrived.select(cols).coalesce(1).write.parquet(f"{path}/batch=1")
+    arrived.select(cols).write.parquet(f"{path}/batch=1")
     return second.follow(stream.parquet(f"{path}/batch=1"), "append")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..operators import edits, linkage, ordering
 from . import registered
 from .sql import clean, match_key, norm, primary, split_title, truthy, with_
@@ -26,7 +27,7 @@ def split_titles(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.split_titles(view(spark, sf, "uploads"), "raw_title", "channel").select("id", "guess_artist", "guess_title")
 
 
-_SMALL = "('a','an','and','as','at','but','by','en','for','if','in','nor','of','on','or','per','the','to','vs','via','feat','ft')"
+_SMALL = "(" + ",".join(f"'{w}'" for w in fv.SMALL_WORDS) + ")"
 
 
 def _title_case(e: str) -> str:

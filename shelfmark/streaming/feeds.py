@@ -60,8 +60,9 @@ def merge_latest(known: DataFrame | None, updates: DataFrame) -> DataFrame:
     return latest_by(both, ["key"], ["ts", "event_id"])
 
 
-def follow_latest_state(feed: DataFrame) -> DataFrame:
-    table = SnapshotTable(feed.sparkSession, "latest", merge_latest)
+def follow_latest_state(feed: DataFrame, folder: str | None = None) -> DataFrame:
+    """The live table after everything that has arrived. Runs with the same ``folder`` go on from each other."""
+    table = SnapshotTable(feed.sparkSession, "latest", merge_latest, folder)
     return live_rows(table.follow(stream_latest_state(feed)))
 
 
@@ -71,8 +72,8 @@ def stream_status_counts_batch(latest: DataFrame) -> DataFrame:
     return latest.groupBy("status").agg(F.count(F.lit(1)).alias("keys"), speed.alias("speed"))
 
 
-def stream_status_counts(feed: DataFrame) -> DataFrame:
-    return stream_status_counts_batch(follow_latest_state(feed))
+def stream_status_counts(feed: DataFrame, folder: str | None = None) -> DataFrame:
+    return stream_status_counts_batch(follow_latest_state(feed, folder))
 
 
 # ---- windows -----------------------------------------------------------------------------------
@@ -297,8 +298,8 @@ def stream_first_identity(feed: DataFrame, catalog_keys: DataFrame) -> DataFrame
     )
 
 
-def follow_first_identity(feed: DataFrame, catalog_keys: DataFrame) -> DataFrame:
-    return SnapshotTable(feed.sparkSession, "identity", first_identity).follow(stream_first_identity(feed, catalog_keys))
+def follow_first_identity(feed: DataFrame, catalog_keys: DataFrame, folder: str | None = None) -> DataFrame:
+    return SnapshotTable(feed.sparkSession, "identity", first_identity, folder).follow(stream_first_identity(feed, catalog_keys))
 
 
 def merge_tail(lines: int, keys: int):
@@ -314,10 +315,10 @@ def merge_tail(lines: int, keys: int):
     return merge
 
 
-def stream_tail(feed: DataFrame, lines: int = 400, keys: int = 50) -> DataFrame:
+def stream_tail(feed: DataFrame, lines: int = 400, keys: int = 50, folder: str | None = None) -> DataFrame:
     """Last ``lines`` rows of the ``keys`` most recent keys. Every batch is cut to that size before it
     meets the kept table, so a busy key never travels whole."""
-    table = SnapshotTable(feed.sparkSession, "tail", merge_tail(lines, keys))
+    table = SnapshotTable(feed.sparkSession, "tail", merge_tail(lines, keys), folder)
     return table.follow(feed.select("key", "event_id", "ts", "line"), "append")
 
 
@@ -389,9 +390,9 @@ def merge_headers(sources: DataFrame, listings: DataFrame, counts: DataFrame, no
     )
 
 
-def stream_listing_merge(stream: DataFrame) -> DataFrame:
+def stream_listing_merge(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Listings as they arrive, merged batch by batch into the item history."""
-    return SnapshotTable(stream.sparkSession, "items", merge_listing).follow(stream, "append")
+    return SnapshotTable(stream.sparkSession, "items", merge_listing, folder).follow(stream, "append")
 
 
 def retry_schedule(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import new_folder
+from ..plans.durable import new_folder, remove
 
+LOG = "version long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,38 +46,55 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
 class SnapshotTable:
     """A keyed table advanced by micro-batches: version n = merge(version n-1, batch n).
 
-    Versions are new folders named by batch, so a replayed batch rewrites its own version from the
-    same predecessor and the result stays exactly-once.
+    Everything a restart needs lies in ``folder``: versions in folders named by batch, a log of the finished ones, and the
+    progress of the stream. A version counts once its log row is committed; a replayed batch writes its version again
+    from the same predecessor. Another object on the same folder goes on where the last one stopped. The
+    version before the newest stays for replays, older ones are deleted.
     """
 
-    def __init__(self, spark: SparkSession, label: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
+    def __init__(
+        self, spark: SparkSession, label: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str | None = None
+    ):
         self.spark = spark
-        self.folder = new_folder(spark, label)
+        self.folder = folder or new_folder(spark, label)
         self.merge = merge
-        self.versions: dict[int, tuple[str, object]] = {}
+
+    def versions(self) -> list[int]:
+        """Finished versions, oldest first; the log has one small row per micro-batch."""
+        try:
+            log = self.spark.read.schema(LOG).json(f"{self.folder}/log")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return sorted({r.version for r in log.collect()})
+
+    def _path(self, version: int) -> str:
+        return f"{self.folder}/version-{version}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in self.versions if v < batch_id]
-        new = self.merge(self.table(max(before)) if before else None, batch)
-        path = f"{self.folder}/version-{batch_id}"
-        new.write.mode("overwrite").parquet(path)
-        self.versions[batch_id] = (path, new.schema)
+        before = [v for v in self.versions() if v < batch_id]
+        new = self.merge(self.table(before[-1]) if before else None, batch)
+        new.write.mode("overwrite").parquet(self._path(batch_id))
+        self.spark.createDataFrame([(batch_id,)], LOG).coalesce(1).write.mode("append").json(f"{self.folder}/log")
+        for old in before[-2:-1]:
+            remove(self.spark, self._path(old))
 
-    def table(self, version: int | None = None) -> DataFrame:
-        path, schema = self.versions[max(self.versions) if version is None else version]
-        return self.spark.read.schema(schema).parquet(path)
+    def table(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(self._path(version))
 
     def follow(self, stream: DataFrame, mode: str = "update") -> DataFrame:
-        """Run over everything available and return the last version."""
+        """Run over everything that has arrived since the last run and return the newest version."""
         query = (
             stream.writeStream.foreachBatch(self)
-            .option("checkpointLocation", new_folder(self.spark, "progress"))
+            .option("checkpointLocation", f"{self.folder}/progress")
             .outputMode(mode)
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
-        return self.table()
+        done = self.versions()
+        return self.table(done[-1]) if done else self.merge(None, self.spark.createDataFrame([], stream.schema))
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

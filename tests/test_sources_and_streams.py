@@ -4,10 +4,11 @@ import datetime as dt
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.sources import inventory, listings
-from shelfmark.streaming import feeds
+from shelfmark.streaming import feeds, run
 from shelfmark.streaming.run import drain, read_feed
 
 FEED = "event_id bigint, ts timestamp, key bigint, speed double, status string, removed boolean"
@@ -100,3 +101,47 @@ def test_sliding_speed_and_last_ticks(spark, tmp_path):
     last = feeds.last_ticks(history, 5).toPandas()
     assert len(last) == 5 and isinstance(last, pd.DataFrame)
     assert feeds.stream_speed_history(batch, "120 seconds", "60 seconds").agg(F.max("speed")).first()[0] >= last["speed"].max()
+
+
+@pytest.mark.parametrize("kind", ["latest", "identity", "tail", "counts"])
+def test_snapshot_streams_resume_where_they_stopped(spark, tmp_path, kind):
+    rows = [
+        ("a", 1, 10, "queued", False), ("b", 2, 11, "queued", False), ("a", 3, 20, "done", False), ("c", 4, 21, "queued", False),
+        ("b", 5, 30, "done", True), ("d", 6, 31, "queued", False),
+    ]
+    schema = "key string, event_id long, ts timestamp, status string, removed boolean, speed double, line string, album_key string, value double"
+    full = [(k, i, dt.datetime(2024, 1, 1, 0, 0, t), s, r, float(i), f"line {i}", k, float(i)) for k, i, t, s, r in rows]
+    feed, folder = str(tmp_path / "feed"), str(tmp_path / "table")
+    none = spark.createDataFrame([], "album_key string")
+
+    def follow():
+        stream = run.read_feed(spark, feed, schema)
+        if kind == "latest":
+            return feeds.follow_latest_state(stream, folder)
+        if kind == "counts":
+            return feeds.stream_status_counts(stream, folder)
+        if kind == "identity":
+            return feeds.follow_first_identity(stream, none, folder)
+        return feeds.stream_tail(stream, 2, 3, folder)
+
+    for part in (full[:2], full[2:4], full[4:]):  # every run is a new object, as after a restart
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(feed)
+        got = follow()
+    again = follow()  # nothing new has arrived
+    whole = spark.createDataFrame(full, schema)
+    if kind in ("latest", "counts"):
+        want = feeds.stream_latest_state_batch(whole)
+        want = want if kind == "latest" else feeds.stream_status_counts_batch(want)
+    elif kind == "identity":
+        want = feeds.first_identity(None, whole.select("album_key", "ts", "event_id", "value"))
+    else:
+        want = feeds.merge_tail(2, 3)(None, whole.select("key", "event_id", "ts", "line"))
+    for table in (got, again):
+        assert rows_of(table.select(want.columns)) == rows_of(want)
+    assert len([d for d in os.listdir(folder) if d.startswith("version-")]) == 2
+
+
+def test_snapshot_of_an_empty_stream(spark, tmp_path):
+    os.makedirs(tmp_path / "feed")
+    stream = run.read_feed(spark, str(tmp_path / "feed"), "key string, event_id long, ts timestamp, line string")
+    assert feeds.stream_tail(stream, folder=str(tmp_path / "table")).count() == 0
