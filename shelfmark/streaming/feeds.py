@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed_values as fv
+from ..plans.durable import keep
 from ..plans.skew import carry_last, number_rows, spread_join, top_n
 from .run import SnapshotTable, latest_by, use_rocksdb
 
@@ -360,6 +361,20 @@ def merge_listing(existing: DataFrame | None, arrived: DataFrame) -> DataFrame:
     ).select(cols)
 
 
+def merge_listings(existing: DataFrame | None, arrived: DataFrame, when: str = "listed_at") -> DataFrame:
+    """Merge any number of listings per source, told apart by the column ``when``, each source's in order of time.
+
+    Round k merges the k-th listing of every source, so the result does not depend on how listings fall into batches. There are as
+    many rounds as one source has listings in ``arrived``.
+    """
+    stamps = arrived.select("source_id", when).distinct()
+    placed = keep(arrived.join(number_rows(stamps, ["source_id"], [when], "_round"), ["source_id", when]).drop(when), "listings")
+    rounds = placed.agg(F.max("_round")).first()[0] or 0
+    for k in range(1, rounds + 1):
+        existing = keep(merge_listing(existing, placed.where(F.col("_round") == k).drop("_round")), "items")
+    return merge_listing(None, placed.drop("_round")) if existing is None else existing
+
+
 def removed_items(existing: DataFrame, listing: DataFrame, headers: DataFrame) -> DataFrame:
     """Known items absent from their source's listing; nothing for partial or truncated listings.
     ``headers``: source_id, partial, truncated."""
@@ -391,8 +406,10 @@ def merge_headers(sources: DataFrame, listings: DataFrame, counts: DataFrame, no
 
 
 def stream_listing_merge(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Listings as they arrive, merged batch by batch into the item history."""
-    return SnapshotTable(stream.sparkSession, "items", merge_listing, folder).follow(stream, "append")
+    """Listings as they arrive, merged into the item history. A column ``listed_at`` tells the listings of a source
+    apart; without one, what arrives of a source at once is one listing."""
+    merge = merge_listings if "listed_at" in stream.columns else merge_listing
+    return SnapshotTable(stream.sparkSession, "items", merge, folder).follow(stream, "append")
 
 
 def retry_schedule(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:

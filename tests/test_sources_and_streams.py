@@ -145,3 +145,20 @@ def test_snapshot_of_an_empty_stream(spark, tmp_path):
     os.makedirs(tmp_path / "feed")
     stream = run.read_feed(spark, str(tmp_path / "feed"), "key string, event_id long, ts timestamp, line string")
     assert feeds.stream_tail(stream, folder=str(tmp_path / "table")).count() == 0
+
+
+def test_listings_of_a_source_merge_in_order_however_they_arrive(spark, tmp_path):
+    schema = "source_id int, external_id int, title string, album string, duration_ms int, position int, partial boolean, truncated boolean, listed_at int"
+    one = [(1, i, f"t{i}", "old", 5, p, False, False, 10) for p, i in enumerate((7, 8, 9))]
+    two = [(1, i, f"u{i}", None, None, p, False, False, 20) for p, i in enumerate((9, 7))]
+    three = [(1, 6, "v6", None, 4, 0, True, False, 30), (2, 1, "w", None, None, 0, False, False, 30)]
+    frame = lambda rows, n=1: spark.createDataFrame(rows, schema).repartition(n)
+    want = {(1, 6, "v6", None, 4, 2, True), (1, 7, "u7", "old", 5, 1, True), (1, 8, "t8", "old", 5, 1, False), (1, 9, "u9", "old", 5, 0, True), (2, 1, "w", None, None, 0, True)}
+    items = lambda df: {tuple(r) for r in df.select("source_id", "external_id", "title", "album", "duration_ms", "position", "present").collect()}
+    whole = items(feeds.merge_listings(None, frame([*three, *one, *two], 4)))
+    split = items(feeds.merge_listings(feeds.merge_listings(None, frame(one)), frame([*two, *three], 3)))
+    assert whole == split == want
+    for k, part in enumerate((one, [*three, *two])):
+        frame(part, 2).write.mode("append").parquet(str(tmp_path / "feed"))
+        streamed = feeds.stream_listing_merge(run.read_feed(spark, str(tmp_path / "feed"), schema), str(tmp_path / "table"))
+    assert items(streamed) == want
