@@ -5,15 +5,16 @@ collapsed) and hashed; per host, the distinct documents with that line are count
 exceeds both limits, ``MIN_DOCS`` and the share ``MAX_SHARE`` of the documents of its host. Boilerplate lines are removed, and a document
 left with less than ``MIN_LEFT`` of its words is depleted and rejected.
 
-Copies are no evidence of boilerplate: they would condemn every line of a document that was merely copied, and with it the one copy that should stay. So
-documents of a host that share their sketch (the smallest line hash under two hash functions, over lines of at least ``LONG_LINE``
-characters), as exact and most near copies do, count once for a line. A line of a template stands beside different text, which
-gives other smallest hashes, and keeps its count.
+Exact copies are no evidence of boilerplate: they would condemn every line of a document that was merely copied, and with it the one copy that should
+stay. So documents of a host with the same normalised lines, in any order, are one document, both in the count of a line and in that of the host.
+Documents that differ in any line are different ones, however much of them is shared: a page that is boilerplate but for one line counts in full.
+``OP1_SQL`` still counts sketches (the smallest hashes of lines of at least ``LONG_LINE`` characters) in place of documents and rows of the host; it
+agrees on the given tables and keeps pages that the count of documents rejects where shared lines give different pages one sketch.
 
 Null and empty texts have no words, fail the base rules (fewer than ``MIN_WORDS`` words) and are not kept. A null host is a host of its
-own. Every row is a document, repeated ones share their sketch. An empty table gives no rows. Other columns are not read.
+own. Every row is judged; repeated ones count as one document. An empty table gives no rows. Other columns are not read.
 
-Lines are counted with a map-side sum per (host, line, sketch) and then per (host, line), so neither a hot host nor a hot line
+Lines are counted with a map-side sum per (host, line, document) and then per (host, line), so neither a hot host nor a hot line
 is gathered. The lines above the limits are written as a table; Spark sends it to the tasks only if it is small and otherwise joins by shuffle with split skew.
 """
 
@@ -31,7 +32,7 @@ MAX_REPEAT = 0.5
 MIN_DOCS = 20
 MAX_SHARE = 0.02
 MIN_LEFT = 0.5
-LONG_LINE = 20
+LONG_LINE = 20  # read by OP1_SQL only
 _SPACES = "[ \\t-\\r]+"
 _WORD = "[^ \\t-\\r]"
 _NO_SYMBOLS = "[^#*$%&|<>]+"
@@ -126,30 +127,26 @@ def row_key() -> Column:
 
 
 def line_marks(docs: DataFrame) -> DataFrame:
-    """key, host, sketch and the lines of every document as structs (line hash, words)."""
+    """key, host, same (a hash of all lines, equal for exact copies) and the lines of every document as structs (line hash, words)."""
     marks = F.transform(
         compared_lines(F.col("text")),
         lambda s: F.struct(
             F.xxhash64(s).alias("line"),
             (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"),
-            F.when(F.length(s) >= LONG_LINE, F.md5(s)).alias("mark"),
         ),
     )
-    bare = F.transform("_lines", lambda m: F.struct(m["line"].alias("line"), m["words"].alias("words")))
-    least = [F.array_min(F.transform("_lines", lambda m, a=a: F.substring(m["mark"], a, 16))) for a in (1, 17)]
-    everything = F.xxhash64(F.array_sort(F.transform("_lines", lambda m: m["line"])))
-    sketch = F.when(least[0].isNotNull(), F.xxhash64(*least)).otherwise(everything)
+    same = F.xxhash64(F.array_sort(F.transform("lines", lambda m: m["line"])))
     return docs.select(
-        row_key().alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), marks.alias("_lines")
-    ).select("key", "host", sketch.alias("sketch"), bare.alias("lines"))
+        row_key().alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), marks.alias("lines")
+    ).select("key", "host", same.alias("same"), "lines")
 
 
 def boilerplate(marks: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """host, line, n_docs of the lines above both limits."""
-    lines = marks.select("host", "sketch", F.explode("lines.line").alias("line"))
-    once = lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one"))
+    lines = marks.select("host", "same", F.explode("lines.line").alias("line"))
+    once = lines.groupBy("host", "line", "same").agg(F.lit(1).alias("one"))
     counts = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = marks.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    hosts = marks.select("host", "same").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     return counts.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("n_host")).select("host", "line", "n_docs")
 
 

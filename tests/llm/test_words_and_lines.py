@@ -97,6 +97,28 @@ def test_depleted_documents_go_and_copies_are_no_boilerplate(host):
     assert gone == kept
 
 
+def test_a_host_of_nothing_but_depleted_pages_is_rejected(spark):
+    spell = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    shared = [" ".join(f"s{spell(k)}x{spell(j)}" for j in range(12)) for k in range(5)]
+    rows = [(i, "\n".join([*shared, f"own {spell(i)}"]), "short") for i in range(60)]  # the own line is under 20 characters
+    rows += [(100 + i, "\n".join([*shared, f"this page has one long line {spell(i)}"]), "long") for i in range(60)]
+    rows += [(200 + i, "\n".join([*shared, "copied"]), "copies") for i in range(60)]
+    rows += [(300 + i, "\n".join([*shared, f"own {spell(i % 20)}"]), "few") for i in range(60)]  # 20 different documents
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    judged = line_rules.quality(df).collect()
+    assert not any(r.base_failed for r in judged)
+    assert {r.doc_id for r in judged if r.kept} == {*range(200, 260), *range(300, 360)}
+    assert {r.doc_id for r in line_rules.kept_documents(df).collect()} == {*range(200, 260), *range(300, 360)}
+    limits = {(r.host, r.n_docs) for r in line_rules.boilerplate(line_rules.line_marks(df)).collect()}
+    assert limits == {("short", 60), ("long", 60)}
+
+
+def test_the_share_of_a_host_counts_copies_once(spark):
+    rows = [(i, page(i, True, 32), "h") for i in range(30)] + [(1000 + i, page(999, False, 80), "h") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert {r.doc_id for r in line_rules.kept_documents(df).collect()} == set(range(1000, 4000))
+
+
 def test_boilerplate_lines_are_removed_from_texts(host):
     texts = {r.doc_id: r.text for r in line_rules.cleaned(host).collect()}
     assert texts[3] == page(3, False, 70)
