@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and read again as the next one's docs. All stages but the last return the columns of documents:
 
 1. quality rules drop documents that fail the base rules or are left depleted without boilerplate lines;
-2. the n-gram Jaccard join keeps one document of each group, the one with the smallest id;
+2. the n-gram Jaccard join keeps one document of each group, the one with the smallest id; near copies share 80 % of their five-word shingles;
 3. decontamination drops documents that cover too much of a benchmark item;
 4. secret scans mask every finding in the text and count its characters again;
 5. byte-level BPE returns doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left.
@@ -27,6 +27,8 @@ from shelfmark.llm.tables import table
 from shelfmark.plans.durable import keep
 from shelfmark.plans.skew import top_n
 
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -37,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     # only the ids of documents that go travel; a row that is alone in its group needs no partner
-    groups = keep(near_duplicates(docs), "groups")
+    groups = keep(near_duplicates(docs, size=NEAR_WORDS, percent=NEAR_PERCENT), "groups")
     gone = keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     repeated = keep(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

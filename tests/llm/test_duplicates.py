@@ -164,3 +164,17 @@ def test_components_of_chains_stars_and_cycles(spark):
     random.Random(2).shuffle(links)
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(61)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200, 202: 200}
+
+
+def test_pipeline_stage_finds_near_copies_by_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    between = [w if i not in (30, 60) else f"other{i}" for i, w in enumerate(words)]
+    apart = [w if i not in (20, 40, 60) else f"third{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(between)), (3, " ".join(apart)), (4, " ".join(f"v{i}" for i in range(100)))]
+    assert {c for _, _, c in grouped(rows, 4, 85)} == {1, 2, 3, 4}  # the contract of op3 links none of them
+    want = {d for d, _, c in grouped(rows, 5, 80) if d == c}
+    assert want == {1, 3, 4}
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.jaccard_join(spark, df, "").collect()} == want
