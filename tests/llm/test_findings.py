@@ -119,6 +119,22 @@ def test_without_findings_there_is_no_network(spark):
     assert [r.spans for r in secrets.secret_spans(df, None).collect()] == ["", ""]
 
 
+def test_rare_labels_are_found_in_all_documents_and_still_have_a_network(spark):
+    rng = random.Random(4)
+    number = lambda: "".join(rng.choice(string.digits) for _ in range(16))
+    value = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    rows = [(i, f"plain words {number() if i % 100 == 7 else 'only'} here") for i in range(20_000)]
+    rows += [(20_000 + i, f"some text password={value(18)} more text") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = secrets.labelled_findings(df)
+    assert {(r.label, r["count"]) for r in found.groupBy("label").count().collect()} == {(0, 200), (1, 24)}
+    few = spark.createDataFrame([(1, f"call {number()} now"), (2, "an item SG" + "aB3dE5fG7hJ9kL1mN3pQ5" + " here")], df.schema)
+    assert secrets.train(few) is not None and secrets.train(df.where("doc_id >= 20000")) is not None
+    assert [r.label for r in secrets.prior_findings(1, 5)] == [1] * 5 and secrets.prior_findings(0) == secrets.prior_findings(0)
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(few, secrets.train(few)).collect()}
+    assert got == {1: "", 2: "cnn:8:31"}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdef01 b", 21, "x"), (2, None, 3, "y")], "doc_id long, text string, n_chars long, spans string")
     got = secrets.redacted(df, None)
