@@ -135,6 +135,34 @@ def test_rare_labels_are_found_in_all_documents_and_still_have_a_network(spark):
     assert got == {1: "", 2: "cnn:8:31"}
 
 
+def test_the_threshold_keeps_the_recall_of_masked_values(spark):
+    rng = random.Random(6)
+    number = lambda: "".join(rng.choice(string.digits) for _ in range(16))
+    twice = "0123456789abcdefABCD"
+    other = lambda: "".join(rng.choice(string.ascii_letters) for _ in range(24))
+    rows = [(i, f"some text password={other() if i % 6 else number()} more text") for i in range(400)] + [(400 + i, f"please call {number()} now") for i in range(400)]
+    rows += [(800, f"token={twice}"), (801, f"here is {twice} alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = secrets.labelled_findings(df).collect()
+    value = secrets.value_hash(twice)
+    assert sorted(r.label for r in found if r.value == value) == [0, 1]
+    assert len({r.bare for r in found if r.value == value}) == 1  # the key word is no part of a masked value
+    net, threshold = secrets.train(df)
+    secret = [r for r in found if r.label]
+    clean = [r for r in found if not r.label and r.value != value]
+    order = lambda part: [r for _, r in sorted(zip(hashes(spark, part), part))]
+    x, y, held = secrets.training_rows([order(secret), order(clean)])
+    assert not {r.value for r in clean} & {r.value for r in secret}
+    recall = (net.probability(x[held & (y == 1)]) >= threshold).mean()
+    assert recall >= secrets.RECALL
+    assert threshold < 0.5  # a sixth of the values looks like the numbers, so the constraint asks for less than 1/2
+
+
+def hashes(spark, rows):
+    at = spark.createDataFrame([(i, r.window) for i, r in enumerate(rows)], "i int, window string")
+    return [r.h for r in at.select("i", F.xxhash64("window").alias("h")).orderBy("i").collect()]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdef01 b", 21, "x"), (2, None, 3, "y")], "doc_id long, text string, n_chars long, spans string")
     got = secrets.redacted(df, None)
