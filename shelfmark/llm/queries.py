@@ -7,6 +7,7 @@ from .gst import op5_decontamination
 from .jaccard import op3_jaccard_join
 from .language import op10_language_id
 from .licenses import op7_license_scan
+from .line_dedup import OP12_SQL, op12_line_dedup
 from .line_rules import OP1_SQL, op1_quality_rules
 from .secrets import op9_secrets
 from .suffixes import op2_substring_dedup
@@ -15,7 +16,7 @@ from .warc import OP8_SQL, op8_warc
 
 ALL = (
     op1_quality_rules, op2_substring_dedup, op3_jaccard_join, op4_byte_bpe, op5_decontamination, op6_token_counts,
-    op7_license_scan, op8_warc, op9_secrets, op10_language_id,
+    op7_license_scan, op8_warc, op9_secrets, op10_language_id, op12_line_dedup,
 )
 QUERIES = {f.__name__: f for f in ALL}
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op8_warc": OP8_SQL, "op12_line_dedup": OP12_SQL}
