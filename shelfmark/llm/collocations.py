@@ -289,14 +289,18 @@ with pieces as (
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
     from documents)
 ), tokens as (
-  select p, lang, [x for x in regexp_split_to_array(piece, '[ \\t]+') if x <> ''] as w from pieces
-), starts as (
-  select lang, w, unnest(generate_series(1, len(w))) as i from tokens
+  select p, lang, unnest(w) as a, unnest(generate_series(1, len(w))) as i
+  from (select p, lang, [x for x in regexp_split_to_array(piece, '[ \\t]+') if x <> ''] as w from pieces)
+), runs as (
+  select lang, a, lead(a, 1) over s as b, lead(a, 2) over s as c, lead(a, 3) over s as d
+  from tokens window s as (partition by p order by i)
 ), grams as (
-  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f
-  from starts, (values (1), (2), (3), (4)) as s(k) where i + k - 1 <= len(w) group by all having count(*) >= {MIN_COUNT}
+  select lang, 1 as k, a as phrase, count(*) as f from runs group by all having count(*) >= {MIN_COUNT}
+  union all select lang, 2, a || ' ' || b, count(*) as f from runs where b is not null group by all having count(*) >= {MIN_COUNT}
+  union all select lang, 3, a || ' ' || b || ' ' || c, count(*) as f from runs where c is not null group by all having count(*) >= {MIN_COUNT}
+  union all select lang, 4, a || ' ' || b || ' ' || c || ' ' || d, count(*) as f from runs where d is not null group by all having count(*) >= {MIN_COUNT}
 ), totals as (
-  select lang, sum(len(w)) as n from tokens group by lang
+  select lang, count(*) as n from tokens group by lang
 ), phrases as (
   select lang, k, phrase, f as a, string_split(phrase, ' ') as w from grams where k >= 2
 ), cuts as (
