@@ -9,7 +9,7 @@ from ..functions import fixed_values as fv
 from ..functions import text as T
 from ..functions.numbers import truthy
 from ..plans.durable import keep
-from ..plans.skew import carry_last, spread_join, top_n
+from ..plans.skew import carry_last, number_rows, spread_join, top_n
 
 
 def lookup_existing(items: DataFrame, lib: DataFrame) -> DataFrame:
@@ -84,39 +84,42 @@ def snapshot_diff(prev: DataFrame, cur: DataFrame, full: bool = False) -> DataFr
     return p.join(c, "path", "full_outer").select("path", change.alias("change"))
 
 
-def duration_window_pairs(df: DataFrame, window_ms: int = fv.DURATION_WINDOW_MS, key: str = "id") -> DataFrame:
-    """Unordered pairs (a, b) whose durations differ by at most ``window_ms``.
+def duration_neighbours(df: DataFrame, window_ms: int, key: str = "id", within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in order of duration (inside ``within``) with ``rank``, the rank ``last`` of the longest row at most ``window_ms`` longer, and ``rows``.
 
-    Band join: a row meets rows of its own and the next band only, so every pair appears once and needs
-    no de-duplication. Crowded bands are split by ``spread_join``.
+    The rows after a row up to ``last`` are its neighbours: a table of one row per recording in place of one per pair. Window ends are lined up
+    with the rows themselves; as adding a constant keeps the order, the end of the row of rank r is the r-th end, so the rows before it
+    are its place less r. Both numberings span tasks, whatever a band or key holds.
     """
-    timed = df.where("duration_ms > 0").select(key, "duration_ms")
-    band = F.floor(F.col("duration_ms") / window_ms)
-    later = timed.select(F.col(key).alias("b"), F.col("duration_ms").alias("_db"), band.alias("_band"))
-    earlier = timed.select(
-        F.col(key).alias("a"), F.col("duration_ms").alias("_da"), F.explode(F.array(band, band + 1)).alias("_band")
-    )
-    gap = F.col("_db") - F.col("_da")
-    return (
-        spread_join(later, earlier, ["_band"])
-        .where((gap <= window_ms) & ((gap > 0) | ((gap == 0) & (F.col("b") > F.col("a")))))
-        .select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.abs(gap).cast("bigint").alias("gap_ms")
-        )
+    by = list(within)
+    timed = df.where(F.col("duration_ms") > 0).select(*by, F.col(key).alias("id"), "duration_ms")
+    ranked = number_rows(timed, by, ["duration_ms", "id"], "rank", total="rows")
+    at = lambda kind, value: ranked.select(*by, "id", "rank", "rows", "duration_ms", F.lit(kind).alias("kind"), value.cast("double").alias("at"))
+    both = at(0, F.col("duration_ms")).unionByName(at(1, F.col("duration_ms") + F.lit(window_ms)))
+    ends = number_rows(both, by, ["at", "kind", "rank"], "place").where("kind = 1")
+    return ends.select(*by, "id", "duration_ms", "rank", (F.col("place") - F.col("rank")).alias("last"), "rows")
+
+
+def _pairs_of(ranges: DataFrame, first: Column, last: Column, by: list[str]) -> DataFrame:
+    """(a, b, gap_ms) of each row and the rows whose ranks lie in its range; every pair arises once, from the shorter row."""
+    some = ranges.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    left = some.select(*by, F.col("id").alias("_x"), F.col("duration_ms").alias("_dx"), F.explode(F.sequence("_first", "_last")).alias("rank"))
+    right = ranges.select(*by, "rank", F.col("id").alias("_y"), F.col("duration_ms").alias("_dy"))
+    return left.join(right, [*by, "rank"]).select(
+        F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), (F.col("_dy") - F.col("_dx")).cast("bigint").alias("gap_ms")
     )
 
 
+def duration_window_pairs(df: DataFrame, window_ms: int = fv.DURATION_WINDOW_MS, key: str = "id") -> DataFrame:
+    """Unordered pairs (a, b) whose durations differ by at most ``window_ms``, from ranges of neighbours."""
+    near = keep(duration_neighbours(df, window_ms, key), "neighbours")
+    return _pairs_of(near, F.col("rank") + 1, F.col("last"), [])
+
+
 def same_key_far_pairs(df: DataFrame, window_ms: int = fv.DURATION_WINDOW_MS, key: str = "id") -> DataFrame:
-    """Pairs that share a match key but differ by more than the window."""
-    timed = df.where("duration_ms > 0 and match_key is not null").select("match_key", key, "duration_ms")
-    right = timed.select("match_key", F.col(key).alias("b"), F.col("duration_ms").alias("_db"))
-    left = timed.select("match_key", F.col(key).alias("a"), F.col("duration_ms").alias("_da"))
-    gap = F.abs(F.col("_db") - F.col("_da"))
-    return (
-        spread_join(right, left, ["match_key"])
-        .where((F.col("a") < F.col("b")) & (gap > window_ms))
-        .select("a", "b", gap.cast("bigint").alias("gap_ms"))
-    )
+    """Pairs that share a match key but differ by more than the window: the rows of the key beyond the neighbours."""
+    near = keep(duration_neighbours(df.where("match_key is not null"), window_ms, key, ("match_key",)), "neighbours")
+    return _pairs_of(near, F.col("last") + 1, F.col("rows"), ["match_key"]).select("a", "b", "gap_ms")
 
 
 def upgrade_candidates(files: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -225,7 +228,7 @@ def nearest_within_tolerance(
     return kept.select("q", "rec", F.when(text(prefer), prefer).otherwise(other).alias("text_kind"))
 
 
-def last_success_preference(attempts: DataFrame, deliveries: DataFrame, span: str = "day") -> DataFrame:
+def last_success_preference(attempts: DataFrame, deliveries: DataFrame) -> DataFrame:
     """As-of lookup: for each attempt the source that last delivered its album key strictly before it.
 
     ``attempts``: attempt_id, album_key, ts. ``deliveries``: delivery_id, album_key, ts, source. Attempts
@@ -238,7 +241,7 @@ def last_success_preference(attempts: DataFrame, deliveries: DataFrame, span: st
             "album_key", "ts", F.lit(1).alias("_kind"), F.col("delivery_id").alias("_id"), F.col("source").cast("string").alias("_src")
         )
     )
-    seen = carry_last(both, ["album_key"], ["ts", "_kind", "_id"], F.col("_src"), "preferred", F.date_trunc(span, F.col("ts")))
+    seen = carry_last(both, ["album_key"], ["ts", "_kind", "_id"], F.col("_src"), "preferred")
     return seen.where("_kind = 0").select(F.col("_id").alias("attempt_id"), "album_key", "ts", "preferred")
 
 

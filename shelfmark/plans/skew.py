@@ -98,20 +98,12 @@ def top_n(
     return out if rank else out.drop(name)
 
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column | SortKey],
-    position: str = "position",
-    total: str | None = None,
-) -> DataFrame:
-    """Number rows 1..n inside each key (or over the table when ``keys`` is empty).
+def line_up(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column | SortKey]) -> DataFrame:
+    """Rows range-partitioned and sorted by key and order, with ``_num_at`` (rising) and ``_num_task`` (the task a row lies in).
 
-    A plain window would pull a whole key into one task. Here rows are range-partitioned by key and
-    order, so a hot key spans many tasks; each task's rows are consecutive, and a table with one row
-    per (key, task) supplies the offsets. ``order`` must be total.
+    A hot key spans many tasks, whose rows follow each other. ``order`` must be total. The table is written: places must not change
+    when a task is repeated.
     """
-    keys = list(keys)
     marks = [f"_num_o{i}" for i in range(len(order))]
     lined = df
     sort_cols = [F.col(k) for k in keys]
@@ -125,7 +117,23 @@ def number_rows(
         .withColumn("_num_at", F.monotonically_increasing_id())
         .drop(*marks)
     )
-    lined = keep(lined, "numbered").withColumn("_num_task", F.shiftright("_num_at", 33))
+    return keep(lined, "numbered").withColumn("_num_task", F.shiftright("_num_at", 33))
+
+
+def number_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column | SortKey],
+    position: str = "position",
+    total: str | None = None,
+) -> DataFrame:
+    """Number rows 1..n inside each key (or over the table when ``keys`` is empty).
+
+    A plain window would pull a whole key into one task. Here rows are lined up over tasks, and a table with one row
+    per (key, task) supplies the offsets. ``order`` must be total.
+    """
+    keys = list(keys)
+    lined = line_up(df, keys, order)
     runs = lined.groupBy(*keys, "_num_task").agg(F.min("_num_at").alias("_num_first"), F.count(F.lit(1)).alias("_num_n"))
     by_key = Window.partitionBy(*keys)  # one row per task and key, never per input row
     before = by_key.orderBy("_num_task").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,36 +148,25 @@ def number_rows(
 
 
 def carry_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    name: str,
-    slice_of: Column,
-    inclusive: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column | SortKey], value: Column, name: str, inclusive: bool = False
 ) -> DataFrame:
     """Adds the last non-null ``value`` before each row (or up to it) within its key.
 
-    The timeline of a key is cut into slices so that no key becomes one task. Inside a slice a window
-    finds the value; rows before the first value of their slice take the last one of earlier slices,
-    found over a table with one row per key and slice. ``slice_of`` must not decrease along ``order``.
+    A scan in two passes over lined-up rows: inside a task a window finds the value; rows before the first value of
+    their task take the one carried over its boundary, from a table with one row per key and task. One key may hold all rows. Null keys are a key.
     """
     keys = list(keys)
-    marked = df.withColumns({"_slice": slice_of, "_value": value})
-    spot = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    ends = marked.groupBy(*keys, "_slice").agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), spot)).alias("_end")
-    )
-    past = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(past)).drop("_end")
-    here = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
+    lined = line_up(df.withColumn("_value", value), keys, order)
+    spot = F.when(F.col("_value").isNotNull(), F.col("_num_at"))
+    ends = lined.groupBy(*keys, "_num_task").agg(F.max_by("_value", spot).alias("_end"))
+    past = Window.partitionBy(*keys).orderBy("_num_task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task and key
+    carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(past)).where("_carry is not null")
+    carried = carried.select("_carry", *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_num_task"]])
+    here = Window.partitionBy(*keys, "_num_task").orderBy("_num_at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    seen = lined.withColumn("_here", F.last("_value", ignorenulls=True).over(here))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_num_task"]]
     return (
-        marked.withColumn("_here", F.last("_value", ignorenulls=True).over(here))
-        .join(earlier, [*keys, "_slice"], "left")
+        seen.join(carried, on, "left")
         .withColumn(name, F.coalesce("_here", "_carry"))
-        .drop("_slice", "_value", "_here", "_carry")
+        .drop("_value", "_here", "_carry", "_num_at", "_num_task", *[f"_of_{c}" for c in [*keys, "_num_task"]])
     )

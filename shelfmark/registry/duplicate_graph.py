@@ -92,6 +92,12 @@ def duration_window_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return lookups.duration_window_pairs(representatives(view(spark, sf, "keyed")), WINDOW_MS)
 
 
+@registered(with_(PAIR_CTES, f"""select r.id, r.duration_ms, (select count(*) from reps s where s.duration_ms > 0 and (s.duration_ms, s.id) <= (r.duration_ms, r.id)) as rank,
+ (select count(*) from reps s where s.duration_ms > 0 and s.duration_ms <= r.duration_ms + {WINDOW_MS}) as last from reps r where r.duration_ms > 0"""))
+def duration_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return lookups.duration_neighbours(representatives(view(spark, sf, "keyed")), WINDOW_MS).select("id", "duration_ms", "rank", "last")
+
+
 @registered(with_(PAIR_CTES, "select * from far"))
 def same_key_far_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return lookups.same_key_far_pairs(representatives(view(spark, sf, "keyed")), WINDOW_MS)

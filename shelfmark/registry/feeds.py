@@ -94,21 +94,17 @@ def stream_completion_digest(spark: SparkSession, sf: str) -> DataFrame:
     """Completions are sparse in the table, so the digest window is six hours here."""
     done = feed_stream(spark, sf).where("status = 'done'")
     lines = done.select("key", "event_id", "ts", F.concat(F.lit("Item "), "event_id").alias("line"), F.col("speed").alias("size"))
-    out = drain(S.stream_completion_digest(lines, 6 * 3600), "digest")
-    # windows still open at the end of the feed close on its watermark
-    end = F.lit(_feed_end(spark, sf)).cast("timestamp") - F.expr("interval 1 minute")
-    return out.where(F.col("opened_at") + F.expr("interval 6 hours") <= end).withColumn("total", F.round("total", 4))
+    return drain(S.stream_completion_digest(lines, 6 * 3600), "digest").withColumn("total", F.round("total", 4))
 
 
-def _feed_end(spark: SparkSession, sf: str):
-    return table(spark, sf, "events").where("event_type = 'purchase'").agg(F.max("ts")).first()[0]
-
-
-@registered(with_({**openers(6 * 3600, "status = 'done'"), "j": "select w.key, w.opened_at, e.* exclude (key) from w join e on e.key = w.key and e.ts >= w.opened_at and (w.next_at is null or e.ts < w.next_at)"}, """
-select key, opened_at, count(*) as done, round(sum(speed), 4) as total from j group by 1, 2""", recursive=True))
+@registered(with_({**openers(6 * 3600, "status = 'done'"), "j": "select w.key, w.opened_at, e.* exclude (key) from w join e on e.key = w.key and e.ts >= w.opened_at and (w.next_at is null or e.ts < w.next_at)",
+  "l": "select *, row_number() over (partition by key, opened_at order by ts, event_id) as rn from j"}, """
+select key, opened_at, count(*) as done, round(sum(speed), 4) as total, count(*) > 10 as collapsed,
+ string_agg('Item ' || event_id, chr(10) order by rn) filter (where rn <= 25) || case when count(*) > 25 then chr(10) || '…and ' || (count(*) - 25) || ' more' else '' end as lines
+from l group by 1, 2""", recursive=True))
 def completion_digest_batch(spark: SparkSession, sf: str) -> DataFrame:
     done = view(spark, sf, "feed").where("status = 'done'").select("key", "event_id", "ts", F.concat(F.lit("Item "), "event_id").alias("line"), F.col("speed").alias("size"))
-    return S.stream_completion_digest_batch(done, 6 * 3600).select("key", "opened_at", "done", F.round("total", 4).alias("total"))
+    return S.stream_completion_digest_batch(done, 6 * 3600).withColumn("total", F.round("total", 4))
 
 
 @registered(with_(openers(3 * 3600, "true"), "select w.key, min(e.event_id) as event_id, w.opened_at as ts from w join e on e.key = w.key and e.ts = w.opened_at group by 1, 3", recursive=True))

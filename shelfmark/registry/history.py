@@ -9,6 +9,7 @@ from ..operators import lookups
 from ..plans.durable import new_folder
 from ..sources import inventory, listings
 from ..streaming import feeds as S
+from ..streaming.run import read_feed
 from . import registered
 from .browse import STATE_CTES, item_states
 from .sql import match_key, split_title, with_
@@ -239,20 +240,16 @@ def arrivals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @registered(with_(LISTING, MERGED))
 def stream_listing_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Two landings, the known items first and the new listings second, merged as a stream."""
+    """Two landings as a stream, the known items as a first listing and the new listings second."""
     existing, arrived = arrivals(spark, sf)
-    old = existing.where("present").drop("present").withColumns({"partial": F.lit(False), "truncated": F.lit(False)})
-    path = new_folder(spark, "landing")
-    cols = ["source_id", "external_id", "title", "album", "duration_ms", "position", "partial", "truncated"]
-    old.select(cols).write.parquet(f"{path}/batch=0")
-    # items that were gone before the second landing come back to history through the batch merge
-    gone = existing.where("not present")
-    table_ = S.SnapshotTable(spark, "items", lambda known, batch: S.merge_listing(known if known is not None else gone, batch))
-    stream = spark.readStream.schema(old.select(cols).schema)  # all files of a landing are one batch
-    first = table_.follow(stream.parquet(f"{path}/batch=0"), "append")
-    second = S.SnapshotTable(spark, "items", lambda known, batch: S.merge_listing(known if known is not None else first, batch))
-    arrived.select(cols).write.parquet(f"{path}/batch=1")
-    return second.follow(stream.parquet(f"{path}/batch=1"), "append")
+    cols = ["source_id", "external_id", "title", "album", "duration_ms", "position", "partial", "truncated", "listed_at"]
+    known = existing.withColumns({"partial": F.lit(False), "truncated": F.lit(False), "listed_at": F.lit(1)}).select(cols)
+    path, folder = new_folder(spark, "landing"), new_folder(spark, "items")
+    known.write.parquet(path)
+    stream = read_feed(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema))
+    S.stream_listing_merge(stream, folder)
+    arrived.withColumn("listed_at", F.lit(2)).select(cols).write.mode("append").parquet(path)
+    return S.stream_listing_merge(stream, folder)
 
 
 @registered(with_(LISTING, """select e.source_id, e.external_id from existing e join (select source_id from arrived group by 1 having bool_and(not partial and not truncated)) h using (source_id)

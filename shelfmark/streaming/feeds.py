@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed_values as fv
-from ..plans.durable import keep
-from ..plans.skew import carry_last, number_rows, spread_join, top_n
+from ..plans.durable import discard, keep
+from ..plans.skew import SortKey, carry_last, number_rows, spread_join, top_n
 from .run import SnapshotTable, latest_by, use_rocksdb
 
 # stream processors travel to the executors by value: the package need not be installed there
@@ -41,10 +43,17 @@ def stream_file_monitor(spark: SparkSession, folder: str, files_per_batch: int |
 
 # ---- live state --------------------------------------------------------------------------------
 
+LIFETIME = "1 hour"
 
-def stream_latest_state(feed: DataFrame) -> DataFrame:
-    """Last state per key (update mode). Removed keys are filtered by ``live_rows``."""
-    return latest_by(feed.withWatermark("ts", "10 minutes").select(STATE_COLUMNS), ["key"], ["ts", "event_id"])
+
+def stream_latest_state(feed: DataFrame, lifetime: str = LIFETIME) -> DataFrame:
+    """Newest state per key and ``lifetime`` of event time (update mode). Removed keys are filtered by ``live_rows``.
+
+    State ends with its slice of time: once the watermark has passed it, no row of it can arrive, and it is dropped. A key that is
+    heard of again starts anew, and the table the updates go to keeps the newest row. Rows combine before the shuffle.
+    """
+    slices = feed.withWatermark("ts", "10 minutes").select(STATE_COLUMNS).withColumn("_life", F.window("ts", lifetime))
+    return latest_by(slices, ["_life", "key"], ["ts", "event_id"]).drop("_life")
 
 
 def stream_latest_state_batch(feed: DataFrame) -> DataFrame:
@@ -119,62 +128,98 @@ def stream_done_per_day(feed: DataFrame) -> DataFrame:
 
 # ---- windows opened by their first event -------------------------------------------------------
 
-DIGEST_SCHEMA = "key bigint, opened_at timestamp, done int, total double, collapsed boolean, lines string"
-ACCEPTED_SCHEMA = "key bigint, event_id bigint, ts timestamp"
+# fixed values: size and wording of a digest
 DIGEST_LINES = 25
 DIGEST_CARDS = 10
+DIGEST_MORE = "\n…and {} more"
+
+DIGEST_SCHEMA = "key bigint, opened_at timestamp, done int, total double, collapsed boolean, lines string"
+ACCEPTED_SCHEMA = "key bigint, event_id bigint, ts timestamp"
 
 
 def digest_text(lines: list[str], done: int) -> str:
     """First lines of a digest, then how many more."""
     more = done - min(done, DIGEST_LINES)
-    return "\n".join(lines[:DIGEST_LINES]) + (f"\n…and {more} more" if more else "")
+    return "\n".join(lines[:DIGEST_LINES]) + (DIGEST_MORE.format(more) if more else "")
+
+
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _ceil_ms(us: int) -> int:
+    return -(-us // 1000)
 
 
 class CompletionDigest(StatefulProcessor):
-    """Collects completions from the first one on and reports them together ``seconds`` later."""
+    """Collects completions from the first one on and reports them together ``seconds`` later.
+
+    Arrivals wait in list state until the watermark has passed them, so they are counted in the order of events, however they fall into
+    batches. A timer at the end of the earliest window that can close settles what the watermark has passed: settled arrivals are a sum and the first lines
+    of the open window, which the timer reports and forgets once it is over.
+    """
 
     def __init__(self, seconds: int = 15):
-        self.seconds = seconds
+        self.gap = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "opened_ms bigint, done int, total double, lines array<string>")
-
-    def _close(self, key, state) -> dict:
-        opened, done, total, lines = state
-        return {
-            "key": key[0], "opened_at": pd.Timestamp(opened, unit="us"), "done": done, "total": total,
-            "collapsed": done > DIGEST_CARDS, "lines": digest_text(list(lines), done),
-        }
+        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, line string, size double")
+        self.open = handle.getValueState("open", "opened_us bigint, done int, total double, lines array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        state = self.open.get() if self.open.exists() else None
-        out = []
-        for ts, line, size in zip(arrived["ts"], arrived["line"], arrived["size"]):
-            us = pd.Timestamp(ts).value // 1000
-            if state is not None and us >= state[0] + self.seconds * 1_000_000:
-                self.handle.deleteTimer(self._due(state[0]))
-                out.append(self._close(key, state))
-                state = None
-            if state is None:
-                state = (us, 0, 0.0, [])
-                self.handle.registerTimer(self._due(us))
-            lines = list(state[3])
-            if len(lines) < DIGEST_LINES:
-                lines.append(line)
-            state = (state[0], state[1] + 1, state[2] + float(size), lines)
-        self.open.update(state)
-        yield pd.DataFrame(out, columns=["key", "opened_at", "done", "total", "collapsed", "lines"])
-
-    def _due(self, opened_us: int) -> int:
-        return -(-(opened_us + self.seconds * 1_000_000) // 1000)
+        first = None
+        for pdf in rows:
+            us = _micros(pdf["ts"])
+            self.waiting.appendList(list(zip(us.tolist(), pdf["event_id"].tolist(), pdf["line"].tolist(), pdf["size"].astype(float).tolist())))
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self._close_at(first)  # no window opened by these rows ends before
+        return iter(())
+
+    def _close_at(self, opened_us: int) -> None:
+        self.handle.registerTimer(_ceil_ms(opened_us + self.gap))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists() and self._due(self.open.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            yield pd.DataFrame([self._close(key, self.open.get())])
-            self.open.clear()
+        settled = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        us = np.array([r[0] for r in waiting], np.int64)
+        n = int(np.searchsorted(us, settled, side="right"))
+        window = self.open.get() if self.open.exists() else None
+        had = window is not None
+        closed, at = [], 0
+        while True:
+            if window is not None:
+                end = min(int(np.searchsorted(us, window[0] + self.gap)), n)
+                mine = waiting[at:end]
+                lines = [*window[3], *(r[2] for r in mine[: DIGEST_LINES - len(window[3])])]
+                window = (window[0], window[1] + len(mine), window[2] + sum(r[3] for r in mine), lines)
+                at = end
+                if window[0] + self.gap > settled:
+                    break
+                closed.append(window)
+            window = None
+            if at == n:
+                break
+            window = (int(us[at]), 0, 0.0, [])
+        if n:
+            self.waiting.clear()
+            if waiting[n:]:
+                self.waiting.put(waiting[n:])
+        if window is not None:
+            self.open.update(window)
+            self._close_at(window[0])
+        else:
+            if had:
+                self.open.clear()
+            if waiting[n:]:
+                self._close_at(waiting[n][0])
+        if closed:
+            opened, done, total, lines = zip(*closed)
+            yield pd.DataFrame({
+                "key": key[0], "opened_at": pd.to_datetime(list(opened), unit="us"), "done": done, "total": total,
+                "collapsed": [d > DIGEST_CARDS for d in done], "lines": [digest_text(t, d) for t, d in zip(lines, done)],
+            })
 
     def close(self) -> None:
         pass
@@ -192,25 +237,45 @@ def stream_completion_digest(done: DataFrame, seconds: int = 15) -> DataFrame:
 
 
 class AcceptOnce(StatefulProcessor):
-    """Lets one event of a key through, then none until ``seconds`` after the accepted one."""
+    """Lets one event of a key through, then none until ``seconds`` after the accepted one.
+
+    Accepted events are found by jumps over the sorted times, one for each. A timer forgets a key once the watermark is ``seconds`` past its
+    accepted event: every later row would be let through anyway.
+    """
 
     def __init__(self, seconds: int = 600):
-        self.seconds = seconds
+        self.gap = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.accepted = handle.getValueState("accepted", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        last = self.accepted.get()[0] if self.accepted.exists() else None
-        keep = []
-        for ts in arrived["ts"]:
-            us = pd.Timestamp(ts).value // 1000
-            fresh = last is None or us >= last + self.seconds * 1_000_000
-            last = us if fresh else last
-            keep.append(fresh)
-        self.accepted.update((last,))
-        yield arrived[keep][["key", "event_id", "ts"]]
+        times, ids = [], []
+        for pdf in rows:
+            times.append(_micros(pdf["ts"]))
+            ids.append(pdf["event_id"].to_numpy())
+        us, event = np.concatenate(times), np.concatenate(ids)
+        order = np.lexsort((event, us))
+        us, event = us[order], event[order]
+        before = self.accepted.get()[0] if self.accepted.exists() else None
+        last, taken = before, []
+        at = 0 if last is None else int(np.searchsorted(us, last + self.gap))
+        while at < len(us):
+            taken.append(at)
+            last = int(us[at])
+            at = int(np.searchsorted(us, last + self.gap))
+        if taken:
+            if before is not None:
+                self.handle.deleteTimer(_ceil_ms(before + self.gap))
+            self.accepted.update((last,))
+            self.handle.registerTimer(_ceil_ms(last + self.gap))
+            yield pd.DataFrame({"key": key[0], "event_id": event[taken], "ts": pd.to_datetime(us[taken], unit="us")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.accepted.exists() and _ceil_ms(self.accepted.get()[0] + self.gap) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.accepted.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -227,35 +292,61 @@ def stream_dedupe_recent(feed: DataFrame, seconds: int = 600) -> DataFrame:
     )
 
 
+_BURST = ["key", "_burst"]
+
+
+def _openers(bursts: DataFrame, gap_us: int) -> DataFrame:
+    """(key, _burst, spot): the events that open a window, in bursts that may hold several.
+
+    Each event points to the first one at or after the end of a window it would open; the openers are what the first event of
+    a burst reaches. Pointers double until none is left: round k reaches 2**k windows on, so rounds grow with the logarithm of the windows of one burst.
+    ``bursts``: key, _burst (its first event), spot: struct(ts, event_id).
+    """
+    span = bursts.groupBy(*_BURST).agg(F.max("spot.ts").alias("_end"))
+    several = span.where(F.unix_micros("_end") - F.unix_micros(F.col("_burst.ts")) >= gap_us).select(*_BURST)
+    some = keep(bursts.join(several, _BURST, "left_semi").select(*_BURST, "spot").distinct(), "bursts")
+    # on the line of time an event asks for the first one behind its window; read backwards, that is the last one seen
+    line = lambda at, kind: some.select(*_BURST, "spot", at.alias("at"), F.lit(kind).alias("kind"))
+    at = F.unix_micros("spot.ts")
+    both = line(at, 1).unionByName(line(at + gap_us, 0))
+    back = [SortKey(F.col(c), "desc_nulls_last") for c in ("at", "kind", "spot")]
+    seen = carry_last(both, _BURST, back, F.when(F.col("kind") == 1, F.col("spot")), "to")
+    hop = keep(seen.where("kind = 0 and to is not null").select(*_BURST, F.col("spot").alias("at"), "to"), "hops")
+    found = keep(some.where("spot = _burst").select(*_BURST, "spot"), "openers")
+    while not hop.isEmpty():
+        on = hop.select(*_BURST, F.col("at").alias("spot"), "to")
+        reached = found.join(on, [*_BURST, "spot"]).select(*_BURST, F.col("to").alias("spot"))
+        further = hop.select(*_BURST, "at", F.col("to").alias("spot")).join(on, [*_BURST, "spot"]).select(*_BURST, "at", "to")
+        old = (found, hop)
+        found, hop = keep(found.unionByName(reached).distinct(), "openers"), keep(further, "hops")
+        for done in old:
+            discard(done)
+    return found
+
+
 def opening_events(df: DataFrame, seconds: int) -> DataFrame:
     """Batch twin of both: adds ``opened_at``, the event that opened the window each row falls in.
 
-    An event at least ``seconds`` after its predecessor always opens a window, so a key's timeline
-    falls into independent bursts; only inside a burst is the order followed step by step, streaming
-    over sorted Arrow batches in constant memory.
+    An event at least ``seconds`` after its predecessor always opens a window, so a key's timeline falls into independent
+    bursts; inside a burst the openers are found by doubled pointers. Every step is a scan over range-partitioned rows: one key
+    or burst may hold them all.
     """
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     order = ["ts", "event_id"]
-    day = F.date_trunc("day", F.col("ts"))
-    prior = carry_last(df, ["key"], order, F.col("ts"), "_prior", day)
-    long_gap = F.col("_prior").isNull() | (F.unix_micros("ts") - F.unix_micros("_prior") >= seconds * 1_000_000)
-    burst = carry_last(prior, ["key"], order, F.when(long_gap, F.col("ts")), "_burst", day, inclusive=True).drop("_prior")
-
-    gap = pd.Timedelta(seconds=seconds)
+    gap_us = seconds * 1_000_000
+    spot = F.struct("ts", "event_id")
+    prior = carry_last(df, ["key"], order, F.col("ts"), "_prior")
+    long_gap = F.col("_prior").isNull() | (F.unix_micros("ts") - F.unix_micros("_prior") >= gap_us)
+    first = carry_last(prior, ["key"], order, F.when(long_gap, spot), "_burst", inclusive=True).drop("_prior")
+    opened = _openers(first.select(*_BURST, spot.alias("spot")), gap_us)
+    marked = first.withColumn("spot", spot).join(opened.select("key", "spot", F.lit(True).alias("_opens")), ["key", "spot"], "left")
+    opens = F.coalesce("_opens", F.lit(False)) | (F.col("spot") == F.col("_burst"))
+    return carry_last(marked, ["key"], order, F.when(opens, F.col("ts")), "opened_at", inclusive=True).drop("_burst", "spot", "_opens")
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, opened = None, None  # carried across batches: rows arrive in burst order
-        for pdf in batches:
-            marks = []
-            for key, start, ts in zip(pdf["key"], pdf["_burst"], pdf["ts"]):
-                if (key, start) != place or ts >= opened + gap:
-                    place, opened = (key, start), ts
-                marks.append(opened)
-            yield pdf.drop(columns="_burst").assign(opened_at=marks)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", opened_at timestamp"
-    lined = burst.select(*df.columns, "_burst").repartition("key", "_burst").sortWithinPartitions("key", "_burst", *order)
-    return lined.mapInPandas(follow, schema)
+def _more_text(more: Column) -> list[Column]:
+    head, tail = DIGEST_MORE.split("{}")
+    return [F.lit(head), more.cast("string"), F.lit(tail)]
 
 
 def stream_completion_digest_batch(done: DataFrame, seconds: int = 15) -> DataFrame:
@@ -268,7 +359,7 @@ def stream_completion_digest_batch(done: DataFrame, seconds: int = 15) -> DataFr
     more = F.col("done") - DIGEST_LINES
     return sums.join(text, ["key", "opened_at"]).select(
         "key", "opened_at", "done", "total", (F.col("done") > DIGEST_CARDS).alias("collapsed"),
-        F.when(more > 0, F.concat("_text", F.lit("\n…and "), more.cast("string"), F.lit(" more"))).otherwise(F.col("_text")).alias("lines"),
+        F.when(more > 0, F.concat("_text", *_more_text(more))).otherwise(F.col("_text")).alias("lines"),
     )
 
 
@@ -287,13 +378,16 @@ def first_identity(known: DataFrame | None, batch: DataFrame) -> DataFrame:
     return both.groupBy("album_key").agg(F.min_by(rest, F.struct("ts", "event_id")).alias("f")).select("album_key", "f.*")
 
 
-def stream_first_identity(feed: DataFrame, catalog_keys: DataFrame) -> DataFrame:
-    """First value per album key until the catalog knows the key (update mode, aggregate state)."""
+def stream_first_identity(feed: DataFrame, catalog_keys: DataFrame, lifetime: str = LIFETIME) -> DataFrame:
+    """First value per album key and ``lifetime`` of event time until the catalog knows the key (update mode).
+
+    State ends with its slice of time, as in ``stream_latest_state``; the table the updates go to keeps the first value of all.
+    """
     unknown = feed.join(catalog_keys.select("album_key").distinct(), "album_key", "left_anti")
     rest = F.struct("ts", "event_id", "value")
     return (
         unknown.withWatermark("ts", "10 minutes")
-        .groupBy("album_key")
+        .groupBy(F.window("ts", lifetime).alias("_life"), "album_key")
         .agg(F.min_by(rest, F.struct("ts", "event_id")).alias("f"))
         .select("album_key", "f.*")
     )
@@ -361,18 +455,83 @@ def merge_listing(existing: DataFrame | None, arrived: DataFrame) -> DataFrame:
     ).select(cols)
 
 
+def _bases(spans: pd.DataFrame) -> pd.DataFrame:
+    """Highest position of a source just before each listing that numbers new items.
+
+    ``spans`` of one source: positions ``top`` held from listing ``since`` until listing ``until`` changes them (null: to the end);
+    where ``gives``, ``top`` counts from the base of listing ``since`` itself. One row per pair of listings, never per item.
+    """
+    held = spans.sort_values("since", kind="stable")
+    until = held["until"].fillna(np.inf).to_numpy()
+    since, top, gives = (held[c].to_numpy() for c in ("since", "top", "gives"))
+    source = spans["source_id"].iloc[0]
+    line: list[tuple[float, float]] = []  # negative position, until
+    out: dict[int, int] = {}
+    at = 0
+    for listing in np.unique(since[gives.astype(bool)]):
+        while at < len(since) and since[at] < listing:
+            heapq.heappush(line, (-(top[at] + (out[since[at]] if gives[at] else 0)), until[at]))
+            at += 1
+        while line and line[0][1] < listing:
+            heapq.heappop(line)
+        out[listing] = int(-line[0][0]) if line else 0
+    return pd.DataFrame({"source_id": source, "_round": list(out), "_base": list(out.values())})
+
+
 def merge_listings(existing: DataFrame | None, arrived: DataFrame, when: str = "listed_at") -> DataFrame:
     """Merge any number of listings per source, told apart by the column ``when``, each source's in order of time.
 
-    Round k merges the k-th listing of every source, so the result does not depend on how listings fall into batches. There are as
-    many rounds as one source has listings in ``arrived``.
+    The result is that of ``merge_listing`` for one listing after the other, in one pass: each item is a sum of its occurrences (title of the last, last
+    known album and length, last position a full listing gave, last time seen), and a source of its listings (last complete one). Only the
+    numbers of items that are new in partial listings depend on earlier listings as a whole: they count from the highest position held just then, which
+    ``_bases`` finds from one row per pair of listings between which some position was held. So the plan is the same for any number of listings,
+    and it does not matter how they fall into batches as long as those keep the order. Of rows that repeat an item in a listing the
+    first by position counts (then by title, album and length). Sources without listings in ``arrived`` pass through.
     """
-    stamps = arrived.select("source_id", when).distinct()
-    placed = keep(arrived.join(number_rows(stamps, ["source_id"], [when], "_round"), ["source_id", when]).drop(when), "listings")
-    rounds = placed.agg(F.max("_round")).first()[0] or 0
-    for k in range(1, rounds + 1):
-        existing = keep(merge_listing(existing, placed.where(F.col("_round") == k).drop("_round")), "items")
-    return merge_listing(None, placed.drop("_round")) if existing is None else existing
+    item = ["source_id", "external_id"]
+    values = ["title", "album", "duration_ms"]
+    rounds = keep(number_rows(arrived.select("source_id", when).distinct(), ["source_id"], [when], "_round"), "rounds")
+    placed = spread_join(arrived, rounds, ["source_id", when])
+    once = top_n(placed, [*item, "_round"], [F.col("position"), *[F.col(c) for c in values]])
+    listed = number_rows(once, ["source_id", "_round"], ["position", "external_id"], "_seen").select(
+        *item, "_round", "_seen", "partial", *values, F.col("position").cast("long").alias("position"), F.lit(True).alias("present")
+    )
+    if existing is not None:
+        known = existing.select(*item, F.lit(0).cast("long").alias("_round"), F.lit(0).cast("long").alias("_seen"), F.lit(False).alias("partial"), *values, F.col("position").cast("long").alias("position"), "present")
+        listed = known.unionByName(listed)
+    of_item = Window.partitionBy(*item).orderBy("_round")  # at most a row per listing of its source
+    earlier, later = of_item.rowsBetween(Window.unboundedPreceding, -1), of_item.rowsBetween(1, Window.unboundedFollowing)
+    full = ~F.col("partial")
+    facts = listed.withColumns({
+        "_set": F.last(F.when(full, F.struct("_round", "position")), ignorenulls=True).over(earlier),
+        "_part": F.max(F.when(F.col("partial"), F.col("_round"))).over(earlier),
+        "_until": F.first(F.when(full, F.col("_round")), ignorenulls=True).over(later),
+    })
+    unplaced = F.col("_set.position").isNull() & (F.col("_part").isNull() | (F.col("_part") < F.coalesce("_set._round", F.lit(-1))))
+    facts = keep(facts.withColumn("_gives", F.col("partial") & unplaced).drop("_set", "_part"), "occurrences")
+    spans = lambda rows, top, gives: rows.groupBy("source_id", F.col("_round").alias("since"), F.col("_until").alias("until")).agg(
+        F.max(top).alias("top")).withColumn("gives", F.lit(gives))
+    given = spans(facts.where("_gives"), "_seen", True)
+    held = spans(facts.where("not partial and position is not null"), "position", False)
+    held = held.join(given.select("source_id").distinct(), "source_id", "left_semi")
+    source_type = arrived.schema["source_id"].dataType.simpleString()
+    bases = held.unionByName(given).groupBy("source_id").applyInPandas(_bases, f"source_id {source_type}, _round long, _base long")
+    at = lambda flag: F.when(flag, F.col("_round"))
+    folded = facts.groupBy(*item).agg(
+        F.max_by("title", "_round").alias("title"), *[F.max_by(c, at(F.col(c).isNotNull())).alias(c) for c in ("album", "duration_ms")],
+        F.max_by(F.struct("_round", "position"), at(full)).alias("_set"), F.max_by(F.struct("_round", "_seen"), at(F.col("_gives"))).alias("_new"),
+        F.max(at(F.col("_round") > 0)).alias("_listed"), F.bool_or(F.when(F.col("_round") == 0, F.col("present"))).alias("_was"),
+    )
+    numbered = F.col("_new").isNotNull() & (F.col("_new._round") > F.coalesce("_set._round", F.lit(-1)))
+    folded = folded.withColumn("_round", F.when(numbered, F.col("_new._round")))
+    ends = arrived.groupBy("source_id", when).agg(F.bool_or(F.col("partial") | F.col("truncated")).alias("_open_end"))
+    complete = ends.where("not _open_end").join(rounds, ["source_id", when]).groupBy("source_id").agg(F.max("_round").alias("_complete"))
+    out = spread_join(spread_join(folded, bases, ["source_id", "_round"], "left"), complete, ["source_id"], "left")
+    seen_since = F.coalesce(F.col("_complete") <= F.col("_listed"), F.col("_complete").isNull())
+    return out.select(
+        *item, *values, F.when(numbered, F.col("_base") + F.col("_new._seen")).otherwise(F.col("_set.position")).alias("position"),
+        F.when(F.col("_listed").isNotNull(), seen_since).otherwise(F.col("_was") & F.col("_complete").isNull()).alias("present"),
+    )
 
 
 def removed_items(existing: DataFrame, listing: DataFrame, headers: DataFrame) -> DataFrame:
