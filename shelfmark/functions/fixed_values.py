@@ -26,6 +26,10 @@ EDITABLE_COLUMNS = (
     "title", "artist", "album", "album_artist", "year", "track_number", "track_total", "disc_number",
     "genre", "comment",
 )
+VERBATIM_COLUMNS = ("lyrics", "mb_recording_id", "mb_release_id", "mb_artist_id")
+NO_ARTWORK = "Could not download artwork"
+OPEN_ROWS = 500
+FINISHED_ROWS = 150
 NUMERIC_COLUMNS = ("year", "track_number", "track_total", "disc_number")
 DERIVED_COLUMNS = ("audio_hash", "peaks", "loudness", "fingerprint", "fingerprint_raw")
 

@@ -268,6 +268,20 @@ def duplicate_summary(groups: DataFrame) -> DataFrame:
 # ---- resolution --------------------------------------------------------------------------------
 
 
+_GIVEN = ("artwork", "lyrics")
+
+
+def _donors(chosen: DataFrame) -> DataFrame:
+    """(id, artwork_from, lyrics_from) of keepers that are given something; sums per group, so a group may have any size."""
+    figures = []
+    for c in _GIVEN:
+        has = F.coalesce(F.col(f"has_{c}"), F.lit(False)) if f"has_{c}" in chosen.columns else F.lit(False)
+        figures += [F.bool_or(F.col("is_keeper") & has).alias(f"_own_{c}"), F.min(F.when(~F.col("is_keeper") & has, F.col("id"))).alias(f"_{c}")]
+    per = chosen.groupBy("component").agg(F.max(F.when(F.col("is_keeper"), F.col("id"))).alias("id"), *figures)
+    given = per.select("id", *[F.when(~F.col(f"_own_{c}"), F.col(f"_{c}")).alias(f"{c}_from") for c in _GIVEN])
+    return given.where(F.col("id").isNotNull() & F.coalesce(*[F.col(f"{c}_from") for c in _GIVEN]).isNotNull())
+
+
 def resolve_duplicates(
     lib: DataFrame, decisions: DataFrame, day: str, quarantine: str = "quarantine", tracks: DataFrame | None = None, log: DataFrame | None = None
 ) -> dict[str, DataFrame]:
@@ -275,7 +289,8 @@ def resolve_duplicates(
 
     Returns the merged library, the quarantined rows with their dated path, the log rows and, when
     ``tracks`` is given, the job history pointing at the survivors. Paths already used in the
-    quarantine log are avoided.
+    quarantine log are avoided. ``donors`` names, for each keeper without artwork or lyrics, the removed row with the smallest id that has them; the
+    keeper counts as having them from then on.
     """
     chosen = lib.join(decisions.select("id", "component", F.col("keep").alias("is_keeper")), "id")
     merged = first_non_null_merge(chosen).withColumnRenamed("keeper_id", "id").drop("component")
@@ -286,6 +301,11 @@ def resolve_duplicates(
         {c: F.when(truthy(F.col(c)), F.col(c)).otherwise(F.coalesce(f"_{c}", c)) for c in filled}
     ).select(lib.columns)
     gone = chosen.where("not is_keeper")
+    donors = _donors(chosen)
+    taken = donors.select("id", *[F.col(f"{c}_from").isNotNull().alias(f"_{c}") for c in _GIVEN])
+    patched = patched.join(taken, "id", "left").withColumns(
+        {f"has_{c}": F.col(f"has_{c}") | F.coalesce(f"_{c}", F.lit(False)) for c in _GIVEN if f"has_{c}" in lib.columns}
+    ).select(lib.columns)
     library = patched.join(gone.select("id"), "id", "left_anti")
     plan = gone.select("id", F.col("rel_path").alias("from_path"), F.concat(F.lit(f"{quarantine}/{day}/"), "rel_path").alias("to_path"), F.lit(True).alias("changed"))
     used = (log.select(F.col("to_path").alias("path")) if log is not None else plan.select(F.col("to_path").alias("path")).limit(0))
@@ -297,7 +317,7 @@ def resolve_duplicates(
             F.lit("artist"), F.col("artist"), F.lit("size"), F.col("size").cast("string"),
         ).alias("detail"),
     )
-    out = {"library": library, "quarantine": moved, "log": entries}
+    out = {"library": library, "quarantine": moved, "log": entries, "donors": donors}
     if tracks is not None:
         survivor = chosen.where("is_keeper").select("component", F.col("rel_path").alias("to_path"))
         moves = spread_join(
@@ -321,6 +341,32 @@ def quarantine_view(log: DataFrame) -> DataFrame:
     )
 
 
+def _steps(path: Column) -> Column:
+    """Names along a path, with ``.`` and ``..`` resolved."""
+    none = F.array().cast("array<string>")
+    return F.aggregate(
+        F.split(path, "/"), none,
+        lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
+            F.concat(acc, F.array(s))
+        ),
+    )
+
+
+def purge(log: DataFrame, ids: DataFrame, quarantine: str = "quarantine") -> DataFrame:
+    """Log rows that delete quarantined files for good, one per path, for the quarantine entries ``ids`` (op_id).
+
+    Only files that are still there go, and only paths that lie below the quarantine folder once ``..`` is resolved; whatever else is
+    asked for is left alone.
+    """
+    asked = log.where("kind = 'quarantine'").join(ids.select("op_id").distinct(), "op_id", "left_semi").select("to_path").distinct()
+    there = quarantine_view(log).select("to_path").distinct()
+    root = [s for s in quarantine.split("/") if s not in ("", ".")]
+    steps = _steps(F.col("to_path"))
+    inside = (F.size(steps) > len(root)) & (F.array_join(F.slice(steps, 1, len(root)), "/") == "/".join(root))
+    found = asked.join(there, "to_path", "left_semi").where(inside)
+    return found.select(F.lit("delete").alias("kind"), F.col("to_path").alias("from_path"), F.lit(None).cast("string").alias("to_path"))
+
+
 def restore(log: DataFrame, ids: DataFrame, existing: DataFrame) -> DataFrame:
     """Log rows that bring quarantined entries back: to their old path, or the next free one."""
     back = quarantine_view(log).join(ids.select("op_id"), "op_id", "left_semi")

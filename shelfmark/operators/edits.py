@@ -100,15 +100,15 @@ def render_paths(df: DataFrame, template: str = fv.DEFAULT_PATH_TEMPLATE, fields
     return df.withColumn("rendered", path_column(template, fields or template_fields()))
 
 
-def plan_reorganize(lib: DataFrame, template: str = fv.DEFAULT_PATH_TEMPLATE) -> DataFrame:
+def plan_reorganize(lib: DataFrame, template: str = fv.DEFAULT_PATH_TEMPLATE, beside: DataFrame | None = None) -> DataFrame:
     """(id, from_path, to_path, changed): target paths from a template, collisions resolved. A change
-    of case only leaves the file where it is."""
+    of case only leaves the file where it is. ``beside``: the whole catalog where ``lib`` is a part of it."""
     rendered = render_paths(lib, template).withColumn("_to", F.concat("rendered", F.lit("."), "format"))
     plan = rendered.select(
         "id", F.col("rel_path").alias("from_path"), F.col("_to").alias("to_path"),
         (F.lower("_to") != F.lower("rel_path")).alias("changed"),
     )
-    return resolve_path_collisions(plan, lib.select(F.col("rel_path").alias("path")))
+    return resolve_path_collisions(plan, (lib if beside is None else beside).select(F.col("rel_path").alias("path")))
 
 
 def _coerced(field: str, raw: Column, original: Column) -> Column:
@@ -144,14 +144,27 @@ def _no_number(raw: Column) -> Column:
     return F.coalesce(F.isnan(n) | (F.abs(n) >= MAX_INT), F.lit(False))
 
 
-def apply_edits(lib: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
+def apply_edits(
+    lib: DataFrame, edits: DataFrame, images: DataFrame | None = None, template: str | None = None
+) -> dict[str, DataFrame]:
     """Apply patches (absent = leave, null or '' = clear, value = set) to the catalog.
 
-    Returns the new library, one retag log row per edited file, and errors: edits whose file is unknown and
-    numbers that no field can hold (such a field keeps its value).
+    Patches hold tags, ``lyrics``, recording, release and artist ids (taken as they are) and ``artwork_url``. ``images`` (url, ok) says which
+    artwork could be fetched, each address once. Returns the new library, one retag log row per edited file, and errors: edits whose file is
+    unknown or whose artwork could not be fetched (neither is applied) and numbers that no field can hold (such a field keeps its value). With a
+    path ``template``, ``moves`` is the re-filing plan of the edited files.
     """
-    known = [c for c in fv.EDITABLE_COLUMNS if c in lib.columns]
-    joined = lib.join(edits.select("id", "patch"), "id", "left")
+    url = F.try_element_at("patch", F.lit("artwork_url"))
+    asked = edits.select("id", "patch", T.blank_to_null(url).alias("_url"))
+    found = lib.select("id", "rel_path")
+    if images is None:
+        fetched = asked.withColumn("_ok", F.col("_url").isNull())
+    else:
+        have = images.where("ok").select(F.col("url").alias("_url")).distinct().withColumn("_have", F.lit(True))
+        fetched = spread_join(asked, have, ["_url"], "left", part_by=["id"]).withColumn("_ok", F.col("_url").isNull() | F.coalesce("_have", F.lit(False)))
+    good = fetched.where("_ok").select("id", "patch", "_url")
+    joined = lib.join(good, "id", "left")
+    known = [c for c in (*fv.EDITABLE_COLUMNS, *fv.VERBATIM_COLUMNS) if c in lib.columns]
     out = {}
     for c in known:
         raw = F.try_element_at("patch", F.lit(c))
@@ -159,6 +172,8 @@ def apply_edits(lib: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
             n = F.trim(raw).try_cast("double")
             bad = _no_number(raw)
             value = F.when(bad, F.col(c)).otherwise(F.when((n > 0) & ~bad, F.floor(n + 0.5)).try_cast(lib.schema[c].dataType))
+        elif c in fv.VERBATIM_COLUMNS:
+            value = F.when(raw != "", raw)
         elif c in ("artist", "genre"):
             joiner = ", " if c == "artist" else "; "
             parts = F.filter(F.split(F.trim(raw), r"\s*;\s*"), lambda x: x != "")
@@ -167,18 +182,26 @@ def apply_edits(lib: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
             value = T.blank_to_null(F.trim(raw))
         has = F.coalesce(F.map_contains_key("patch", c), F.lit(False))
         out[c] = F.when(has, value).otherwise(F.col(c))
+    if "has_artwork" in lib.columns:
+        out["has_artwork"] = F.col("has_artwork") | F.col("_url").isNotNull()
+    if "has_lyrics" in lib.columns:
+        sung = F.coalesce(F.trim(F.try_element_at("patch", F.lit("lyrics"))) != "", F.lit(False))
+        out["has_lyrics"] = F.when(F.map_contains_key("patch", "lyrics"), sung).otherwise(F.col("has_lyrics"))
     library = joined.withColumns(out).select(lib.columns)
-    touched = edits.join(lib.select("id", "rel_path"), "id")
+    touched = good.join(found, "id")
     log = touched.select(
         F.lit("retag").alias("kind"), F.col("rel_path").alias("from_path"), F.col("rel_path").alias("to_path"),
         F.col("patch").alias("detail"), "id",
     )
-    unknown = edits.join(lib.select("id"), "id", "left_anti").select("id", F.lit("file not found").alias("error"))
+    unknown = edits.join(found.select("id"), "id", "left_anti").select("id", F.lit("file not found").alias("error"))
+    unfetched = fetched.where("not _ok").join(found.select("id"), "id", "left_semi").select("id", F.lit(fv.NO_ARTWORK).alias("error"))
     numbers = [c for c in known if c in fv.NUMERIC_COLUMNS]
     wrong = F.array_compact(
         F.array(*[F.when(_no_number(F.try_element_at("patch", F.lit(c))), F.lit(f"{c} is no number")) for c in numbers], F.lit(None).cast("string"))
     )
-    errors = unknown.unionByName(edits.join(lib.select("id"), "id", "left_semi").select("id", F.explode(wrong).alias("error")))
-    return {"library": library, "log": log, "errors": errors}
-
-
+    odd = touched.select("id", F.explode(wrong).alias("error"))
+    result = {"library": library, "log": log, "errors": unknown.unionByName(unfetched).unionByName(odd)}
+    if template is not None:
+        saved = library.join(touched.select("id").distinct(), "id", "left_semi")
+        result["moves"] = plan_reorganize(saved, template, library)
+    return result

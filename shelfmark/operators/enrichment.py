@@ -163,9 +163,65 @@ def merge_enrichment(df: DataFrame, keep_album: bool = False) -> DataFrame:
         "disc_number": fill("disc_number"),
         "genre": F.coalesce(F.when(truthy(cur("genre")), cur("genre")), T.blank_to_null(e("genre"))),
     }
+    if "track_total" in df.columns and "e_track_total" in df.columns:
+        merged["track_total"] = fill("track_total")
     return df.withColumns({f"m_{c}": F.when(found, v).otherwise(F.col(c)) for c, v in merged.items()})
 
 
+def _asked(candidates: DataFrame, query: DataFrame, studio: DataFrame) -> DataFrame:
+    """Candidates beside their query, with whether a studio album has them."""
+    joined = spread_join(candidates.withColumnRenamed("id", "q"), query, ["q"])
+    return spread_join(joined, studio, ["recording_id"], "left").withColumn("has_studio", F.coalesce("has_studio", F.lit(False)))
+
+
+def _queries(lib: DataFrame, prefer_album: Column) -> DataFrame:
+    return lib.select(
+        F.col("id").alias("q"), F.col("title").alias("q_title"), F.col("artist").alias("q_artist"), F.col("duration_ms").alias("q_ms"),
+        prefer_album.alias("prefer_album"),
+    ).where(truthy(F.col("q_title")) & truthy(F.col("q_artist")))
+
+
+def _release_of(pick: DataFrame, typed: DataFrame) -> DataFrame:
+    """The release chosen for each picked recording, as ``pick_release`` orders them."""
+    renamed = {"title": "album_title", "track_number": "e_track_number", "disc_number": "e_disc_number", "album_artist": "e_album_artist", "track_total": "e_track_total"}
+    choice = spread_join(typed.withColumnsRenamed(renamed), pick.select("q", "recording_id", "prefer_album"), ["recording_id"])
+    if "e_track_total" not in choice.columns:
+        choice = choice.withColumn("e_track_total", F.lit(None).cast("int"))
+    named = same_name(F.col("album_title"), F.col("prefer_album"))
+    tier = F.when(named, 0).when(F.col("studio"), 1).otherwise(2)
+    by_date = F.when(F.col("tier") == 1, F.coalesce(T.blank_to_null(F.col("date")), F.lit("9999")))
+    release = top_n(choice.withColumn("tier", tier), ["q"], [F.col("tier"), by_date, F.col("rank"), F.col("release_id")])
+    return release.select("q", "release_id", "album_title", "year", "kind", "release_group", "e_album_artist", "e_track_number", "e_track_total", "e_disc_number")
+
+
+def identify_recordings(lib: DataFrame, candidates: DataFrame, releases: DataFrame) -> DataFrame:
+    """(id, title, artist, album, track_number, duration_ms) of songs known by rough text alone.
+
+    The text search of ``enrich_catalog`` without fingerprints and extras, to be run before a file is looked for. The release titled like the row's
+    album is preferred. Rows without title, artist or a confident match are left out.
+    """
+    typed = keep(classify_release(releases), "releases")
+    studio = typed.groupBy("recording_id").agg(F.bool_or("studio").alias("has_studio"))
+    pick = keep(match_recordings(_asked(candidates, _queries(lib, F.col("album")), studio), F.col("album_only")), "picks")
+    full = pick.join(_release_of(pick, typed), "q", "left")
+    plain = lambda c, name: T.ascii_punctuation(F.col(c)).alias(name)
+    return full.select(
+        F.col("q").alias("id"), plain("title", "title"), plain("artist", "artist"), plain("album_title", "album"),
+        F.col("e_track_number").alias("track_number"), "duration_ms",
+    )
+
+
+def original_years(releases: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(release_group, first_year): the year a release group first came out, from ``groups`` (release_group, first_date) where given, else the earliest
+    year of its releases, which combines before the shuffle."""
+    if groups is None:
+        dated = releases.select("release_group", F.col("year").cast("int").alias("y"))
+    else:
+        dated = groups.select("release_group", F.substring("first_date", 1, 4).try_cast("int").alias("y"))
+    dated = dated.where((F.col("y") > 0) & F.col("release_group").isNotNull())
+    return dated.groupBy(F.col("release_group").cast("string").alias("release_group")).agg(F.min("y").alias("first_year"))
+
+
 def enrich_catalog(
     lib: DataFrame,
     candidates: DataFrame,
@@ -173,46 +229,28 @@ def enrich_catalog(
     genres: DataFrame,
     printed: DataFrame | None = None,
     keep_album: bool = False,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Choose recording, release and genres for catalog rows and merge them in.
 
     ``candidates``: id, recording_id, title, artist, artist_id, duration_ms, score, album_only. A
     fingerprint match (``printed``, same columns) wins; else the best of the album-only search; else
     the best of all. ``releases``: recording_id, release_id, title, date, year, rank, status,
-    primary_type, secondary_types, release_group, album_artist, track_number, disc_number.
-    ``genres``: entity, place, genre of release groups and artists.
+    primary_type, secondary_types, release_group, album_artist, track_number, disc_number and optionally track_total.
+    ``genres``: entity, place, genre of release groups and artists. The year is that of the release group's first release
+    (``original_years``), else of the chosen one.
     """
     typed = keep(classify_release(releases), "releases")
     studio = typed.groupBy("recording_id").agg(F.bool_or("studio").alias("has_studio"))
-    query = lib.select(
-        F.col("id").alias("q"), F.col("title").alias("q_title"), F.col("artist").alias("q_artist"), F.col("duration_ms").alias("q_ms"),
-        (F.col("album") if keep_album else F.lit(None).cast("string")).alias("prefer_album"),
-    ).where(truthy(F.col("q_title")) & truthy(F.col("q_artist")))
-
-    def asked(c: DataFrame) -> DataFrame:
-        joined = spread_join(c.withColumnRenamed("id", "q"), query, ["q"])
-        return spread_join(joined, studio, ["recording_id"], "left").withColumn(
-            "has_studio", F.coalesce("has_studio", F.lit(False))
-        )
+    query = _queries(lib, F.col("album") if keep_album else F.lit(None).cast("string"))
 
     # the album-only search comes first, all results second: one pass with that as the leading key
-    picks = match_recordings(asked(candidates), F.col("album_only")).withColumn("_step", F.lit(1)).withColumn("verified", F.lit(False))
+    picks = match_recordings(_asked(candidates, query, studio), F.col("album_only")).withColumn("_step", F.lit(1)).withColumn("verified", F.lit(False))
     if printed is not None:
-        heard = match_by_fingerprint(asked(printed)).withColumn("_step", F.lit(0)).withColumn("verified", F.lit(True))
+        heard = match_by_fingerprint(_asked(printed, query, studio)).withColumn("_step", F.lit(0)).withColumn("verified", F.lit(True))
         picks = picks.unionByName(heard, allowMissingColumns=True)
     pick = keep(top_n(picks, ["q"], [F.col("_step")]).drop("album_only", "has_studio", "_step"), "picks")
-
-    choice = spread_join(
-        typed.withColumnRenamed("title", "album_title").withColumnRenamed("track_number", "e_track_number").withColumnRenamed("disc_number", "e_disc_number")
-        .withColumnRenamed("album_artist", "e_album_artist"),
-        pick.select("q", "recording_id", "prefer_album"), ["recording_id"],
-    )
-    named = same_name(F.col("album_title"), F.col("prefer_album"))
-    tier = F.when(named, 0).when(F.col("studio"), 1).otherwise(2)
-    by_date = F.when(F.col("tier") == 1, F.coalesce(T.blank_to_null(F.col("date")), F.lit("9999")))
-    release = top_n(choice.withColumn("tier", tier), ["q"], [F.col("tier"), by_date, F.col("rank"), F.col("release_id")])
-    release = release.select("q", "release_id", "album_title", "year", "kind", "release_group", "e_album_artist", "e_track_number", "e_disc_number")
-    full = keep(pick.join(release, "q", "left").withColumn("confidence", confidence()), "chosen")
+    full = keep(pick.join(_release_of(pick, typed), "q", "left").withColumn("confidence", confidence()), "chosen")
 
     joined_genres = (
         genres.groupBy("entity")
@@ -223,11 +261,12 @@ def enrich_catalog(
     artist_g = joined_genres.select(F.col("entity").alias("artist_id"), F.col("_genre").alias("_by_artist"))
     full = full.withColumns({c: F.col(c).cast("string") for c in ("release_group", "artist_id")})
     full = spread_join(spread_join(full, group_g, ["release_group"], "left"), artist_g, ["artist_id"], "left")
+    full = spread_join(full, original_years(typed, groups), ["release_group"], "left")
     e = full.select(
         F.col("q").alias("id"), "recording_id", "release_id", "confidence", "verified",
         T.ascii_punctuation(F.col("title")).alias("e_title"), T.ascii_punctuation(F.col("artist")).alias("e_artist"),
         T.ascii_punctuation(F.col("album_title")).alias("e_album"), T.ascii_punctuation(F.col("e_album_artist")).alias("e_album_artist"),
-        F.col("year").alias("e_year"), "e_track_number", "e_disc_number", F.coalesce("_by_group", "_by_artist").alias("e_genre"),
+        F.coalesce("first_year", "year").alias("e_year"), "e_track_number", "e_track_total", "e_disc_number", F.coalesce("_by_group", "_by_artist").alias("e_genre"),
     )
     return merge_enrichment(lib.join(e, "id", "left"), keep_album)
 

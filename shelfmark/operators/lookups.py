@@ -159,46 +159,52 @@ def redirect_references(tracks: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
-NARROWING_WORDS = 3
+BLOCK_DOCS = 8 * 4096  # documents of a bitmap: Spark's bitmap functions work on 4096 bytes
+
+
+def word_postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, block, bits) of the words in ``vocabulary``, and (doc_id, number): bit i of block b is document number (b - 1) * BLOCK_DOCS + i + 1.
+
+    Documents are cut into words once. Bitmaps of words with few documents are almost all zeros, which files and shuffles compress away.
+    """
+    numbers = keep(number_rows(docs.select("doc_id"), [], ["doc_id"], "number").select("doc_id", "number"), "numbers")
+    posted = docs.select("doc_id", F.explode("words").alias("word")).join(vocabulary, "word", "left_semi").join(numbers, "doc_id")
+    block = F.bitmap_bucket_number("number").alias("block")
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    return keep(posted.groupBy("word", block).agg(bits), "postings"), numbers
+
+
+def _set_bits(bits: Column) -> Column:
+    """Places of the bits that are set, lowest first; bytes without any are passed over."""
+    byte = lambda i: F.conv(F.hex(F.substr(bits, i + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    full = F.filter(F.sequence(F.lit(0), F.lit(BLOCK_DOCS // 8 - 1)), lambda i: F.substr(bits, i + F.lit(1), F.lit(1)) != F.lit(b"\x00"))
+    places = lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.getbit(byte(i), k) == 1, i * 8 + k)), lambda p: p.isNotNull())
+    return F.flatten(F.transform(full, places))
 
 
 def all_words_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id) where the document holds every word of the query.
 
-    Each query is looked up by its rarest word, then narrowed by its next rarest ones, all on thin
-    (document, word) rows. Only what is left of queries with more words meets the documents' word sets.
-    ``queries`` carries ``query_id, words``; ``docs`` carries ``doc_id, words`` (distinct words).
+    Words become bitmaps over blocks of documents. A query meets the blocks of its rarest word only; in these the bitmaps of all its words are
+    intersected by an aggregate, which combines before the shuffle. The same plan serves queries of any length; queries without words or
+    with an unknown word find nothing. ``queries`` carries ``query_id, words``; ``docs`` carries ``doc_id, words`` (distinct words).
     """
-    wanted = queries.select("query_id", F.explode("words").alias("word"))
-    posted = keep(
-        docs.select("doc_id", F.explode("words").alias("word")).join(
-            wanted.select("word").distinct(), "word", "left_semi"
-        ),
-        "postings",
+    wanted = keep(queries.select("query_id", F.explode("words").alias("word")), "wanted")
+    postings, numbers = word_postings(docs, wanted.select("word").distinct())
+    freq = postings.groupBy("word").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    known = wanted.join(freq, "word", "left")
+    needs = known.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("need"), F.bool_and(F.col("n").isNotNull()).alias("all"), F.min(F.struct("n", "word")).alias("rarest")
+    ).where("all").select("query_id", "need", F.col("rarest.word").alias("word"))
+    blocks = needs.join(postings.select("word", "block"), "word").select("query_id", "need", "block")
+    asked = wanted.join(blocks, "query_id")
+    met = asked.join(postings, ["word", "block"]).groupBy("query_id", "block", "need").agg(
+        F.count(F.lit(1)).alias("words"), F.bitmap_and_agg("bits").alias("bits")
     )
-    freq = posted.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = spread_join(wanted, freq, ["word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare_first = F.array_sort(F.collect_list(F.struct("n", "word")))  # the words of one query
-    needs = (
-        known.groupBy("query_id")
-        .agg(rare_first.alias("_r"))
-        .where(F.col("_r")[0]["n"] > 0)
-        .select("query_id", F.col("_r.word").alias("_need"), F.col("_r")[0]["word"].alias("word"))
-    )
-    found = spread_join(posted, needs, ["word"], counts=freq).drop("word")
-    hit = posted.withColumn("_hit", F.lit(True))
-    for i in range(2, NARROWING_WORDS + 1):
-        found = (
-            found.withColumn("word", F.try_element_at("_need", F.lit(i)))
-            .join(hit, ["doc_id", "word"], "left")
-            .where(F.col("word").isNull() | F.col("_hit"))
-            .drop("word", "_hit")
-        )
-    long = F.size("_need") > NARROWING_WORDS
-    found = found.withColumn("_doc", F.when(long, F.col("doc_id")))
-    full = docs.select(F.col("doc_id").alias("_doc"), F.col("words").alias("_have"))
-    rest = lambda w: F.array_contains("_have", w)
-    return found.join(full, "_doc", "left").where(~long | F.forall("_need", rest)).select("query_id", "doc_id")
+    hit = met.where((F.col("words") == F.col("need")) & (F.bitmap_count("bits") > 0))
+    number = (F.col("block") - 1) * BLOCK_DOCS + F.col("place") + 1
+    found = hit.select("query_id", "block", F.explode(_set_bits(F.col("bits"))).alias("place")).select("query_id", number.alias("number"))
+    return found.join(numbers, "number").select("query_id", "doc_id")
 
 
 def nearest_within_tolerance(

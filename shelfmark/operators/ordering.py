@@ -218,15 +218,17 @@ def default_listing_order() -> list[SortKey]:
     return [SortKey(F.col(c)) for c in ("album_artist", "album", "disc_number", "track_number", "id")]
 
 
-def queue_views(tracks: DataFrame, now: Column) -> dict[str, DataFrame]:
+def queue_views(
+    tracks: DataFrame, now: Column, open_rows_shown: int = fv.OPEN_ROWS, finished_rows_shown: int = fv.FINISHED_ROWS
+) -> dict[str, DataFrame]:
     """The three queue listings: open, finished, and the one row to claim next."""
     open_rows = tracks.where(~F.col("status").isin(*fv.FINISHED_STATUSES))
     finished = tracks.where(F.col("status").isin(*fv.FINISHED_STATUSES))
     due = tracks.where((F.col("status") == "queued") & (F.col("retry_at").isNull() | (F.col("retry_at") <= now)))
     by_queue = [F.col("priority").desc(), F.col("position"), F.col("id")]
     return {
-        "open": open_rows.orderBy(*by_queue).limit(500),
-        "finished": finished.orderBy(F.col("finished_at").desc(), F.col("id")).limit(150),
+        "open": open_rows.orderBy(*by_queue).limit(open_rows_shown),
+        "finished": finished.orderBy(F.col("finished_at").desc(), F.col("id")).limit(finished_rows_shown),
         "next": due.orderBy(*by_queue).limit(1),
     }
 

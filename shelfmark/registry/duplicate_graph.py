@@ -214,12 +214,22 @@ def first_non_null_merge(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.first_non_null_merge(members, MERGE)
 
 
-@registered(with_({**NAME_GROUP_CTES, "merged": MERGED}, "select k.id, " + ", ".join(
+DONORS = "select max(case when rn = 1 then id end) as id, " + ", ".join(
+    f"case when not bool_or(rn = 1 and has_{c}) then min(case when rn > 1 and has_{c} then id end) end as {c}_from" for c in ("artwork", "lyrics")
+) + " from members group by component"
+
+
+@registered(with_({**NAME_GROUP_CTES, "donors": DONORS}, "select * from donors where artwork_from is not null or lyrics_from is not null", recursive=True))
+def resolve_duplicates_donors(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.resolve_duplicates(view(spark, sf, "keyed"), decisions(spark, sf), "2024-02-01")["donors"]
+
+
+@registered(with_({**NAME_GROUP_CTES, "merged": MERGED, "donors": DONORS}, "select k.id, k.has_artwork or d.artwork_from is not null as has_artwork, k.has_lyrics or d.lyrics_from is not null as has_lyrics, " + ", ".join(
     f"case when {truthy('k.' + c)} then k.{c} else coalesce(m.{c}, k.{c}) end as {c}" for c in MERGE
-) + " from keyed k left join merged m on m.keeper_id = k.id where k.id not in (select id from members where rn > 1)", recursive=True))
+) + " from keyed k left join donors d on d.id = k.id left join merged m on m.keeper_id = k.id where k.id not in (select id from members where rn > 1)", recursive=True))
 def resolve_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     out = duplicates.resolve_duplicates(view(spark, sf, "keyed"), decisions(spark, sf), "2024-02-01")
-    return out["library"].select("id", *MERGE)
+    return out["library"].select("id", "has_artwork", "has_lyrics", *MERGE)
 
 
 @registered(with_(NAME_GROUP_CTES, """select id::varchar as id, 'quarantine' as kind, rel_path as from_path, 'quarantine/2024-02-01/' || rel_path as to_path, title
@@ -254,3 +264,15 @@ def restore(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.restore(log, log.select("op_id"), taken)
 
 
+
+
+# every tenth entry claims a place outside the quarantine folder
+PURGE_LOG = "select op_id, kind, from_path, case when kind = 'quarantine' and op_id % 10 = 0 then concat('q/../out/', substr(to_path, 3)) else to_path end as to_path, log0.at from log0"
+
+
+@registered(with_({"log0": QUARANTINE_LOG, "log": PURGE_LOG, "q": QUARANTINED}, """select distinct 'delete' as kind, q.to_path as from_path from q
+ where q.to_path not like 'q/../%' and exists (select 1 from log l where l.kind = 'quarantine' and l.to_path = q.to_path and mod(l.op_id, 4) = 0)"""))
+def purge(spark: SparkSession, sf: str) -> DataFrame:
+    quarantine_log(spark, sf).createOrReplaceTempView("log0")
+    log = spark.sql(PURGE_LOG).withColumn("detail", F.lit(None).cast("map<string,string>"))
+    return duplicates.purge(log, log.where("op_id % 4 = 0").select("op_id"), "q").select("kind", "from_path")

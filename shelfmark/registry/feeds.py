@@ -74,6 +74,25 @@ def stream_done_per_day(spark: SparkSession, sf: str) -> DataFrame:
     return drain(S.stream_done_per_day(feed_stream(spark, sf)), "per-day").select("day", "done")
 
 
+@registered(with_(ctes("feed"), "select cast(date_trunc('day', ts) as timestamp) as day, count(*) as done from feed where status = 'done' group by 1"))
+def done_per_day_live(spark: SparkSession, sf: str) -> DataFrame:
+    """With the current day, which append mode would hold back."""
+    return S.follow_done_per_day(feed_stream(spark, sf)).select("day", "done")
+
+
+@registered(with_(ctes("feed"), "select date_trunc('second', ts) as tick, round(sum(speed), 4) as speed, max(speed) as top from feed where status = 'downloading' group by 1 order by 1 desc limit 120"))
+def last_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    newest = S.last_ticks(S.follow_speed_history(feed_stream(spark, sf)), 120)
+    return newest.select("tick", F.round("speed", 4).alias("speed"), "top")
+
+
+@registered(with_({**ctes("feed"), "t": "select unnest(generate_series(b - interval 110 second, b, interval 10 second)) as tick, speed from (select time_bucket(interval 10 second, ts) as b, speed from feed where status = 'downloading')"}, f"""
+select tick, round(sum(speed), 4) as speed, max(speed) as top from t group by 1 having tick + interval 120 second <= {CUT_OF.format('downloading')} - interval 1 minute"""))
+def stream_speed_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    out = drain(S.stream_speed_history(feed_stream(spark, sf), "120 seconds", "10 seconds"), "sliding")
+    return out.select("tick", F.round("speed", 4).alias("speed"), "top")
+
+
 def openers(seconds: int, where: str) -> dict[str, str]:
     """Events that open a window of ``seconds``: the first of a key, then each first event after it ends."""
     return {

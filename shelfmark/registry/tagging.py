@@ -143,7 +143,7 @@ def genre_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 # catalog rows under part names; the candidates of a row are the releases of the order with its id
 ENRICH_LIB = """select o_orderkey as id, p_name as title, p_brand as artist, case when o_orderkey % 3 = 0 then cast(null as varchar(9)) else p_name end as album,
- cast(null as varchar(9)) as album_artist, case when o_orderkey % 4 = 0 then 1980 end as year, cast(null as int) as track_number, 1 as disc_number,
+ cast(null as varchar(9)) as album_artist, case when o_orderkey % 4 = 0 then 1980 end as year, cast(null as int) as track_number, cast(null as int) as track_total, 1 as disc_number,
  case when o_orderkey % 5 = 0 then 'Own' end as genre, p_size * 6000 as duration_ms, o_orderkey % 2 = 0 as has_artwork
 from orders join (select l_orderkey, min(l_partkey) as pk from lineitem group by 1) l on l_orderkey = o_orderkey join part on p_partkey = pk"""
 FOUND = {
@@ -158,12 +158,13 @@ FOUND = {
       + 0.25e0 * greatest(0e0, least(1e0, 1e0 - (abs(q_ms - duration_ms) - 2000e0) / 20000e0)) + 0.25e0 * {WEIGHT}) * 100 + 0.5e0) / 100e0 as confidence from pick""",
     "merged": f"""select l.*, c.recording_id, c.confidence, coalesce(c.title, l.title) as m_title,
       case when c.title is not null and {primary('l.artist')} = {primary('c.artist')} then c.artist else l.artist end as m_artist,
-      coalesce(c.title, l.album) as m_album, coalesce(cast(substr(c.released, 1, 4) as int), l.year) as m_year,
-      coalesce(l.genre, case when c.title is not null then 'Group ' || mod(c.release_group, 7) end) as m_genre from lib l left join conf c using (id)""",
+      coalesce(c.title, l.album) as m_album, coalesce(f.first_year, cast(substr(c.released, 1, 4) as int), l.year) as m_year, mod(c.recording_id, 20) + 1 as m_track_total,
+      coalesce(l.genre, case when c.title is not null then 'Group ' || mod(c.release_group, 7) end) as m_genre from lib l left join conf c using (id)
+      left join (select release_group, min(cast(substr(released, 1, 4) as int)) as first_year from typed group by 1) f on f.release_group = c.release_group""",
 }
 
 
-def enriched(spark: SparkSession, sf: str) -> DataFrame:
+def found_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     for t in ("orders", "lineitem", "part"):
         table(spark, sf, t).createOrReplaceTempView(t)
     lib = spark.sql(ENRICH_LIB)
@@ -176,15 +177,26 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
         F.col("release_id").alias("recording_id"), "release_id", "title", F.col("released").alias("date"),
         F.substring("released", 1, 4).try_cast("int").alias("year"), "rank", "status", "primary_type", "secondary_types", "release_group",
         F.lit(None).cast("string").alias("album_artist"), F.lit(None).cast("int").alias("track_number"), F.lit(None).cast("int").alias("disc_number"),
+        (F.col("release_id") % 20 + 1).alias("track_total"),
     )
     groups = r.select("release_group").distinct()
     genres = groups.select(F.col("release_group").alias("entity"), F.lit(1).alias("place"), F.concat(F.lit("Group "), F.col("release_group") % 7).alias("genre"))
-    return enrichment.enrich_catalog(lib, cand, rel, genres)
+    return lib, cand, rel, genres
+
+
+def enriched(spark: SparkSession, sf: str) -> DataFrame:
+    return enrichment.enrich_catalog(*found_sides(spark, sf))
+
+
+@registered(with_(FOUND, "select id, title, artist, title as album, duration_ms from pick"))
+def identify_recordings(spark: SparkSession, sf: str) -> DataFrame:
+    lib, cand, rel, _ = found_sides(spark, sf)
+    return enrichment.identify_recordings(lib, cand, rel).select("id", "title", "artist", "album", "duration_ms")
 
 
-@registered(with_(FOUND, "select id, recording_id, confidence, m_title, m_artist, m_album, m_year, m_genre from merged"))
+@registered(with_(FOUND, "select id, recording_id, confidence, m_title, m_artist, m_album, m_year, m_track_total, m_genre from merged"))
 def enrich_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return enriched(spark, sf).select("id", "recording_id", "confidence", "m_title", "m_artist", "m_album", "m_year", "m_genre")
+    return enriched(spark, sf).select("id", "recording_id", "confidence", "m_title", "m_artist", "m_album", "m_year", "m_track_total", "m_genre")
 
 
 @registered(with_(FOUND, """select id, case when recording_id is null then 'unmatched' when confidence >= 0.7e0 then 'staged' else 'review' end as route,

@@ -174,3 +174,42 @@ def overlay_edits(spark: SparkSession, sf: str) -> DataFrame:
 def apply_edits(spark: SparkSession, sf: str) -> DataFrame:
     base, staged = patches(spark, sf)
     return edits.apply_edits(base, staged)["library"].select("id", "title", "year", "genre")
+
+
+EDITS = """select case when id % 11 = 0 then id + 1000000 else id end as id, case when id % 3 = 0 then concat('img', id % 2) end as art, id % 4 = 0 as sings,
+ case when id % 8 = 0 then ' ' else 'la la' end as words, id % 5 = 0 as named, concat('r', id) as release, case when id % 7 = 0 then 'NaN' else ' 1990' end as year from catalog"""
+EDITED = {**ctes("catalog"), "e": EDITS, "good": "select * from e where art is null or art <> 'img1'"}
+
+
+def edited(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Edits of tags, lyrics, ids and artwork; one of the two pictures cannot be fetched, some files are unknown."""
+    view(spark, sf, "catalog").createOrReplaceTempView("catalog")
+    none = F.lit(None).cast("string")
+    pair = lambda when, key, value: F.when(when, F.struct(F.lit(key).alias("key"), value.alias("value")))
+    entries = F.array_compact(F.array(
+        pair(F.col("art").isNotNull(), "artwork_url", F.col("art")), pair(F.col("sings"), "lyrics", F.col("words")),
+        pair(F.col("named"), "mb_release_id", F.col("release")), pair(F.lit(True), "year", F.col("year")),
+    ))
+    base = view(spark, sf, "catalog").withColumns({"lyrics": none, "mb_release_id": none})
+    asked = spark.sql(EDITS).select("id", F.map_from_entries(entries).alias("patch"))
+    images = table(spark, sf, "region").select(F.concat(F.lit("img"), F.col("r_regionkey") * 2).alias("url"), (F.col("r_regionkey") == 0).alias("ok"))
+    return edits.apply_edits(base, asked, images)
+
+
+@registered(with_(EDITED, """select c.id, case when g.id is null or g.year = 'NaN' then c.year else 1990 end as year, case when g.named then g.release end as mb_release_id, case when g.sings then g.words end as lyrics,
+ c.has_artwork or g.art is not null as has_artwork, case when g.sings then trim(g.words) <> '' else c.has_lyrics end as has_lyrics from catalog c left join good g on g.id = c.id"""))
+def apply_edits_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return edited(spark, sf)["library"].select("id", "year", "mb_release_id", "lyrics", "has_artwork", "has_lyrics")
+
+
+@registered(with_(EDITED, "select c.id, 'retag' as kind, c.rel_path as from_path, c.rel_path as to_path, g.year, g.art from good g join catalog c on c.id = g.id"))
+def apply_edits_log(spark: SparkSession, sf: str) -> DataFrame:
+    detail = lambda key, name: F.try_element_at("detail", F.lit(key)).alias(name)
+    return edited(spark, sf)["log"].select("id", "kind", "from_path", "to_path", detail("year", "year"), detail("artwork_url", "art"))
+
+
+@registered(with_(EDITED, """select id, 'file not found' as error from e where id not in (select id from catalog)
+ union all select id, 'Could not download artwork' from e where art = 'img1' and id in (select id from catalog)
+ union all select id, 'year is no number' from good where year = 'NaN' and id in (select id from catalog)"""))
+def apply_edits_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return edited(spark, sf)["errors"]

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.numbers import positive_int
 from ..operators.ordering import default_listing_order
 from ..plans.durable import new_folder
+from ..plans.skew import number_rows
 
 
 def scan_file_inventory(spark: SparkSession, root: str, exts: tuple[str, ...] = fv.AUDIO_EXTENSIONS) -> DataFrame:
@@ -65,7 +66,8 @@ def merge_upsert_invalidate(index: DataFrame, changes: DataFrame, gone: DataFram
     """The next snapshot: changed rows replace their tags and lose every derived column, unchanged rows
     keep both, new rows get an id, vanished ones go. One full outer join on the path.
 
-    ``changes`` holds path plus the columns to set; ``gone`` holds path.
+    ``changes`` holds path plus the columns to set; ``gone`` holds path. Text ids of new rows are random, numbers follow the largest id of the
+    index in order of path.
     """
     own = [c for c in changes.columns if c != "path"]
     new = changes.select("path", F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in own])
@@ -77,16 +79,28 @@ def merge_upsert_invalidate(index: DataFrame, changes: DataFrame, gone: DataFram
         if c == "path":
             cols.append(F.col("path"))
         elif c == "id":
-            kind = index.schema["id"].dataType.simpleString()
-            made = F.uuid() if kind == "string" else F.xxhash64("path").cast(kind)
-            cols.append(F.coalesce("id", made).alias("id"))
+            cols.append(F.coalesce("id", F.uuid()).alias("id") if _text_ids(index) else F.col("id"))
         elif c in own:
             cols.append(F.when(fresh, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
         elif c in fv.DERIVED_COLUMNS:
             cols.append(F.when(~fresh, F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    return both.select(*cols)
+    merged = both.select(*cols)
+    return merged if "id" not in index.columns or _text_ids(index) else _with_numbers(merged, index)
+
+
+def _text_ids(index: DataFrame) -> bool:
+    return index.schema["id"].dataType.simpleString() == "string"
+
+
+def _with_numbers(merged: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows without an id numbered from the largest id of the index on."""
+    new = number_rows(merged.where("id is null").drop("id"), [], ["path"], "_n").withColumn("_k", F.lit(1))
+    top = index.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).withColumn("_k", F.lit(1))  # a single row
+    made = (F.col("_top") + F.col("_n")).cast(index.schema["id"].dataType)
+    numbered = new.join(F.broadcast(top), "_k").withColumn("id", made)
+    return merged.where("id is not null").unionByName(numbered.select(*merged.columns))
 
 
 def write_snapshot(df: DataFrame, folder: str | None = None) -> str:

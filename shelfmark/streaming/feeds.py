@@ -101,6 +101,23 @@ def stream_speed_history(feed: DataFrame, tick: str = "1 second", slide: str | N
     )
 
 
+def replace_rows(keys: list[str]):
+    """Merge step of a keyed table whose updates replace the row of their key."""
+
+    def merge(known: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rest = [c for c in batch.columns if c not in keys]
+        both = batch.withColumn("_new", F.lit(1))
+        both = both if known is None else known.withColumn("_new", F.lit(0)).unionByName(both)
+        return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_row")).select(*keys, "_row.*")
+
+    return merge
+
+
+def follow_speed_history(feed: DataFrame, folder: str | None = None, tick: str = "1 second", slide: str | None = None) -> DataFrame:
+    """Every tick so far, the open ones too: update mode into a table keyed by tick. State ends with the watermark."""
+    return SnapshotTable(feed.sparkSession, "speed", replace_rows(["tick", "tick_end"]), folder).follow(stream_speed_history(feed, tick, slide))
+
+
 def last_ticks(history: DataFrame, n: int = 120) -> DataFrame:
     return history.orderBy(F.col("tick").desc()).limit(n)
 
@@ -126,6 +143,11 @@ def stream_done_per_day(feed: DataFrame) -> DataFrame:
     )
 
 
+def follow_done_per_day(feed: DataFrame, folder: str | None = None) -> DataFrame:
+    """Done rows of every day including today: update mode into a table keyed by day."""
+    return SnapshotTable(feed.sparkSession, "per-day", replace_rows(["day", "day_end"]), folder).follow(stream_done_per_day(feed))
+
+
 # ---- windows opened by their first event -------------------------------------------------------
 
 # fixed values: size and wording of a digest
