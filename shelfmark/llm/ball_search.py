@@ -10,12 +10,12 @@ its documents and a radius that holds all of them; it is split in half along the
 documents are halved by place, so copies never stop the build.
 
 A query takes nodes best first by ``q . c + |q| * r``, an upper bound of every score below the node, and stops when the best bound is under the
-score that is needed: the last of its best documents so far, or a floor known before. Bounds are made safe: each sum
+score that is needed: that of the last of its best documents so far, or of a floor known before. Bounds are made safe: each sum
 is raised by its largest rounding error, the radius by the error of the distances, so no document is lost. Coordinates are scaled by the
 root of the weights, which changes no product and makes the bounds tighter. At leaves, scores are exact 64-bit integers.
 
-The floors are the scores of the last of the best documents of a bounded sample (``SAMPLE_DOCS`` expected): never above the true ones, so they
-only spare work. Every task returns at most ``top`` documents for each query, the best of which are taken by rank filters.
+The floors are the last of the best documents of a bounded sample (``SAMPLE_DOCS`` expected), by score and id: never before the true ones, so they
+only spare work, also where thousands of copies have one score. Every task returns at most ``top`` documents for each query, the best of which are taken by rank filters.
 
 Queries are taken in blocks of at most ``BLOCK_BYTES`` of text; a larger query set is worked off block by block, documents being cut into terms once for each (one
 larger query is a block of its own). Null texts and texts without terms are no documents and no queries. Each row of either table counts, also where
@@ -55,6 +55,7 @@ _GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
 _VECTOR = "doc_id long, n long, terms array<int>, tfs array<int>"
 _HIT = "query int, item_id long, doc_id long, score long"
 _ULP = 2.0**-52
+NO_ID = np.iinfo(np.int64).max  # a null id comes last
 
 
 class Query(NamedTuple):
@@ -194,8 +195,10 @@ def build(rows: Rows, roots: np.ndarray, leaf_docs: int = LEAF_DOCS) -> Tree:
     return Tree(nodes, rows.take(order), order)
 
 
-def search(tree: Tree, ids: np.ndarray, exact: np.ndarray, scaled: np.ndarray, norm: float, floor: int, top: int) -> list[tuple[int, int]]:
-    """The best documents of a query as (score, place in ``ids``), from (score, id) best first; all with a score of ``floor`` at least if fewer."""
+def search(
+    tree: Tree, ids: np.ndarray, exact: np.ndarray, scaled: np.ndarray, norm: float, floor: tuple[int, int], top: int
+) -> list[tuple[int, int]]:
+    """The best documents of a query as (score, place in ``ids``), best first, none behind the document ``floor`` (score, id)."""
 
     def bound(k: int) -> float:
         node = tree.nodes[k]
@@ -203,7 +206,7 @@ def search(tree: Tree, ids: np.ndarray, exact: np.ndarray, scaled: np.ndarray, n
         return raised(float(products.sum()), len(products)) + raised(norm * node.radius, 16)
 
     best_scores, best_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    need = max(floor, 1)
+    need, need_id = floor if floor[0] > 0 else (1, NO_ID)
     queue = [(-bound(0), 0)]
     while queue:
         upper, k = heapq.heappop(queue)
@@ -216,14 +219,14 @@ def search(tree: Tree, ids: np.ndarray, exact: np.ndarray, scaled: np.ndarray, n
             continue
         a, b = tree.rows.starts[node.first], tree.rows.starts[node.last]
         scores = np.add.reduceat(exact[tree.rows.terms[a:b]] * tree.rows.values[a:b], tree.rows.starts[node.first : node.last] - a)
-        good = np.flatnonzero(scores >= need)
+        good = np.flatnonzero((scores > need) | ((scores == need) & (ids[tree.order[node.first : node.last]] <= need_id)))
         if len(good):
             best_scores = np.concatenate([best_scores, scores[good]])
             best_at = np.concatenate([best_at, tree.order[node.first + good]])
             keepers = np.lexsort((ids[best_at], -best_scores))[:top]
             best_scores, best_at = best_scores[keepers], best_at[keepers]
             if len(best_at) == top:
-                need = max(need, int(best_scores[-1]))
+                need, need_id = int(best_scores[-1]), int(ids[best_at[-1]])
     return list(zip(best_scores.tolist(), best_at.tolist()))
 
 
@@ -246,7 +249,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def hits(some: DataFrame, block: Block, weights: np.ndarray, n_docs: int, n_terms: int, floors: np.ndarray, top: int) -> DataFrame:
+def hits(some: DataFrame, block: Block, weights: np.ndarray, n_docs: int, n_terms: int, floors: list[tuple[int, int]], top: int) -> DataFrame:
     """query (place in the block), item_id, doc_id, score: at most ``top`` for each query and chunk, never less than the best."""
     spark = some.sparkSession
     # documents with the same rare terms become neighbours; the id splits terms that many documents share
@@ -272,14 +275,14 @@ def hits(some: DataFrame, block: Block, weights: np.ndarray, n_docs: int, n_term
             if not len(left):
                 continue
             given = chunk.column("doc_id").take(pa.array(left)).combine_chunks()
-            ids = given.fill_null(np.iinfo(np.int64).max).to_numpy()
+            ids = given.fill_null(NO_ID).to_numpy()
             tree = build(Rows(np.append(starts, int(counts.sum())), terms[counts], impacts[counts]), roots)
             found: list[tuple[int, int | None, int, int]] = []
             for k, query in enumerate(queries):
                 exact[query.terms] = weights[query.terms] * query.repeats
                 scaled[query.terms] = roots[query.terms] * query.repeats
                 norm = raised(math.sqrt(raised(float((scaled[query.terms] ** 2).sum()), len(query.terms))), 16)
-                found += [(k, query.item_id, at, score) for score, at in search(tree, ids, exact, scaled, norm, int(floors[k]), top)]
+                found += [(k, query.item_id, at, score) for score, at in search(tree, ids, exact, scaled, norm, floors[k], top)]
                 exact[query.terms] = 0
                 scaled[query.terms] = 0
             for a in range(0, len(found), 50_000):
@@ -301,12 +304,12 @@ def search_block(docs: DataFrame, block: Block, top: int) -> DataFrame:
     df = np.zeros(len(block.vocabulary), np.int64)
     df[held.column("term").to_numpy()] = held.column("df").to_numpy()
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
-    floors = np.zeros(len(block.queries), np.int64)
+    floors = [(0, NO_ID)] * len(block.queries)
     if n_docs > 2 * SAMPLE_DOCS:
         sample = some.sample(fraction=SAMPLE_DOCS / n_docs, seed=13)
         last = _best(hits(sample, block, weights, n_docs, n_terms, floors, top), top).where(F.col("rank") == top)
-        for r in last.select("query", "score").toLocalIterator():  # at most a row for each query of the block
-            floors[r["query"]] = r.score
+        for r in last.select("query", "score", "doc_id").toLocalIterator():  # at most a row for each query of the block
+            floors[r["query"]] = (r.score, NO_ID if r.doc_id is None else r.doc_id)
     return _best(hits(some, block, weights, n_docs, n_terms, floors, top), top).select("item_id", "rank", "doc_id", "score")
 
 
