@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,13 +273,24 @@ def exclude_dismissed(groups: DataFrame, members: DataFrame, dismissals: DataFra
     return groups.join(hit.select("component").distinct(), "component", "left_anti")
 
 
+SIGNATURE_LONGS = 16
+
+
+def _signatures(posted: DataFrame) -> DataFrame:
+    """(id, s0, s1, ...): each word sets one of the bits, by hash; equal words set equal bits."""
+    spot = F.pmod(F.xxhash64("word"), F.lit(64 * SIGNATURE_LONGS))
+    marked = posted.select("id", F.floor(spot / 64).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(word), {64 * SIGNATURE_LONGS}) % 64 as int))").alias("bit"))
+    return marked.groupBy("id").agg(*[F.coalesce(F.bit_or(F.when(F.col("slot") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"s{k}") for k in range(SIGNATURE_LONGS)])
+
+
 def token_similarity_join(df: DataFrame, threshold: float, key: str = "id", words: str = "words") -> DataFrame:
     """Links (a, b, dice) between rows whose word sets reach ``threshold``.
 
     Rows with the same word set form one class: each copy is linked to the class's smallest id with
     dice 1, so a heap of copies costs one link per row. Between classes, a pair can only reach the
-    threshold if it shares one of the rarest words of both: sets are joined on that prefix alone and
-    the length bound is checked before the overlap is counted.
+    threshold if it shares one of the rarest words of both: sets are joined on that prefix alone. Where the first shared word stands
+    bounds what the rest of both sets can add, and bits in which fixed-width signatures differ are words that only one side has: pairs
+    that fail either bound are dropped before any set of words travels. Both bounds are exact, so no link is lost.
     """
     sized = df.where(F.size(words) > 0).select(
         F.col(key).alias("id"), F.array_sort(words).alias("w")
@@ -298,18 +311,21 @@ def token_similarity_join(df: DataFrame, threshold: float, key: str = "id", word
     ranked = (
         by_rarity.groupBy("id", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("_by"))  # one row's words
-        .select("id", "n", F.explode(F.slice("_by", 1, (F.col("n") - need + 1).cast("int"))).alias("p"))
-        .select("id", "n", F.col("p.word").alias("word"))
+        .select("id", "n", F.posexplode(F.slice("_by", 1, (F.col("n") - need + 1).cast("int"))).alias("at", "p"))
+        .select("id", F.col("p.word").alias("word"), "n", (F.col("n") - F.col("at")).alias("left"))
     )
-    right = ranked.select("word", F.col("id").alias("b"), F.col("n").alias("nb"))
-    left = ranked.select("word", F.col("id").alias("a"), F.col("n").alias("na"))
-    lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
+    side = lambda x: ranked.select("word", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"))
+    wanted = threshold * (F.col("na") + F.col("nb")) - 1e-9  # twice the overlap that reaches the threshold
     cand = (
-        spread_join(right, left, ["word"])
-        .where((F.col("a") < F.col("b")) & (2.0 * lo >= threshold * (lo + hi) - 1e-9))
-        .select("a", "b")
+        spread_join(side("b"), side("a"), ["word"])
+        .where((F.col("a") < F.col("b")) & (2.0 * F.least("la", "lb") >= wanted))
+        .select("a", "b", "na", "nb")
         .distinct()
     )
+    marks = keep(_signatures(posted), "signatures")
+    half = lambda x: marks.select(F.col("id").alias(x), *[F.col(f"s{k}").alias(f"{x}{k}") for k in range(SIGNATURE_LONGS)])
+    differ = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SIGNATURE_LONGS)])
+    cand = cand.join(half("a"), "a").join(half("b"), "b").where(F.col("na") + F.col("nb") - differ >= wanted).select("a", "b")
     full = reps.select("id", "w")
     scored = (
         cand.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a")
