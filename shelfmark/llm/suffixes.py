@@ -9,8 +9,8 @@ built in parts that fit a task:
 1. *Suffixes in play.* Of the ``PREFIX``-word runs inside a window the one with the smallest hash is the window's anchor; equal
    windows have equal anchors. An anchor run is the prefix of the suffixes of its windows. Documents send the hashes of their anchors only; a prefix
    that stands in one document only (most do) belongs to no repeat and is dropped, before any text has moved.
-2. *Groups by prefix length.* A prefix with at most ``GROUP`` places is one group: the stretches of text under its windows
-   go to one task. A more frequent prefix is lengthened to the whole window: then a subtree is a single node, its smallest document is a
+2. *Groups by prefix length.* A prefix with at most ``GROUP`` windows is one group: the stretches of text under its windows
+   go to one task, ``GROUP * WINDOW`` words at most. Windows are counted, not documents, so a few long repetitive texts do not pass for a small group. A more frequent prefix is lengthened to the whole window: then a subtree is a single node, its smallest document is a
    minimum that Spark takes before the shuffle, and a passage that stands in a third of all documents is never gathered.
 3. *Subtrees.* A task takes whole groups and refines the ranks of all their suffixes by doubling the compared depth
    (1, 2, 4, ... words) up to ``WINDOW``: the classes of one rank are the nodes of that depth. A node at depth ``WINDOW`` with several documents
@@ -39,7 +39,8 @@ from .words import words_of, windows
 
 WINDOW = 50
 PREFIX = 16
-GROUP = 2_000
+GROUP = 40_000  # windows
+SLICE_BYTES = 1 << 20  # of text at a time, where every window may become a row
 BATCH_WORDS = 1_000_000
 ALL_WORDS = 1 << 62
 
@@ -63,7 +64,7 @@ def anchors(codes: np.ndarray, starts: np.ndarray, window: int, prefix: int) ->
 
 
 def anchor_table(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """doc_id, text_hash, check and the distinct anchor hashes of every document that has a window."""
+    """doc_id, text_hash, check and the distinct anchor hashes of every document that has a window, with the number of their windows."""
 
     def work():
         def one(batch: pa.RecordBatch) -> dict:
@@ -71,12 +72,13 @@ def anchor_table(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             runs, first, at = anchors(words.codes, words.starts, window, prefix)
             bounds = np.searchsorted(first, words.starts)
             marks = runs[at]
-            found = [np.unique(marks[a:b]) for a, b in zip(bounds, bounds[1:])]
-            return {c: batch.column(c) for c in ("doc_id", "text_hash", "check")} | {"prefixes": found}
+            found = [np.unique(marks[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:])]
+            marked = {"prefixes": [p for p, _ in found], "windows": [n for _, n in found]}
+            return {c: batch.column(c) for c in ("doc_id", "text_hash", "check")} | marked
 
         return one
 
-    schema = "doc_id long, text_hash long, check long, prefixes array<long>"
+    schema = "doc_id long, text_hash long, check long, prefixes array<long>, windows array<long>"
     return per_slice(docs.select("doc_id", "text_hash", "check", "text"), work, schema).where(F.size("prefixes") > 0)
 
 
@@ -84,7 +86,7 @@ def stretches(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """The text under the windows of wanted prefixes.
 
     A row of a group has a ``stretch``: the words of ``n`` windows from word ``first`` on, joined by spaces. A row of a
-    lengthened prefix is one window: ``whole`` is the hash of its words and ``stretch`` is null."""
+    lengthened prefix stands for ``n`` windows from ``first`` on that have the same words: ``whole`` is their hash and ``stretch`` is null."""
 
     def work():
         def one(batch: pa.RecordBatch) -> dict:
@@ -92,46 +94,50 @@ def stretches(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             runs, first, at = anchors(words.codes, words.starts, window, prefix)
             whole = windows(words.codes, window).view(np.int64)
             bounds = np.searchsorted(first, words.starts)
-            out: dict[str, list] = {k: [] for k in ("prefix", "whole", "doc_id", "text_hash", "first", "n", "stretch")}
-            ids, marks = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
+            parts: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in ("prefix", "whole", "row", "first", "n", "single")}
+            held_text: list[bytes | None] = []
             texts = batch.column("text").cast(pa.binary())
+
+            def add(row: int, spots: np.ndarray, new: np.ndarray, **columns: np.ndarray) -> np.ndarray:
+                """One row for each run of ``spots``; ``new`` marks where a run begins."""
+                heads = np.flatnonzero(np.concatenate([[True], new]))
+                sizes = np.diff(np.append(heads, len(spots)))
+                for k, v in (columns | {"n": None, "row": None}).items():
+                    parts[k].append(sizes if k == "n" else np.full(len(heads), row) if k == "row" else v[spots[heads]])
+                return heads
+
             for i, wanted in enumerate(batch.column("wanted")):
                 a, b = bounds[i], bounds[i + 1]
                 prefixes, frequent = (c.to_numpy(zero_copy_only=False) for c in wanted.values.flatten())
                 order = np.argsort(prefixes)
                 prefixes, frequent = prefixes[order], frequent[order].astype(bool)
-                mine = runs[at[a:b]]
+                mine, deep = runs[at[a:b]], whole[first[a:b]]
                 spot = np.minimum(np.searchsorted(prefixes, mine), len(prefixes) - 1)
                 hit = prefixes[spot] == mine
-                often = hit & frequent[spot]
                 starts = first[a:b] - words.starts[i]
-                n = int(often.sum())
-                out["prefix"] += mine[often].tolist()
-                out["whole"] += whole[first[a:b][often]].tolist()
-                out["first"] += starts[often].tolist()
-                out["n"] += [1] * n
-                out["stretch"] += [None] * n
-                rare = np.flatnonzero(hit & ~often)
+                often = np.flatnonzero(hit & frequent[spot])
+                if len(often):
+                    new = (np.diff(often) != 1) | (np.diff(deep[often]) != 0) | (np.diff(mine[often]) != 0)
+                    heads = add(i, often, new, prefix=mine, whole=deep, first=starts, single=np.ones(len(mine), np.int64))
+                    held_text += [None] * len(heads)
+                rare = np.flatnonzero(hit & ~frequent[spot])
                 if len(rare):
+                    new = (np.diff(rare) != 1) | (np.diff(at[a:b][rare]) != 0)
+                    heads = add(i, rare, new, prefix=mine, whole=deep, first=starts, single=np.zeros(len(mine), np.int64))
                     held = texts[i].as_py().split()
-                    places = at[a:b][rare]
-                    cuts = np.flatnonzero((np.diff(rare) != 1) | (np.diff(places) != 0)) + 1
-                    for run in np.split(rare, cuts):
-                        p, q = int(starts[run[0]]), int(starts[run[-1]])
-                        out["prefix"].append(int(mine[run[0]]))
-                        out["whole"].append(None)
-                        out["first"].append(p)
-                        out["n"].append(q - p + 1)
-                        out["stretch"].append(b" ".join(held[p : q + window]))
-                        n += 1
-                out["doc_id"] += [ids[i]] * n
-                out["text_hash"] += [marks[i]] * n
-            return out
+                    ends = np.append(rare[heads[1:] - 1], rare[-1])
+                    held_text += [b" ".join(held[p : q + window]) for p, q in zip(starts[rare[heads]].tolist(), starts[ends].tolist())]
+            out = {k: np.concatenate(v) for k, v in parts.items()}
+            rows = pa.array(out["row"])
+            return {
+                "prefix": out["prefix"], "whole": pa.array(out["whole"], pa.int64(), mask=out["single"] == 0), "first": out["first"], "n": out["n"],
+                "doc_id": batch.column("doc_id").take(rows), "text_hash": batch.column("text_hash").take(rows), "stretch": held_text,
+            }
 
         return one
 
     schema = "prefix long, whole long, doc_id long, text_hash long, first long, n int, stretch binary"
-    return per_slice(docs, work, schema)
+    return per_slice(docs, work, schema, limit=SLICE_BYTES)
 
 
 def node_ranks(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -212,11 +218,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group:
         held.select("doc_id", *same).join(twins, same).where("doc_id > least").select("doc_id", "text_hash").distinct(), "copies"
     )
     marks = held.join(copies, ["doc_id", "text_hash"], "left_anti").select(
-        "doc_id", "text_hash", F.explode("prefixes").alias("prefix")
-    )
+        "doc_id", "text_hash", F.explode(F.arrays_zip(F.col("prefixes").alias("prefix"), F.col("windows").alias("windows"))).alias("m")
+    ).select("doc_id", "text_hash", "m.prefix", "m.windows")
     shared = (
         marks.groupBy("prefix")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("places"))
+        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.sum("windows").alias("places"))
         .where("least <> last")
         .select("prefix", (F.col("places") > group).alias("frequent"))
     )
@@ -226,14 +232,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group:
         .agg(F.collect_list(F.struct("prefix", "frequent")).alias("wanted"))
     )
     wanted = keep(wanted, "wanted")
-    texts = known.select("doc_id", "text_hash", "text").join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
+    texts = known.select("doc_id", "text_hash", "text").join(wanted, ["doc_id", "text_hash"])
     rows = keep(stretches(texts, window, prefix), "stretches")
     found = subtree_repeats(rows.where("stretch is not null"), window)
-    single = rows.where("stretch is null").select("prefix", "whole", "doc_id", "text_hash", "first")
+    single = rows.where("stretch is null").select("prefix", "whole", "doc_id", "text_hash", "first", "n")
     least = single.groupBy("prefix", "whole").agg(F.min("doc_id").alias("least"))
     deep = (
         single.join(least, ["prefix", "whole"]).where("doc_id > least")
-        .select("doc_id", "text_hash", "first", (F.col("first") + window).alias("last"))
+        .select("doc_id", "text_hash", "first", (F.col("first") + F.col("n") - 1 + window).alias("last"))
     )
     everything = copies.select("doc_id", "text_hash", F.lit(0).cast("long").alias("first"), F.lit(ALL_WORDS).alias("last"))
     return (
@@ -251,7 +257,7 @@ def without_repeats(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")
     )
     spans = keep(repeats(read, window, prefix, group), "spans")
-    joined = read.join(spans.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
+    joined = read.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
 
     def work():
         def one(batch: pa.RecordBatch) -> dict:

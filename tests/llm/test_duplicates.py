@@ -178,3 +178,12 @@ def test_pipeline_stage_finds_near_copies_by_five_words(spark):
     assert want == {1, 3, 4}
     df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.jaccard_join(spark, df, "").collect()} == want
+
+
+def test_long_repetitive_texts_are_no_small_group(spark):
+    rows = [(1, "na " * 30_000), (2, "na " * 20_000 + "end"), (3, "ba na " * 15_000), (4, " ".join(f"u{i}" for i in range(80))), (5, "ba na " * 40 + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in suffixes.without_repeats(df, group=1000).collect()}
+    assert got == {1: (30_000, 0), 2: (20_001, 20_000), 3: (30_000, 0), 4: (80, 0), 5: (81, 80)}
+    few = {r.doc_id: (r.n_words, r.n_removed) for r in suffixes.without_repeats(df).collect()}
+    assert few == got
