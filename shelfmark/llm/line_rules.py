@@ -1,6 +1,6 @@
 """Quality rules with cross-document line frequency (operator 1), in DataFrame functions only.
 
-Base rules look at one document. The method looks across documents: a line is normalised (A-Z folded, digits to 0, white space
+Base rules look at one document. The method looks across documents: a line is normalised (lower case, digits to 0, white space
 collapsed) and hashed; per host, the distinct documents with that line are counted; a line is boilerplate when its count
 exceeds both limits, ``MIN_DOCS`` and the share ``MAX_SHARE`` of the documents of its host. Boilerplate lines are removed, and a document
 left with less than ``MIN_LEFT`` of its words is depleted and rejected.
@@ -8,8 +8,7 @@ left with less than ``MIN_LEFT`` of its words is depleted and rejected.
 Exact copies are no evidence of boilerplate: they would condemn every line of a document that was merely copied, and with it the one copy that should
 stay. So documents of a host with the same normalised lines, in any order, are one document, both in the count of a line and in that of the host.
 Documents that differ in any line are different ones, however much of them is shared: a page that is boilerplate but for one line counts in full.
-``OP1_SQL`` still counts sketches (the smallest hashes of lines of at least ``LONG_LINE`` characters) in place of documents and rows of the host; it
-agrees on the given tables and keeps pages that the count of documents rejects where shared lines give different pages one sketch.
+``OP1_SQL`` counts the same documents by their sorted lines.
 
 Null and empty texts have no words, fail the base rules (fewer than ``MIN_WORDS`` words) and are not kept. A null host is a host of its
 own. Every row is judged; repeated ones count as one document. An empty table gives no rows. Other columns are not read.
@@ -32,7 +31,6 @@ MAX_REPEAT = 0.5
 MIN_DOCS = 20
 MAX_SHARE = 0.02
 MIN_LEFT = 0.5
-LONG_LINE = 20  # read by OP1_SQL only
 _SPACES = "[ \\t-\\r]+"
 _WORD = "[^ \\t-\\r]"
 _NO_SYMBOLS = "[^#*$%&|<>]+"
@@ -228,14 +226,12 @@ with read as (
 ), lines as (
   select r, host, trim(line) as line, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 as words
   from lined where trim(line) <> ''
-), sketches as (
-  select r, coalesce(min(case when length(line) >= {LONG_LINE} then substr(md5(line), 1, 16) end)
-                     || min(case when length(line) >= {LONG_LINE} then substr(md5(line), 17) end),
-                     string_agg(line, chr(10) order by line)) as sketch from lines group by r
+), sames as (
+  select r, string_agg(line, chr(10) order by line) as same from lines group by r
 ), counts as (
-  select host, line, count(distinct sketch) as n_docs from lines join sketches using (r) group by host, line
+  select host, line, count(distinct same) as n_docs from lines join sames using (r) group by host, line
 ), hosts as (
-  select host, count(*) as n_host from read group by host
+  select host, count(distinct coalesce(same, '')) as n_host from read left join sames using (r) group by host
 ), common as (
   select host, line from counts join hosts using (host)
   where n_docs > {MIN_DOCS} and n_docs > {MAX_SHARE} * n_host
