@@ -51,6 +51,7 @@ CHUNK_DOCS = 8192
 CHUNK_TERMS = 2_000_000
 LEAF_DOCS = 64
 SAMPLE_DOCS = 8192
+SAMPLE_TASKS = 6  # each returns its best for every query, so a bounded sample takes few
 _GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
 _VECTOR = "doc_id long, n long, terms array<int>, tfs array<int>"
 _HIT = "query int, item_id long, doc_id long, score long"
@@ -249,12 +250,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def dealt(some: DataFrame) -> DataFrame:
+    """Vectors in an order in which documents with the same rare terms are neighbours; the id splits terms that many documents share."""
+    route = [F.get("terms", F.lit(i)) for i in range(3)] + [F.col("doc_id")]
+    return some.where(F.size("terms") > 0).repartitionByRange(*route).sortWithinPartitions(*route)
+
+
 def hits(some: DataFrame, block: Block, weights: np.ndarray, n_docs: int, n_terms: int, floors: list[tuple[int, int]], top: int) -> DataFrame:
     """query (place in the block), item_id, doc_id, score: at most ``top`` for each query and chunk, never less than the best."""
     spark = some.sparkSession
-    # documents with the same rare terms become neighbours; the id splits terms that many documents share
-    route = [F.get("terms", F.lit(i)) for i in range(3)] + [F.col("doc_id")]
-    dealt = some.where(F.size("terms") > 0).repartitionByRange(*route).sortWithinPartitions(*route)
     sent = spark.sparkContext.broadcast((block.queries, weights, floors))
     schema = to_arrow_schema(T.StructType.fromDDL(_HIT))
 
@@ -290,7 +294,7 @@ def hits(some: DataFrame, block: Block, weights: np.ndarray, n_docs: int, n_term
                 columns = [ks, items, given.take(pa.array(at)), scores]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, tuple) else c for c, f in zip(columns, schema)], schema=schema)
 
-    return dealt.mapInArrow(run, _HIT)
+    return some.where(F.size("terms") > 0).mapInArrow(run, _HIT)
 
 
 def _best(found: DataFrame, top: int) -> DataFrame:
@@ -306,11 +310,11 @@ def search_block(docs: DataFrame, block: Block, top: int) -> DataFrame:
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
     floors = [(0, NO_ID)] * len(block.queries)
     if n_docs > 2 * SAMPLE_DOCS:
-        sample = some.sample(fraction=SAMPLE_DOCS / n_docs, seed=13)
+        sample = keep(some.sample(fraction=SAMPLE_DOCS / n_docs, seed=13), "sample").coalesce(SAMPLE_TASKS)
         last = _best(hits(sample, block, weights, n_docs, n_terms, floors, top), top).where(F.col("rank") == top)
         for r in last.select("query", "score", "doc_id").toLocalIterator():  # at most a row for each query of the block
             floors[r["query"]] = (r.score, NO_ID if r.doc_id is None else r.doc_id)
-    return _best(hits(some, block, weights, n_docs, n_terms, floors, top), top).select("item_id", "rank", "doc_id", "score")
+    return _best(hits(dealt(some), block, weights, n_docs, n_terms, floors, top), top).select("item_id", "rank", "doc_id", "score")
 
 
 def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
