@@ -13,7 +13,8 @@ one seed of its own length.
 
 Words are compared with A-Z folded and punctuation at their ends taken off. Null or empty texts and empty items share no
 seed: coverage 0, not contaminated. Of items with equal coverage the smallest id is reported; repeated documents are
-judged each; an empty benchmark contaminates nothing; items with a null id are left out.
+judged each; an empty benchmark contaminates nothing. Every benchmark row is an item of its own, also where rows repeat an id or have none; only the id of
+the best covered one is reported, and a null id comes last among equals.
 """
 
 from __future__ import annotations
@@ -114,9 +115,10 @@ def tile(item: Sequence, doc: Sequence, min_match: int) -> list[tuple[int, int,
 class _Block:
     """A benchmark block ready for lookups."""
 
-    def __init__(self, items: Sequence[tuple[int, list[bytes]]], min_match: int):
+    def __init__(self, items: Sequence[tuple[int | None, list[bytes]]], min_match: int):
         self.min_match = min_match
-        self.words = {k: w for k, w in items if w}
+        self.ids = [k for k, _ in items]
+        self.words = {row: w for row, (_, w) in enumerate(items) if w}
         self.vocabulary: dict[bytes, int] = {}
         seeds: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for k, words in self.words.items():
@@ -131,7 +133,7 @@ class _Block:
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
     def items_of(self, codes: np.ndarray) -> set[int]:
-        """Items that share a seed."""
+        """Rows of the items that share a seed."""
         out: set[int] = set()
         for size, known in self.sorted.items():
             h = karp_rabin(codes, size)
@@ -145,7 +147,7 @@ class _Block:
 _FOUND = ("coverage", "item_id", "n_tiles")
 
 
-def _judged(docs: DataFrame, items: list[tuple[int, list[bytes]]], min_match: int, columns: Sequence[str]) -> DataFrame:
+def _judged(docs: DataFrame, items: list[tuple[int | None, list[bytes]]], min_match: int, columns: Sequence[str]) -> DataFrame:
     """Updates the best item of rows by that of one block; returns ``columns`` and what was found."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -161,11 +163,11 @@ def _judged(docs: DataFrame, items: list[tuple[int, list[bytes]]], min_match: in
                 return top
             # a word outside the benchmark gets code 0: no seed holds it
             codes = np.array([memo.get(w, 0) for w in words], np.uint64)
-            for k in sorted(block.items_of(codes)):
-                item = block.words[k]
+            for row in sorted(block.items_of(codes)):
+                item, k = block.words[row], block.ids[row]
                 tiles = tile(item, words, min(min_match, len(item)))
                 share = sum(t[2] for t in tiles) / len(item)
-                if share > top[0] or share == top[0] > 0 and k < top[1]:
+                if share > top[0] or share == top[0] > 0 and (k is None, k) < (top[1] is None, top[1]):
                     top = (share, k, len(tiles))
             return top
 
@@ -184,13 +186,13 @@ def _judged(docs: DataFrame, items: list[tuple[int, list[bytes]]], min_match: in
 def _best_items(
     docs: DataFrame, columns: Sequence[str], benchmark: DataFrame, min_match: int, threshold: float, block_words: int
 ) -> DataFrame:
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     most_words = F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1  # each word but the last has a separator
     blocks = max(1, math.ceil((items.agg(F.sum(most_words)).first()[0] or 0) / block_words))
     none = {"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long"), "n_tiles": F.lit(0).cast("long")}
     rows = docs.select(*columns, *[c for c in ("text",) if c not in columns], *[v.alias(k) for k, v in none.items()])
     for k in range(blocks):  # one in practice; a larger benchmark is a query set taken in blocks
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         block = [(r.item_id, folded_words(r.text)) for r in mine.orderBy("item_id", "text").toLocalIterator()]
         carried = columns if k == blocks - 1 or "text" in columns else (*columns, "text")
         rows = _judged(rows, block, min_match, carried)

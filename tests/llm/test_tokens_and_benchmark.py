@@ -146,3 +146,13 @@ def test_clean_documents_keep_their_columns(spark, benchmark):
     assert [(r.doc_id, r.item_id, r.coverage) for r in kept.collect()] == [(d, 7, "z") for d in (3, 5, 6, 7, 1)]
     assert gst.clean_documents(df, benchmark.limit(0)).count() == len(DOCS)
     assert gst.contamination(df.limit(0), benchmark).count() == 0
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 20])
+def test_items_that_repeat_an_id_or_have_none_are_all_searched(spark, block_words):
+    passage = lambda name: " ".join(f"{name}{i}" for i in range(20))
+    items = spark.createDataFrame([(1, passage("a")), (1, passage("b")), (None, passage("c")), (None, passage("d")), (2, passage("d"))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"so {passage(n)} on") for k, n in enumerate("abcde")], "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in gst.contamination(docs, items, block_words=block_words).select("doc_id", "item_id", "coverage", "contaminated").collect()]
+    assert got == [(0, 1, 1.0, True), (1, 1, 1.0, True), (2, None, 1.0, True), (3, 2, 1.0, True), (4, None, 0.0, False)]
+    assert [r.doc_id for r in gst.clean_documents(docs, items, block_words=block_words).collect()] == [4]
