@@ -170,7 +170,8 @@ def word_postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, Da
     Documents are cut into words once. Bitmaps of words with few documents are almost all zeros, which files and shuffles compress away.
     """
     numbers = keep(number_rows(docs.select("doc_id"), [], ["doc_id"], "number").select("doc_id", "number"), "numbers")
-    posted = docs.select("doc_id", F.explode("words").alias("word")).join(vocabulary, "word", "left_semi").join(numbers, "doc_id")
+    # the outer form infers no filter on the words, which would cut every document once more; a null word joins nothing
+    posted = docs.select("doc_id", F.explode_outer("words").alias("word")).join(vocabulary, "word", "left_semi").join(numbers, "doc_id")
     block = F.bitmap_bucket_number("number").alias("block")
     bits = F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
     return keep(posted.groupBy("word", block).agg(bits), "postings"), numbers
