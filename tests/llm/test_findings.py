@@ -171,6 +171,52 @@ def test_redaction(spark):
     assert secrets.redact("0123456789", [(1, 4, "a"), (2, 6, "b"), (8, 9, "c")], "#") == "0#67#9"
 
 
+def test_long_candidates_are_judged_whole():
+    rng = random.Random(8)
+    net = char_cnn.CharCNN(filters=7, seed=2)
+    text = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "+/=") for _ in range(n))
+    shown = [char_cnn.window(f"some words {v} behind it there is more of the text", 11, 11 + len(v)) for v in map(text, [16, 32, 33, 52, 53, 68, 137, 200, 5_000])]
+    shown += [char_cnn.window("ab" + v, 2, 2 + len(v)) for v in map(text, [20, 52, 100])] + [char_cnn.window(text(300), 0, 300, context=False)]
+    x = char_cnn.coded(shown)
+    for s, z in zip(shown, net.logits(x)):
+        row = char_cnn.TABLE[np.frombuffer(s.encode() + b"\0" * char_cnn.WIDTH, np.uint8)]
+        used = len(s) + -(len(s) - char_cnn.WIDTH) % char_cnn._STEP  # filled to whole windows
+        e = net.emb[row[:used]]
+        tops = np.max([np.concatenate(e[i : i + char_cnn._KERNEL]) @ net.conv + net.bias for i in range(used - char_cnn._KERNEL + 1)], axis=0)
+        assert abs(np.maximum(tops, 0) @ net.out + net.shift[0] - z) < 1e-9
+    assert np.allclose(net.logits(x), net._forward(x)[3]) and np.allclose(net.logits(x)[3:8], net.logits(x[3:8]))
+    value = text(200)
+    a, b = (char_cnn.window(f"{head} {value} {tail}", 5, 205) for head, tail in [("here", "x" * 40), ("here", "y" * 40)])
+    assert a[:220] == b[:220] and a[-19:] == "x" * 19 and b[-19:] == "y" * 19
+    assert len(secrets.both_ends(text(9_999))) == secrets.SHOWN_CHARS and len(net.logits(char_cnn.coded([text(1_000_000)]))) == 1
+    assert len(net.logits(char_cnn.coded([]))) == 0
+
+
+def test_gradients_through_several_windows():
+    rng = np.random.default_rng(3)
+    net = char_cnn.CharCNN(filters=4, size=2, seed=5)
+    x, y = char_cnn.coded(["".join(rng.choice(list("ab0:Z"), n)) for n in (72, 300, 90, 141)]), np.array([1.0, 0, 1, 0])
+    loss = lambda: float(np.mean(np.log1p(np.exp(-np.where(y == 1, 1, -1) * net._forward(x)[3]))))
+    for p, g in zip((net.emb, net.conv, net.bias, net.out, net.shift), net._gradients(x, y, np.ones(4))):
+        for at in list(np.ndindex(p.shape))[:24]:
+            before, step = p[at], 1e-6
+            p[at] = before + step
+            up = loss()
+            p[at] = before - step
+            down = loss()
+            p[at] = before
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-5
+
+
+def test_other_candidates_keep_off_base_matches():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["token=", "a1b2c3d4e5f60718", "0" * 12, "AKIA", "Q7" * 9, " ", "/", "=", "x.y"]) for _ in range(rng.randint(0, 14)))
+        base = secrets.base_spans(text)
+        want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if re.search(r"[0-9]|[a-z0-9][A-Z]", m[0])]
+        assert secrets.other_candidates(text, base) == [(a, b) for a, b in want if not any(a < e and s < b for s, e, _ in base)]
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     net = char_cnn.CharCNN(filters=3, size=2, seed=4)
