@@ -56,6 +56,21 @@ def merge_upsert_invalidate(spark: SparkSession, sf: str) -> DataFrame:
     return written.select("path", "size", (F.col("id") == F.col("path")).alias("kept_id"), "title", "audio_hash")
 
 
+@registered(with_({**SNAP, "fresh": "select path, (select max(path) from prev) + 1000 + row_number() over (order by path) as id from diff where change = 'new'"},
+"""select coalesce(p.path, c.path) as path, coalesce(c.size, p.size) as size, coalesce(p.path + 1000, f.id) as id,
+ case when d.change = 'unchanged' then 'old' else 'read' end as title, case when d.change = 'unchanged' then md5(cast(p.path as varchar)) end as audio_hash
+from prev p full join cur c on p.path = c.path join diff d on d.path = coalesce(p.path, c.path) left join fresh f on f.path = c.path where d.change <> 'gone'"""))
+def upsert_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same merge on an index in buckets, with numbers as ids."""
+    prev, cur = snapshots(spark, sf)
+    diff = lookups.snapshot_diff(prev, cur)
+    index = prev.withColumns({"id": F.col("path") + 1000, "title": F.lit("old"), "audio_hash": F.md5(F.col("path").cast("string"))})
+    changes = cur.join(diff.where("change in ('new', 'changed')"), "path", "left_semi").withColumn("title", F.lit("read"))
+    folder = new_folder(spark, "index")
+    inventory.create_index(index, folder)
+    return inventory.upsert_index(spark, folder, changes, diff.where("change = 'gone'")).select("path", "size", "id", "title", "audio_hash")
+
+
 @registered(with_(SNAP, "select case change when 'gone' then 'delete' when 'new' then 'move' else 'retag' end as kind, path as from_path, change as detail from diff where change <> 'unchanged'"))
 def append_change_log(spark: SparkSession, sf: str) -> DataFrame:
     diff = lookups.snapshot_diff(*snapshots(spark, sf)).where("change <> 'unchanged'")

@@ -11,6 +11,7 @@ from ..functions.numbers import positive_int
 from ..operators.ordering import default_listing_order
 from ..plans.durable import new_folder
 from ..plans.skew import number_rows
+from ..plans.versions import VersionedTable, key_bucket
 
 
 def scan_file_inventory(spark: SparkSession, root: str, exts: tuple[str, ...] = fv.AUDIO_EXTENSIONS) -> DataFrame:
@@ -62,12 +63,12 @@ def index_catalog_rows(raw: DataFrame, root: str = "") -> DataFrame:
     )
 
 
-def merge_upsert_invalidate(index: DataFrame, changes: DataFrame, gone: DataFrame) -> DataFrame:
+def merge_upsert_invalidate(index: DataFrame, changes: DataFrame, gone: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """The next snapshot: changed rows replace their tags and lose every derived column, unchanged rows
     keep both, new rows get an id, vanished ones go. One full outer join on the path.
 
     ``changes`` holds path plus the columns to set; ``gone`` holds path. Text ids of new rows are random, numbers follow the largest id of the
-    index in order of path.
+    index in order of path. Where ``index`` is a part of the index, ``whole`` is all of it.
     """
     own = [c for c in changes.columns if c != "path"]
     new = changes.select("path", F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in own])
@@ -87,7 +88,7 @@ def merge_upsert_invalidate(index: DataFrame, changes: DataFrame, gone: DataFram
         else:
             cols.append(F.col(c))
     merged = both.select(*cols)
-    return merged if "id" not in index.columns or _text_ids(index) else _with_numbers(merged, index)
+    return merged if "id" not in index.columns or _text_ids(index) else _with_numbers(merged, whole or index)
 
 
 def _text_ids(index: DataFrame) -> bool:
@@ -110,6 +111,40 @@ def write_snapshot(df: DataFrame, folder: str | None = None) -> str:
     return path
 
 
+def bucketed_index(spark: SparkSession, folder: str) -> VersionedTable:
+    """The index kept in buckets of paths below ``folder``."""
+    return VersionedTable(spark, folder, key_bucket("path"))
+
+
+def create_index(index: DataFrame, folder: str) -> DataFrame:
+    """The first version of a bucketed index."""
+    kept = bucketed_index(index.sparkSession, folder)
+    if kept.newest():
+        raise ValueError(f"{folder} holds an index already")
+    kept.advance(0, index, lambda known: index)
+    return _newest(kept, index)
+
+
+def upsert_index(spark: SparkSession, folder: str, changes: DataFrame, gone: DataFrame) -> DataFrame:
+    """``merge_upsert_invalidate`` on a bucketed index: only buckets with a changed or vanished path are read and written again,
+    but for the largest id. Empty changes leave every bucket as it is. The version before stays readable."""
+    kept = bucketed_index(spark, folder)
+    last = kept.newest()[0]
+    whole = kept.table(last)
+    if whole is None:
+        raise ValueError("an index without rows has no columns to merge into; create it from rows")
+    named = changes.select("path").unionByName(gone.select("path"))
+    kept.advance(
+        last + 1, named, lambda known: merge_upsert_invalidate(whole.limit(0) if known is None else known, changes, gone, whole)
+    )
+    return _newest(kept, whole)
+
+
+def _newest(kept: VersionedTable, like: DataFrame) -> DataFrame:
+    table = kept.table(kept.newest()[0])
+    return like.limit(0) if table is None else table
+
+
 def catalog_projection(lib: DataFrame) -> DataFrame:
     """The 22 listing columns in their fixed order; columns the catalog lacks are null."""
     have = set(lib.columns)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import fixed_values as fv
 from ..plans.durable import discard, keep
 from ..plans.skew import SortKey, carry_last, number_rows, spread_join, top_n
+from ..plans.versions import key_bucket, time_bucket
 from .run import SnapshotTable, latest_by, use_rocksdb
 
 # stream processors travel to the executors by value: the package need not be installed there
@@ -72,7 +73,7 @@ def merge_latest(known: DataFrame | None, updates: DataFrame) -> DataFrame:
 
 def follow_latest_state(feed: DataFrame, folder: str | None = None) -> DataFrame:
     """The live table after everything that has arrived. Runs with the same ``folder`` go on from each other."""
-    table = SnapshotTable(feed.sparkSession, "latest", merge_latest, folder)
+    table = SnapshotTable(feed.sparkSession, "latest", merge_latest, folder, key_bucket("key"))
     return live_rows(table.follow(stream_latest_state(feed)))
 
 
@@ -113,9 +114,13 @@ def replace_rows(keys: list[str]):
     return merge
 
 
+TICKS_BUCKET, DAYS_BUCKET = 30 * 86_400, 3_650 * 86_400  # seconds of time whose rows are rewritten together
+
+
 def follow_speed_history(feed: DataFrame, folder: str | None = None, tick: str = "1 second", slide: str | None = None) -> DataFrame:
     """Every tick so far, the open ones too: update mode into a table keyed by tick. State ends with the watermark."""
-    return SnapshotTable(feed.sparkSession, "speed", replace_rows(["tick", "tick_end"]), folder).follow(stream_speed_history(feed, tick, slide))
+    table = SnapshotTable(feed.sparkSession, "speed", replace_rows(["tick", "tick_end"]), folder, time_bucket("tick", TICKS_BUCKET))
+    return table.follow(stream_speed_history(feed, tick, slide))
 
 
 def last_ticks(history: DataFrame, n: int = 120) -> DataFrame:
@@ -145,7 +150,8 @@ def stream_done_per_day(feed: DataFrame) -> DataFrame:
 
 def follow_done_per_day(feed: DataFrame, folder: str | None = None) -> DataFrame:
     """Done rows of every day including today: update mode into a table keyed by day."""
-    return SnapshotTable(feed.sparkSession, "per-day", replace_rows(["day", "day_end"]), folder).follow(stream_done_per_day(feed))
+    table = SnapshotTable(feed.sparkSession, "per-day", replace_rows(["day", "day_end"]), folder, time_bucket("day", DAYS_BUCKET))
+    return table.follow(stream_done_per_day(feed))
 
 
 # ---- windows opened by their first event -------------------------------------------------------
@@ -416,7 +422,8 @@ def stream_first_identity(feed: DataFrame, catalog_keys: DataFrame, lifetime: st
 
 
 def follow_first_identity(feed: DataFrame, catalog_keys: DataFrame, folder: str | None = None) -> DataFrame:
-    return SnapshotTable(feed.sparkSession, "identity", first_identity, folder).follow(stream_first_identity(feed, catalog_keys))
+    table = SnapshotTable(feed.sparkSession, "identity", first_identity, folder, key_bucket("album_key"))
+    return table.follow(stream_first_identity(feed, catalog_keys))
 
 
 def merge_tail(lines: int, keys: int):
@@ -590,7 +597,7 @@ def stream_listing_merge(stream: DataFrame, folder: str | None = None) -> DataFr
     """Listings as they arrive, merged into the item history. A column ``listed_at`` tells the listings of a source
     apart; without one, what arrives of a source at once is one listing."""
     merge = merge_listings if "listed_at" in stream.columns else merge_listing
-    return SnapshotTable(stream.sparkSession, "items", merge, folder).follow(stream, "append")
+    return SnapshotTable(stream.sparkSession, "items", merge, folder, key_bucket("source_id")).follow(stream, "append")
 
 
 def retry_schedule(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:

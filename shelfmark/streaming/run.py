@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import new_folder, remove
+from ..plans.durable import discard, keep, new_folder
+from ..plans.versions import VersionedTable
 
-LOG = "version long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,42 +45,29 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
 class SnapshotTable:
     """A keyed table advanced by micro-batches: version n = merge(version n-1, batch n).
 
-    Everything a restart needs lies in ``folder``: versions in folders named by batch, a log of the finished ones, and the
-    progress of the stream. A version counts once its log row is committed; a replayed batch writes its version again
-    from the same predecessor. Another object on the same folder goes on where the last one stopped. The
-    version before the newest stays for replays, older ones are deleted.
+    Everything a restart needs lies in ``folder``: the versions (``plans.versions``) and the progress of the stream. A
+    replayed batch writes its version again from the same predecessor. Another object on the same folder goes on
+    where the last one stopped. Where ``bucket`` is given, ``merge`` must treat rows of different buckets apart; a batch then reads and
+    rewrites the buckets of its rows, not the table.
     """
 
     def __init__(
-        self, spark: SparkSession, label: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str | None = None
+        self,
+        spark: SparkSession,
+        label: str,
+        merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+        folder: str | None = None,
+        bucket: Column | None = None,
     ):
         self.spark = spark
         self.folder = folder or new_folder(spark, label)
         self.merge = merge
-
-    def versions(self) -> list[int]:
-        """Finished versions, oldest first; the log has one small row per micro-batch."""
-        try:
-            log = self.spark.read.schema(LOG).json(f"{self.folder}/log")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-        return sorted({r.version for r in log.collect()})
-
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/version-{version}"
+        self.versions = VersionedTable(spark, self.folder, bucket)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in self.versions() if v < batch_id]
-        new = self.merge(self.table(before[-1]) if before else None, batch)
-        new.write.mode("overwrite").parquet(self._path(batch_id))
-        self.spark.createDataFrame([(batch_id,)], LOG).coalesce(1).write.mode("append").json(f"{self.folder}/log")
-        for old in before[-2:-1]:
-            remove(self.spark, self._path(old))
-
-    def table(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(self._path(version))
+        rows = keep(batch, "batch")  # the batch is computed once, though its buckets are listed first
+        self.versions.advance(batch_id, rows, lambda known: self.merge(known, rows))
+        discard(rows)
 
     def follow(self, stream: DataFrame, mode: str = "update") -> DataFrame:
         """Run over everything that has arrived since the last run and return the newest version."""
@@ -93,8 +79,9 @@ class SnapshotTable:
             .start()
         )
         query.awaitTermination()
-        done = self.versions()
-        return self.table(done[-1]) if done else self.merge(None, self.spark.createDataFrame([], stream.schema))
+        done = self.versions.newest()
+        table = self.versions.table(done[0]) if done else None
+        return self.merge(None, self.spark.createDataFrame([], stream.schema)) if table is None else table
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
