@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .tables import per_slice, table
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-LEAF_CHARS = 4096
+LEAF_CHARS = 256
 FIRST_WINDOW = 16
 Encode = Callable[[str], list[int]]
 

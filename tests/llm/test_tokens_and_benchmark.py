@@ -156,3 +156,10 @@ def test_items_that_repeat_an_id_or_have_none_are_all_searched(spark, block_word
     got = [tuple(r) for r in gst.contamination(docs, items, block_words=block_words).select("doc_id", "item_id", "coverage", "contaminated").collect()]
     assert got == [(0, 1, 1.0, True), (1, 1, 1.0, True), (2, None, 1.0, True), (3, 2, 1.0, True), (4, None, 0.0, False)]
     assert [r.doc_id for r in gst.clean_documents(docs, items, block_words=block_words).collect()] == [4]
+
+
+def test_texts_of_usual_length_are_reduced():
+    asked = []
+    text = "Some words, 12 numbers and\nlines. " * 40
+    ids = byte_bpe.encode_tree(text, lambda t: asked.append(t) or ENCODE(t))
+    assert ids == ENCODE(text) and max(map(len, asked)) <= byte_bpe.LEAF_CHARS
