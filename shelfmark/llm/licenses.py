@@ -1,14 +1,18 @@
 """License scans by template markup (operator 7).
 
 A template is the wording of a license with two kinds of marked regions: ``[[words]]`` may be left out and
-``{{n}}`` stands for any one to ``n`` words (a name, a year, a version). A template is compiled into an automaton over
+``{{n}}`` stands for any one to ``n`` words (a name, a year, an address). A template is compiled into an automaton over
 words; a text carries the license when the automaton accepts a run of its words, that is when all mandatory words
 stand there exactly and in order. Automata start at the anchor, the longest word of the leading mandatory run,
 so only texts that hold an anchor are walked.
 
+``license_texts`` holds templates of two kinds. Whole texts and file headers give ``text_labels``: the opening of a license
+followed by other conditions is none. One-sentence notices ("licensed under the ...") give ``notice_labels``, unless one of the three
+words before denies it; naming a license without placing a work under it is no notice. ``labels`` joins both with the base labels.
+
 Words are runs of letters a-z (A-Z folded), digits and all characters beyond ASCII. Null text counts as empty:
 zero words, no places, no labels, score 0. Repeated rows are judged each. ``score`` is the best share of a
-template's mandatory words matched in order from its start, 1 where a template is accepted or a base phrase stands.
+template's mandatory words matched in order from its start (a denied notice counts nothing), 1 where a template is accepted or a base phrase stands.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import DENIALS, NOTICES, TEXTS
 from .tables import per_slice, table
 
 # The phrases of the base count.
@@ -29,29 +34,16 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Wording of public licenses and of the notices that refer to them.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
-    ("mit", "licensed under the [[terms of the]] mit [[expat]] license"),
-    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-3", "neither the name of [[the]] {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("apache-2", "licensed under the apache [[software]] license version 2 [[0]]"),
-    ("gpl-2", "gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
-    ("gpl-3", "gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("lgpl", "gnu lesser general public license [[as published by the free software foundation]] [[either]] version {{1}}"),
-    ("agpl", "gnu affero general public license [[as published by the free software foundation]] [[either]] version {{1}}"),
-    ("mpl-2", "subject to the terms of the mozilla public license [[v]] [[version]] 2 0"),
-    ("cc-by", "creative commons attribution [[version]] [[4]] [[3]] [[0]] [[international]] [[unported]] license"),
-    ("cc-by-sa", "creative commons attribution sharealike [[version]] [[4]] [[3]] [[0]] [[international]] [[unported]] license"),
-    ("cc-by-nc", "creative commons attribution noncommercial [[version]] [[4]] [[3]] [[0]] [[international]] [[unported]] license"),
-    ("cc0", "to the extent possible under law {{12}} has waived all copyright and related or neighboring rights to"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
 _TO_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_MARKUP = re.compile(r"\[\[(.*?)\]\]|\{\{(\d+)\}\}|(\S+)")
+_MARKUP = re.compile(r"\[\[(.*?)\]\]|\{\{(\d+)\}\}|((?:(?!\[\[|\{\{).)+)", re.DOTALL)
+_DENIED = frozenset(w.encode() for w in DENIALS)
+DENIAL_REACH = 3
+
+
+def word_list(text: str | bytes | None) -> list[bytes]:
+    return (text.encode() if isinstance(text, str) else text or b"").translate(_TO_WORDS).split()
 
 
 class Automaton(NamedTuple):
@@ -69,37 +61,35 @@ def compile_template(label: str, markup: str) -> Automaton:
     words: list[bytes | None] = []
     skips: list[list[int]] = []
     passed: list[int] = []
-    lead: list[bytes] | None = []
-    must = 0
+    lead: list[bytes] = []  # the mandatory run the template starts with
+    leading, must = True, 0
 
     def state(word: bytes | None) -> None:
         words.append(word)
         skips.append([])
         passed.append(must)
 
-    for optional, gap, word in _MARKUP.findall(markup):
-        if word:
-            state(word.encode())
-            must += 1
-            if lead is not None:
-                lead.append(word.encode())
-            continue
-        lead, _fixed = None, lead
-        if _fixed is not None:
-            leading = _fixed
+    for optional, gap, fixed in _MARKUP.findall(markup):
         first = len(words)
+        if fixed:
+            for word in word_list(fixed):
+                state(word)
+                must += 1
+                if leading:
+                    lead.append(word)
+            continue
+        leading = False
         if optional:
-            for w in optional.split():
-                state(w.encode())
+            for word in word_list(optional):
+                state(word)
             skips[first].append(len(words))
         else:
             for i in range(int(gap)):
                 state(None)
                 if i:  # the first word of a gap is needed, the others may be missing
                     skips[-1].append(first + int(gap))
-    leading = leading if lead is None else lead
-    anchor = max(leading, key=len)
-    return Automaton(label, tuple(words), tuple(map(tuple, skips)), (*passed, must), anchor, leading.index(anchor))
+    anchor = max(lead, key=len)
+    return Automaton(label, tuple(words), tuple(map(tuple, skips)), (*passed, must), anchor, lead.index(anchor))
 
 
 def walk(machine: Automaton, words: Sequence[bytes], at: int) -> tuple[bool, float]:
@@ -137,53 +127,62 @@ def places(words: Sequence[bytes], phrase: Sequence[bytes], anchor: int) -> Iter
             yield at - anchor
 
 
-def license_rows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
+def license_rows(
+    docs: DataFrame, texts: Sequence[tuple[str, str]] = TEXTS, notices: Sequence[tuple[str, str]] = NOTICES
+) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, text_labels, notice_labels of every document."""
+
+    kinds = (
+        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+        "text_labels string, notice_labels string"
+    )
+    names = [kind.split()[0] for kind in kinds.split(", ")]
 
     def work():
-        machines = [compile_template(*t) for t in templates]
+        machines = [(compile_template(*t), False) for t in texts] + [(compile_template(*t), True) for t in notices]
         base = [(p.encode().split(), label) for p, label in BASE_PHRASES.items()]
         base = [(p, label, p.index(max(p, key=len)) if b"nc" not in p else p.index(b"nc")) for p, label in base]
-        anchors = {m.anchor for m in machines} | {p[k] for p, _, k in base}
+        anchors = {m.anchor for m, _ in machines} | {p[k] for p, _, k in base}
 
         def one(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {
-                k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-            }
+            rows = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 flat = (text or b"").translate(_TO_WORDS)
                 words = flat.split()
-                starts, found, named, score = [], set(), set(), 0.0
+                starts, based, score = [], set(), 0.0
+                named: tuple[set, set] = (set(), set())
                 held = {a for a in anchors if a in flat}
                 if held:
                     for phrase, label, k in base:
                         if phrase[k] in held and (here := list(places(words, phrase, k))):
                             starts += here
-                            found.add(label)
+                            based.add(label)
                             score = 1.0
-                    for m in machines:
-                        if m.anchor in held:
-                            for at in places(words, [m.anchor], 0):
-                                if at >= m.anchor_at:
-                                    taken, share = walk(m, words, at - m.anchor_at)
-                                    score = max(score, share)
-                                    if taken:
-                                        named.add(m.label)
-                row = (
-                    len(words), len(starts), min(starts, default=None), max(starts, default=None),
-                    ",".join(sorted(found)), ",".join(sorted(found | named)), score,
+                    for m, notice in machines:
+                        if m.anchor not in held:
+                            continue
+                        for at in places(words, [m.anchor], 0):
+                            at -= m.anchor_at
+                            if at < 0 or notice and not _DENIED.isdisjoint(words[max(0, at - DENIAL_REACH) : at]):
+                                continue
+                            taken, share = walk(m, words, at)
+                            score = max(score, share)
+                            if taken:
+                                named[notice].add(m.label)
+                groups = (based, based | named[0] | named[1], *named)
+                of_base, of_all, of_texts, of_notices = (",".join(sorted(g)) for g in groups)
+                rows.append(
+                    (
+                        len(words), len(starts), min(starts, default=None), max(starts, default=None),
+                        of_base, of_all, score, of_texts, of_notices,
+                    )
                 )
-                for column, value in zip(out.values(), row):
-                    column.append(value)
-            return out | {"doc_id": batch.column("doc_id")}
+            columns = zip(*rows) if rows else [()] * len(names)
+            return {"doc_id": batch.column("doc_id")} | dict(zip(names, map(list, columns)))
 
         return one
 
-    schema = (
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, "
-        "base_labels string, labels string, score double"
-    )
-    return per_slice(docs.select(F.col("doc_id").cast("long"), "text"), work, schema)
+    return per_slice(docs.select(F.col("doc_id").cast("long"), "text"), work, f"doc_id long, {kinds}")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

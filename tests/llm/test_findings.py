@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import char_cnn, language, licenses, secrets, warc
+from shelfmark.llm import char_cnn, language, license_texts, licenses, secrets, warc
 
 GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
@@ -21,9 +21,17 @@ GRANT = (
 )
 
 
-def labels(spark, *texts):
+EXCERPTS = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
+    ("bsd-3", "neither the name of [[the]] {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl-3", "gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+)
+
+
+def labels(spark, *texts, **templates):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    return licenses.license_rows(df).orderBy("doc_id").collect()
+    return licenses.license_rows(df, **templates).orderBy("doc_id").collect()
 
 
 def test_base_phrases_and_places(spark):
@@ -42,11 +50,54 @@ def test_templates_accept_optional_and_replaceable_regions_only(spark):
         bsd.format("the"), bsd.format(" ".join("abcdefghijklmnopqrstuvw")), "licensed under the GNU General Public License, version 3.",
         "released to: this is free and unencumbered software released into the public domain",
     ]
-    got = labels(spark, *texts)
+    got = labels(spark, *texts, texts=EXCERPTS, notices=())
     assert [r.labels for r in got] == ["mit", "mit", "", "bsd-3", "bsd-3", "", "gpl-3", "unlicense"]
     assert got[0].score == 1.0 and 0 < got[2].score < 1 and all(0 <= r.score <= 1 for r in got)
 
 
+def filled(markup, optional, gap):
+    """A text of the markup: optional regions in or out, ``gap`` words in every replaceable one."""
+    text = re.sub(r"\[\[(.*?)\]\]", r" \1 " if optional else " ", markup, flags=re.DOTALL)
+    return re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(["Acme"] * min(gap, int(m[1]))), text)
+
+
+@pytest.mark.parametrize("label,markup", license_texts.TEXTS, ids=[label for label, _ in license_texts.TEXTS])
+def test_whole_license_texts(label, markup):
+    machine = licenses.compile_template(label, markup)
+
+    def accepted(text):
+        words = licenses.word_list(text)
+        return any(licenses.walk(machine, words, at - machine.anchor_at)[0] for at in licenses.places(words, [machine.anchor], 0) if at >= machine.anchor_at)
+
+    for optional in (True, False):
+        for gap in (1, 2, 99):
+            assert accepted("Copyright (c) 2020 Acme\n" + filled(markup, optional, gap) + ". The end.")
+    plain = filled(re.sub(r"\[\[.*?\]\]", " ", markup, flags=re.DOTALL), False, 1).split(" ")
+    changed = 0
+    for i in range(0, len(plain), 9):
+        if plain[i] and "Acme" not in plain[i] and licenses.word_list(plain[i]):
+            assert not accepted(" ".join([*plain[:i], "elsewise", *plain[i + 1 :]])), plain[i]
+            changed += 1
+    assert changed >= 2
+
+
+def test_openings_mentions_and_denials_carry_no_license(spark):
+    bsd2, bsd3 = (dict(license_texts.TEXTS)[k] for k in ("bsd-2", "bsd-3"))
+    opening = bsd2[: bsd2.index("[[1]]")]
+    texts = [
+        "It is not licensed under the MIT license.", "We moved off the GNU General Public License version 2.",
+        opening + " 1. You send us a postcard.", GRANT, "This work is licensed under the GNU General Public License, version 3.",
+        "It isn't licensed under the ISC license.", filled(bsd2, True, 2), filled(bsd3, True, 2), None, "",
+        "licensed under the ISC license, not licensed under the Apache License, Version 3",
+    ]
+    got = [(r.base_labels, r.text_labels, r.notice_labels, r.labels) for r in labels(spark, *texts)]
+    assert got == [
+        ("mit", "", "", "mit"), ("", "", "", ""), ("", "", "", ""), ("", "", "", ""), ("", "", "gpl-3", "gpl-3"), ("", "", "", ""),
+        ("", "bsd-2", "", "bsd-2"), ("", "bsd-3", "", "bsd-3"), ("", "", "", ""), ("", "", "", ""), ("", "", "isc", "isc"),
+    ]
+    assert labels(spark) == []
+
+
 @pytest.mark.parametrize("markup", ["a b [[c d]] e", "a {{3}} b", "a [[b]] [[c]] d", "a [[b]] {{2}} c"])
 def test_automata_accept_the_language_of_their_markup(markup):
     machine = licenses.compile_template("x", markup)
