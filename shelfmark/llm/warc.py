@@ -5,10 +5,11 @@ smallest page_id is stored as response and the others as revisits of it; shorter
 Archives are written by Spark's own writer (one gzip member stream per file, any file system Spark reaches, task
 commits survive lost executors) and read back record by record along their Content-Length.
 
-The index is built by an external merge. Every archive is one capture run, sorted by URL key, timestamp and page.
-Runs are cut at common range borders, so that a task holds the slices of all runs between two borders, and
-are merged there by a loser tree; the tasks in order give the globally ordered capture history. A URL with very many
-captures is cut by timestamp and page like any other range.
+The index is built by an external merge. Every archive is one capture run: its records are sorted by URL key, timestamp and page
+before it is written. The captures of all runs, without payloads, are written to a table once. Runs are cut at common range borders, so
+that a task holds the slices of all runs between two borders, and are merged there by a loser tree; the tasks in order give the
+globally ordered capture history. The number of ranges follows the number of captures, so a slice has about ``RANGE_ROWS`` captures
+at any size. A URL with very many captures is cut by timestamp and page like any other range.
 
 Null html is an empty payload, a null url an empty one. Null page ids take no part in the choice of the response unless no
 other page has the payload. Repeated page ids: each row gets a record; rows with the smallest page_id of their payload are
@@ -29,6 +30,7 @@ from shelfmark.plans.durable import keep, new_folder
 from .tables import table
 
 MIN_REVISIT_BYTES = 100
+RANGE_ROWS = 100_000
 CAPTURED = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
 _ID = "urn:page:"
@@ -61,18 +63,22 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     )
 
 
+def _uri() -> Column:
+    """The url as a header can hold it."""
+    return F.regexp_replace("url", "[\r\n]", " ")
+
+
 def record_text(captured: Column) -> Column:
     """One WARC record of a row of ``with_roles`` but for its last newline, which the writer sets; a revisit carries its digest and length but no payload."""
     revisit = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    uri = F.regexp_replace("url", "[\r\n]", " ")
     return F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit(f"<{_ID}"), page, F.lit(">"))),
-        line("WARC-Target-URI", uri),
+        line("WARC-Target-URI", _uri()),
         line("WARC-Date", captured),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(
@@ -89,10 +95,11 @@ def record_text(captured: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, captured: Column | None = None) -> str:
-    """Writes the archives and returns their folder."""
+    """Writes the archives, each a run of captures in order, and returns their folder."""
     folder = new_folder(pages.sparkSession, "warc")
     when = F.lit(CAPTURED) if captured is None else captured
-    with_roles(pages).select(record_text(when).alias("value")).write.option("lineSep", "\n").option(
+    runs = with_roles(pages).sortWithinPartitions(url_key(_uri()), when, "page_id")
+    runs.select(record_text(when).alias("value")).write.option("lineSep", "\n").option(
         "compression", "gzip"
     ).text(folder)
     return folder
@@ -238,23 +245,25 @@ class LoserTree:
 def capture_index(records: DataFrame) -> DataFrame:
     """url_key, captured, page_id, record_type, payload_digest, payload_bytes, refers_to, archive, position in global order."""
     columns = ["url_key", "captured", "page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "archive", "position"]
-    captures = records.withColumn("url_key", url_key(F.col("url"))).select(*columns)
+    # archives are read once: the borders of the ranges, their number and the merge come from this table
+    captures = keep(records.withColumn("url_key", url_key(F.col("url"))).select(*columns), "captures")
+    usual = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(usual, -(-captures.count() // RANGE_ROWS))
     order = ("url_key", "captured", "page_id", "archive", "position")
     # the slices of all runs between two borders; inside a task each run is in order
-    cut = captures.repartitionByRange(*order).sortWithinPartitions("archive", *order)
+    cut = captures.repartitionByRange(ranges, *order).sortWithinPartitions("archive", *order)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         whole = pa.Table.from_batches(held)
-        rows = whole.to_pylist()
-        borders = [0, *(i for i in range(1, len(rows)) if rows[i]["archive"] != rows[i - 1]["archive"]), len(rows)]
+        urls, times, pages, files, at = (whole.column(c).to_pylist() for c in order)
+        borders = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
         runs = [iter(range(a, b)) for a, b in zip(borders, borders[1:])]
 
         def place(i: int):
-            r = rows[i]
-            return r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"] or 0, r["position"]
+            return urls[i], times[i], pages[i] is not None, pages[i] or 0, files[i], at[i]
 
         merged = pa.array(list(LoserTree(runs, place)), pa.int64())
         yield from whole.take(merged).combine_chunks().to_batches()

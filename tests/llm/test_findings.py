@@ -347,6 +347,21 @@ def test_capture_index_is_in_global_order(spark):
     assert {r.url_key for r in rows} >= {"com,example,b)/x?q=1", "org,example,a)", "org,example,a)/", ")"}
 
 
+def test_archives_are_sorted_runs_and_ranges_are_bounded(spark, monkeypatch):
+    rows = [(k, f"https://www.example.org/{k * 7919 % 50}", "x" * k) for k in range(300)] + [(k, "http://hot.example.com/", "y") for k in range(300, 900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    records = warc.read_archives(spark, warc.write_archives(df))
+    runs = {}
+    for r in records.withColumn("key", warc.url_key(F.col("url"))).orderBy("archive", "position").collect():
+        runs.setdefault(r.archive, []).append((r.key, r.captured, r.page_id))
+    assert len(runs) > 1 and all(run == sorted(run) for run in runs.values())
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    merged = warc.capture_index(records)
+    sizes = [r["count"] for r in merged.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 3 * 50 and sum(sizes) == 900
+    assert [(r.url_key, r.captured, r.page_id) for r in merged.collect()] == sorted(x for run in runs.values() for x in run)
+
+
 @pytest.mark.parametrize("k", range(8))
 def test_loser_tree_merges_runs(k):
     rng = random.Random(k)
