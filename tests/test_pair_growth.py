@@ -25,3 +25,42 @@ def test_duration_pairs_meet_in_blocks_of_ranks(spark, monkeypatch):
     assert got == sorted((a, b, abs(x - y)) for a, x in rows for b, y in rows if a < b and x and y and abs(x - y) <= 9)
     plan = plan_of(spark, lambda: lookups.duration_window_pairs(df, 9))
     assert "hashpartitioning(block" in plan and "hashpartitioning(rank" not in plan  # no exchange of a row per pair
+
+
+def test_alignment_is_the_same_in_one_cell_and_in_many(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [rng.getrandbits(32) for _ in range(300)]
+    prints = {i: base[(at := rng.randint(0, 60)) : at + rng.randint(10, 200)] for i in range(12)}
+    prints |= {20 + i: [rng.choice(base[:9]) for _ in range(120)] for i in range(4)} | {40: []}
+    pairs = [(a, b) for a in prints for b in prints if a < b] + [(1, 0), (1, 99), (None, 1), (0, 1)]
+    df = spark.createDataFrame(pairs, "a int, b int")
+    shown = spark.createDataFrame([(i, f, len(f)) for i, f in prints.items()], "id int, frames array<bigint>, length int")
+
+    def rate(a, b, off):
+        lo, hi = max(0, -off), min(len(a), len(b) - off)
+        if hi - lo < 16 or hi - lo < min(len(a), len(b)) / 2:
+            return 1.0
+        return sum((a[i] ^ b[i + off]).bit_count() for i in range(lo, hi)) / ((hi - lo) * 32.0)
+
+    def brute(a, b):
+        where = lambda f: {k: [i for i, v in enumerate(f) if v >> 18 == k] for k in {v >> 18 for v in f}}
+        x, y, votes = where(a), where(b), {}
+        for k in x.keys() & y.keys():
+            if len(x[k]) * len(y[k]) <= 64:
+                for p in x[k]:
+                    for q in y[k]:
+                        if abs(q - p) <= 200:
+                            votes[q - p] = votes.get(q - p, 0) + 1
+        off = min(votes, key=lambda o: (-votes[o], o), default=0)
+        err = rate(a, b, off)
+        return off, 1.0 - (err if err > 0.4 else min(err, rate(a, b, off - 1), rate(a, b, off + 1)))
+
+    want = sorted((a, b, *brute(prints[a], prints[b])) for a, b in pairs if a in prints and b in prints)
+    run = lambda: sorted((r.a, r.b, r.offset, r.similarity) for r in duplicates.acoustic_similarity(df, shown, None).collect())
+    assert run() == want
+    monkeypatch.setattr(duplicates, "FRAMES_PER_GROUP", 500)
+    assert run() == want
+    monkeypatch.setattr(duplicates, "PRINTS_PER_GROUP", 4)
+    assert run() == want
+    plan = plan_of(spark, lambda: duplicates.acoustic_similarity(df, shown, None))
+    assert "FlatMapCoGroups" in plan and "Join" not in plan  # neither keys nor frames travel with a pair
