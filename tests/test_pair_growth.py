@@ -64,3 +64,17 @@ def test_alignment_is_the_same_in_one_cell_and_in_many(spark, monkeypatch):
     assert run() == want
     plan = plan_of(spark, lambda: duplicates.acoustic_similarity(df, shown, None))
     assert "FlatMapCoGroups" in plan and "Join" not in plan  # neither keys nor frames travel with a pair
+
+
+def test_word_set_pairs_are_judged_by_signature_before_they_travel(spark):
+    rng = random.Random(3)
+    sets = [sorted(rng.sample([f"w{i}" for i in range(60)], 20)) for _ in range(30)]
+    sets += [sorted({*s[:18], "x", f"y{i}"}) for i, s in enumerate(sets[:10])]
+    df = spark.createDataFrame(list(enumerate(sets)), "id int, words array<string>")
+    dice = lambda a, b: 2 * len({*a} & {*b}) / (len(a) + len(b))
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and dice(a, b) >= 0.8}
+    got = [(r.a, r.b) for r in lookups.token_similarity_join(df, 0.8).collect()]
+    assert {*got} == want and len(got) == len(want) >= 10
+    plan = plan_of(spark, lambda: lookups.token_similarity_join(df, 0.8))
+    joins = [line for line in plan.splitlines() if "Join" in line and "bit_count" in line]
+    assert any("[word" in line for line in joins)  # the join on the prefix drops them, before pairs are made distinct
