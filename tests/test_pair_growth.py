@@ -78,3 +78,19 @@ def test_word_set_pairs_are_judged_by_signature_before_they_travel(spark):
     plan = plan_of(spark, lambda: lookups.token_similarity_join(df, 0.8))
     joins = [line for line in plan.splitlines() if "Join" in line and "bit_count" in line]
     assert any("[word" in line for line in joins)  # the join on the prefix drops them, before pairs are made distinct
+
+
+@pytest.mark.parametrize("as_rows", [True, False])
+def test_dismissals_of_any_length_need_no_text(spark, as_rows):
+    members = spark.createDataFrame([(i, i % 3) for i in range(30)], "id bigint, component bigint")
+    groups = spark.createDataFrame([(c, 10) for c in range(3)], "component bigint, files bigint")
+    lists = {"x": [*range(0, 30, 3)], "y": [*range(1, 28, 3)], "z": [*range(0, 30, 3), 5]}  # whole; one missing; one too many
+    if as_rows:
+        gone = spark.createDataFrame([(k, i) for k, ids in lists.items() for i in ids + ids[:1]], "group_key string, id bigint")
+    else:
+        gone = spark.createDataFrame([(",".join(map(str, ids)),) for ids in lists.values()], "group_key string")
+    out = lookups.exclude_dismissed(groups, members, gone)
+    assert sorted(r.component for r in out.collect()) == [1, 2]
+    if not as_rows:
+        plan = plan_of(spark, lambda: lookups.exclude_dismissed(groups, members, gone))
+        assert "sha2(" in plan  # the whole list does not travel with each of its ids
