@@ -94,3 +94,18 @@ def test_dismissals_of_any_length_need_no_text(spark, as_rows):
     if not as_rows:
         plan = plan_of(spark, lambda: lookups.exclude_dismissed(groups, members, gone))
         assert "sha2(" in plan  # the whole list does not travel with each of its ids
+
+
+def test_search_over_many_cells_shuffles_no_found_rows(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(lookups, "CELL_QUERIES", 10)
+    rng = random.Random(4)
+    docs = [(i, rng.sample("abcdefghij", rng.randint(0, 8))) for i in range(60)] + [(None, ["a", "b"]), (7000, None), (7001, ["a", None])]
+    asked = [(i, rng.sample("abcdefghij", rng.randint(0, 4))) for i in range(40)] + [(900, ["a", "?"]), (901, ["a", None]), (None, ["a"])]
+    d, q = spark.createDataFrame(docs, "doc_id int, words array<string>"), spark.createDataFrame(asked, "query_id int, words array<string>")
+    got = sorted((r.query_id, r.doc_id) for r in lookups.all_words_search(q, d).collect())
+    assert got == sorted((i, j) for i, w in asked for j, x in docs if i is not None and j is not None and w and None not in w and {*w} <= {*(x or [])})
+    plan = plan_of(spark, lambda: lookups.all_words_search(q, d))
+    above = plan[: plan.index("FlatMapCoGroups")]
+    assert "Exchange" not in above and "Join" not in above
+    assert lookups.all_words_search(q, d.limit(0)).count() == lookups.all_words_search(q.limit(0), d).count() == 0
