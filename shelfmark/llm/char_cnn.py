@@ -85,6 +85,23 @@ class CharCNN:
         self.shift = np.zeros(1)
         self.scale, self.offset = 1.0, 0.0  # calibration
         self.rng = rng
+        self.first, self.second = ([np.zeros_like(p) for p in self.params()] for _ in range(2))  # moments of the steps
+        self.step = 0
+
+    def params(self) -> list[np.ndarray]:
+        return [self.emb, self.conv, self.bias, self.out, self.shift]
+
+    def state(self) -> np.ndarray:
+        """Parameters and moments as one vector; that of several networks may be averaged."""
+        return np.concatenate([p.ravel() for p in (*self.params(), *self.first, *self.second)])
+
+    def restore(self, state: np.ndarray, step: int) -> CharCNN:
+        at = 0
+        for p in (*self.params(), *self.first, *self.second):
+            p[...] = state[at : at + p.size].reshape(p.shape)
+            at += p.size
+        self.step = step
+        return self
 
     def _convolve(self, x: np.ndarray):
         """Columns under the kernel, place and value of the maximum of every filter in every window."""
@@ -118,18 +135,15 @@ class CharCNN:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.offset, -30, 30)))
 
     def fit(self, x: Shown, y: np.ndarray, weight: np.ndarray, rounds: int = 12, batch: int = 128, rate: float = 0.01) -> CharCNN:
-        params = [self.emb, self.conv, self.bias, self.out, self.shift]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step = 0
         for _ in range(rounds):
             order = self.rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 rows = order[i : i + batch]
-                step += 1
-                for p, g, m, v in zip(params, self._gradients(x[rows], y[rows], weight[rows]), first, second):
+                self.step += 1
+                for p, g, m, v in zip(self.params(), self._gradients(x[rows], y[rows], weight[rows]), self.first, self.second):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    p -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
         return self
 
     def _gradients(self, x, y, weight):
@@ -159,8 +173,6 @@ class CharCNN:
         return self
 
 
-def recall_threshold(probability: np.ndarray, y: np.ndarray, recall: float) -> float:
-    """The largest threshold at which at least ``recall`` of the positives are found."""
-    found = np.sort(probability[y == 1])[::-1]
-    need = int(np.ceil(recall * len(found)))
-    return float(found[need - 1]) if need else float("inf")
+def recall_place(positives: int, recall: float) -> int:
+    """Which of the positives, from the highest probability on, sets the largest threshold at which at least ``recall`` of them are found; 0 without any."""
+    return int(np.ceil(recall * positives))
