@@ -43,7 +43,7 @@ MIN_COUNT = 30
 INSIDE_PERCENT = 80
 SCALE = 2_000_000
 TOP = 2000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 RANGE_WORDS = 1_000_000
 MAX_RANGES = 1 << 18
 SAMPLE_DOCS = (4096, 65536)  # a thousandth of the documents, within these
@@ -90,7 +90,7 @@ def suffixes(cut: Cut, langs: list[str]) -> Suffixes:
     high, low = high[order], low[order]
     new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]) if n else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    return Suffixes([k[order[at]] for k in keys], np.diff(np.append(at, n)), cut.words, names)
+    return Suffixes([k[order[at]].astype(np.int32) for k in keys], np.diff(np.append(at, n)), cut.words, names)
 
 
 def _slice_suffixes(batch: pa.RecordBatch):
@@ -133,7 +133,7 @@ def _gathered(blocks: pa.Table) -> Suffixes:
     packed = blocks.column("words").combine_chunks().cast(pa.large_binary())
     data = np.frombuffer(b" ".join(packed.to_pylist()), np.uint8)
     every = cut_words(data, np.array([0, len(data)], np.int64), gaps)
-    number = np.concatenate([[0], every.codes + 1])
+    number = np.concatenate([[0], every.codes + 1])  # below 2**31, as a range is a small part of the corpus
     sizes = blocks.column("n_words").to_numpy()
     before = np.concatenate([[0], np.cumsum(sizes)])
     langs = blocks.column("lang").combine_chunks().dictionary_encode()
@@ -143,9 +143,9 @@ def _gathered(blocks: pa.Table) -> Suffixes:
     for i, (width, codes, sums) in enumerate(zip(*columns)):
         local = np.frombuffer(codes, f"u{width}").astype(np.int64).reshape(MAX_WORDS, -1)
         n = local.shape[1]
-        keys[0].append(np.full(n, langs.indices[i].as_py(), np.int64))
+        keys[0].append(np.full(n, langs.indices[i].as_py(), np.int32))
         for k in range(MAX_WORDS):
-            keys[k + 1].append(np.where(local[k] > 0, number[np.where(local[k] > 0, local[k] + before[i], 0)], 0))
+            keys[k + 1].append(np.where(local[k] > 0, number[np.where(local[k] > 0, local[k] + before[i], 0)], 0).astype(np.int32))
         counts.append(np.frombuffer(sums, f"u{len(sums) // n}").astype(np.int64))
     return Suffixes([np.concatenate(k) for k in keys], np.concatenate(counts), every.words, langs.dictionary.to_pylist())
 
