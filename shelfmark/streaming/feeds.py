@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -484,27 +485,34 @@ def merge_listing(existing: DataFrame | None, arrived: DataFrame) -> DataFrame:
     ).select(cols)
 
 
-def _bases(spans: pd.DataFrame) -> pd.DataFrame:
+def _bases(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Highest position of a source just before each listing that numbers new items.
 
-    ``spans`` of one source: positions ``top`` held from listing ``since`` until listing ``until`` changes them (null: to the end);
-    where ``gives``, ``top`` counts from the base of listing ``since`` itself. One row per pair of listings, never per item.
+    Spans (source_id, since, until, top, gives) come source by source, in order of ``since``: positions ``top`` held from listing ``since``
+    until listing ``until`` changes them (the largest number: to the end); where ``gives``, ``top`` counts from the base of listing ``since`` itself.
+    One row per pair of listings, never per item; one source at a time is held.
     """
-    held = spans.sort_values("since", kind="stable")
-    until = held["until"].fillna(np.inf).to_numpy()
-    since, top, gives = (held[c].to_numpy() for c in ("since", "top", "gives"))
-    source = spans["source_id"].iloc[0]
-    line: list[tuple[float, float]] = []  # negative position, until
-    out: dict[int, int] = {}
-    at = 0
-    for listing in np.unique(since[gives.astype(bool)]):
-        while at < len(since) and since[at] < listing:
-            heapq.heappush(line, (-(top[at] + (out[since[at]] if gives[at] else 0)), until[at]))
-            at += 1
-        while line and line[0][1] < listing:
-            heapq.heappop(line)
-        out[listing] = int(-line[0][0]) if line else 0
-    return pd.DataFrame({"source_id": source, "_round": list(out), "_base": list(out.values())})
+    spans = (row for part in parts for row in zip(*(part[c].tolist() for c in ("source_id", "since", "until", "top", "gives"))))
+    out: list[tuple] = []
+    for source, rows in itertools.groupby(spans, key=lambda row: row[0]):
+        held = list(rows)
+        line: list[tuple[int, int]] = []  # negative position, until
+        bases: dict[int, int] = {}
+        at = 0
+        for listing in sorted({since for _, since, _, _, gives in held if gives}):
+            while at < len(held) and held[at][1] < listing:
+                _, since, until, top, gives = held[at]
+                heapq.heappush(line, (-(top + (bases[since] if gives else 0)), until))
+                at += 1
+            while line and line[0][1] < listing:
+                heapq.heappop(line)
+            bases[listing] = -line[0][0] if line else 0
+        out += [(source, listing, base) for listing, base in bases.items()]
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=["source_id", "_round", "_base"])
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=["source_id", "_round", "_base"])
 
 
 def merge_listings(existing: DataFrame | None, arrived: DataFrame, when: str = "listed_at") -> DataFrame:
@@ -544,7 +552,10 @@ def merge_listings(existing: DataFrame | None, arrived: DataFrame, when: str = "
     held = spans(facts.where("not partial and position is not null"), "position", False)
     held = held.join(given.select("source_id").distinct(), "source_id", "left_semi")
     source_type = arrived.schema["source_id"].dataType.simpleString()
-    bases = held.unionByName(given).groupBy("source_id").applyInPandas(_bases, f"source_id {source_type}, _round long, _base long")
+    # one task reads many sources; those without an id meet no item below
+    lined = held.unionByName(given).where("source_id is not null").withColumn("until", F.coalesce("until", F.lit(sys.maxsize)))
+    lined = lined.select("source_id", "since", "until", "top", "gives").repartition("source_id").sortWithinPartitions("source_id", "since")
+    bases = lined.mapInPandas(_bases, f"source_id {source_type}, _round long, _base long")
     at = lambda flag: F.when(flag, F.col("_round"))
     folded = facts.groupBy(*item).agg(
         F.max_by("title", "_round").alias("title"), *[F.max_by(c, at(F.col(c).isNotNull())).alias(c) for c in ("album", "duration_ms")],
