@@ -28,6 +28,28 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("hot", [0, 900])
+def test_keyed_rows_are_numbered_in_one_shuffle(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "COUNTED_OF_HOT", 50)
+    rng = random.Random(6)
+    keys = [None, None, *range(40), *range(20), *["hot"] * hot]
+    rows = [(None if k is None else str(k), rng.random(), i) for i, k in enumerate(keys)]
+    spark.conf.set(skew.ROWS_PER_TASK, "100")
+    try:
+        out = skew.number_rows(spark.createDataFrame(rows, "k string, v double, id int"), ["k"], [skew.SortKey(F.col("v"), "desc_nulls_last"), "id"], "at", "n")
+        plan = executed(out)
+        got = {r.id: (r.at, r.n) for r in out.collect()}
+    finally:
+        spark.conf.unset(skew.ROWS_PER_TASK)
+    groups = {}
+    for k, v, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        groups.setdefault(k, []).append(i)
+    assert got == {i: (at, len(ids)) for ids in groups.values() for at, i in enumerate(ids, 1)}
+    assert out.columns == ["k", "v", "id", "n", "at"] and dict(out.dtypes)["at"] == dict(out.dtypes)["n"] == "bigint"
+    if not hot:
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_bases_of_many_sources_come_from_one_task(spark):
     end = 2**63 - 1
     spans = [("a", 0, 2, 5, False), ("a", 1, end, 3, True), ("a", 3, end, 1, True), ("b", 0, end, 7, False), ("c", 2, end, 1, True)]
