@@ -63,3 +63,33 @@ def test_bases_of_many_sources_come_from_one_task(spark):
     )
     plan = executed(feeds.merge_listings(None, arrived))
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_releases_are_made_once_for_both_sides(spark, tmp_path):
+    day = datetime.datetime(2020, 1, 1)
+    orders = [(i, i, "O", 1.0, day, "1-URGENT") for i in range(6)]
+    lines = [(i % 6, i % 3, 1, i // 6, 1.0, 1.0, 0.05, 0.0, "N", "O", day) for i in range(12)]
+    parts = [(i, f"part {i}", "Brand#1", "SMALL", 10, 1.0) for i in range(3)]
+    schemas = {
+        "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+        "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+        "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    }
+    for name, rows in (("orders", orders), ("lineitem", lines), ("part", parts)):
+        spark.createDataFrame(rows, schemas[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    _, cand, rel, _ = tagging.found_sides(spark, str(tmp_path))
+    for df in (cand, rel, tagging.pairs(spark, str(tmp_path))):
+        assert "lineitem.parquet" not in executed(df) and "row_number" not in executed(df)
+    enriched = tagging.enriched(spark, str(tmp_path))
+    assert enriched.count() == 6
+
+
+def test_texts_of_a_search_are_compared_before_releases_are_joined(spark):
+    cand = spark.createDataFrame([(1, 10, "Song", "Band", "Band", 1000, 0.9, True), (1, 11, "Other", "Band", "Band", 1000, 0.9, True)],
+        "id int, recording_id int, title string, artist string, artist_id string, duration_ms int, score double, album_only boolean")
+    query = enrichment._queries(spark.createDataFrame([(1, "Song", "Band", None, 1000)], "id int, title string, artist string, album string, duration_ms int"), F.col("album"))
+    studio = spark.createDataFrame([(10, True), (11, True)], "recording_id int, has_studio boolean")
+    asked = enrichment._asked(cand, query, studio, enrichment._recording_fits())
+    assert [(r.q, r.recording_id, r.has_studio) for r in asked.collect()] == [(1, 10, True)]
+    assert "regexp_replace" not in plan_of(asked).lower()
