@@ -57,6 +57,12 @@ def test_titles_are_cleaned_once_per_pair(spark):
     assert plan_of(linkage.score_candidates(df)).count("visualizer|") == 1
 
 
+def test_rows_equal_in_their_order_keep_the_order_they_came_in(spark):
+    rows = spark.range(0, 4000, 1, 1).select(F.col("id"), F.lit(None).cast("string").alias("k"), F.lit(1).alias("v"))
+    out = skew.number_rows(rows, ["k"], ["v"])
+    assert out.columns == ["id", "k", "v", "position"] and out.where("position <> id + 1").count() == 0
+
+
 @pytest.mark.parametrize("hot", [0, 900])
 def test_keyed_rows_are_numbered_in_one_shuffle(spark, monkeypatch, hot):
     monkeypatch.setattr(skew, "COUNTED_OF_HOT", 50)
