@@ -219,17 +219,18 @@ JUDGE_CTES = {**ctes("catalog", "hits"), "pairs": MATCH_PAIRS, "judged": JUDGED}
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    view(spark, sf, "catalog").createOrReplaceTempView("catalog")
-    view(spark, sf, "hits").createOrReplaceTempView("hits")
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
-    pairs = spark.sql(MATCH_PAIRS).withColumns(
-        {
-            "artists": F.lit(None).cast("array<string>"),
-            "prefer_user": F.lit(None).cast("string"),
-            "prefer_dir": F.lit(None).cast("string"),
-            "attribs": F.map_filter(F.create_map(F.lit(1), "seconds"), lambda k, v: v.isNotNull()),
-        }
+    """``MATCH_PAIRS`` judged: texts are read once per catalog row and once per hit, then both join the pairs of their ids."""
+    catalog = view(spark, sf, "catalog")
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    found = catalog.select(F.col("id").alias("target_id"), F.col("id").alias("hit_id")).union(lines).distinct()
+    targets = catalog.where("title <> ''").select(
+        F.col("id").alias("target_id"), "title", "artist", F.lit(None).cast("array<string>").alias("artists"), "album",
+        F.col("duration_ms").alias("target_ms"), "track_number",
+        F.lit(None).cast("string").alias("prefer_user"), F.lit(None).cast("string").alias("prefer_dir"),
     )
+    hits = view(spark, sf, "hits").withColumn("attribs", F.map_filter(F.create_map(F.lit(1), "seconds"), lambda k, v: v.isNotNull()))
+    # the last join deals rows by target, as all that follows it does
+    pairs = found.join(linkage.lossless_hits(hits), "hit_id").join(linkage.lossless_targets(targets), "target_id")
     return linkage.match_lossless(pairs, free_only=True)
 
 

@@ -11,7 +11,7 @@ from shelfmark.functions import fixed_values as fv
 from shelfmark.functions import text as T
 from shelfmark.operators import enrichment, linkage
 from shelfmark.plans import skew
-from shelfmark.registry import tagging
+from shelfmark.registry import linking, tagging, views
 from shelfmark.streaming import feeds
 
 TEXTS = (
@@ -128,3 +128,37 @@ def test_texts_of_a_search_are_compared_before_releases_are_joined(spark):
     asked = enrichment._asked(cand, query, studio, enrichment._recording_fits())
     assert [(r.q, r.recording_id, r.has_studio) for r in asked.collect()] == [(1, 10, True)]
     assert "regexp_replace" not in plan_of(asked).lower()
+
+
+def test_texts_of_lossless_matching_are_read_before_pairs(spark, tmp_path):
+    texts = ["alpha beta gamma", "alpha beta live", "delta alpha beta", "", None, "x", "beta gamma delta alpha"]
+    docs = [(i, texts[i % 7], "en", f"src{i % 3}", 300 * i) for i in range(60)]
+    lines = [(i % 25, i % 37) for i in range(200)] + [(None, 3), (3, None), (2, 900)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    judged = linking.judged(spark, str(tmp_path))
+    above = plan_of(judged).split("Join ")[0].lower()
+    assert "row_number" in above and not any(x in above for x in ("regexp", "split(", "rlike"))
+    # as with pairs made by the SQL, whose words are read for each pair
+    spark.read.parquet(f"{tmp_path}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    for name in ("catalog", "hits"):
+        views.view(spark, str(tmp_path), name).createOrReplaceTempView(name)
+    pairs = spark.sql(linking.MATCH_PAIRS).withColumns(
+        {
+            "artists": F.lit(None).cast("array<string>"), "prefer_user": F.lit(None).cast("string"), "prefer_dir": F.lit(None).cast("string"),
+            "attribs": F.map_filter(F.create_map(F.lit(1), "seconds"), lambda k, v: v.isNotNull()),
+        }
+    )
+    plain = linkage.match_lossless(pairs, free_only=True)
+    assert sorted(judged.columns) == sorted(plain.columns)
+    rows = lambda df: sorted(map(repr, df.drop("attribs").select(sorted(set(plain.columns) - {"attribs"})).collect()))
+    got = rows(judged)
+    assert got == rows(plain) and len(got) > 20
+
+
+def test_markers_of_two_texts_are_those_one_has_alone(spark):
+    bits = ["live", "alive", "sped up", "1 hour", "hour loop", "song", "cover", "", "demo demo", "bass boosted remix"]
+    df = spark.createDataFrame([(f"{a} {b}".strip(), c) for a in bits for b in bits for c in ("", "live", "song cover", "1 hour loop")], "c string, t string")
+    alone = F.size(F.array_except(T.markers(F.col("c")), T.markers(F.col("t"))))
+    assert df.where(alone != T.new_markers(F.col("c"), F.col("t"))).collect() == []
