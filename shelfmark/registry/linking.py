@@ -68,13 +68,11 @@ def all_words_search(spark: SparkSession, sf: str) -> DataFrame:
 TOKEN_DICE = 0.8
 
 
-@registered(with_({"w": f"select doc_id as id, list_sort({words(norm('text'))}) as w from documents", "s": "select id, w, len(w) as n, array_to_string(w, ' ') as k from w where len(w) > 0",
-  "h": "select k, min(id) as head, any_value(w) as w from s group by 1"}, f"""
-select h.head as a, s.id as b, 1e0 as dice from s join h using (k) where s.id > h.head
-union all select least(x.head, y.head), greatest(x.head, y.head), {dice('x.w', 'y.w')} from h x join h y on x.head < y.head where {dice('x.w', 'y.w')} >= {TOKEN_DICE}e0"""))
+@registered(with_({"w": f"select doc_id as id, {words(norm('text'))} as w from documents", "s": "select id, w from w where len(w) > 0"}, f"""
+select x.id as a, y.id as b, {dice('x.w', 'y.w')} as dice from s x join s y on x.id < y.id where {dice('x.w', 'y.w')} >= {TOKEN_DICE}e0"""))
 def token_similarity_join(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("words"))
-    return lookups.token_similarity_join(texts, TOKEN_DICE)
+    return lookups.token_similarity_join(texts, TOKEN_DICE, every_pair=True)
 
 
 PLAN_TARGETS = """select id as target_id, concat(title, case id % 4 when 0 then ' (feat. Guest) [Official Video]' when 1 then '' else ' ft. Other' end) as title,
