@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COUNTERS = 1 << 18  # of words by hash; words that share one are taken to be as common as all of them
-FOLDED_LONGS = 8  # of the signature that travels with every word of a prefix
+FOLDED_LONGS = 12  # of the signature that travels with every word of a prefix
 SIGNATURE_BYTES = 256  # of the signature that meets each candidate once
 JUDGED = 1 << 16  # pairs whose signatures are compared at a time
 SEPARATOR = "\u0001"
@@ -71,6 +71,8 @@ def judge_cell(asked: pa.Table, shown: pa.Table, threshold: float) -> pa.Table:
     """The pairs (a, b) that may reach the threshold, with the groups (ga, gb) of both: words that only one side has set the bits that differ."""
     ids = shown.column("id").combine_chunks()
     a, b = _met(asked, ids)
+    pairs = np.unique(a.astype(np.int64) * len(ids) + b)
+    a, b = pairs // len(ids), pairs % len(ids)
     bits = np.frombuffer(b"".join(shown.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
     n, group = (shown.column(c).to_numpy().astype(np.int64) for c in ("n", "grp"))
     good = np.zeros(len(a), bool)
@@ -78,8 +80,8 @@ def judge_cell(asked: pa.Table, shown: pa.Table, threshold: float) -> pa.Table:
         x, y = a[at : at + JUDGED], b[at : at + JUDGED]
         differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
         good[at : at + JUDGED] = n[x] + n[y] - differ >= threshold * (n[x] + n[y]) - 1e-9
-    left = asked.select(["a", "b"]).filter(pa.array(good))
-    return left.append_column("ga", pa.array(group[a[good]])).append_column("gb", pa.array(group[b[good]]))
+    a, b = a[good], b[good]
+    return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "ga": group[a], "gb": group[b]})
 
 
 def dice_cell(asked: pa.Table, shown: pa.Table, threshold: float) -> pa.Table:
